@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encoding
+from . import archives, encoding
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (encoding,)
+MODULES = (archives, encoding)
 
 
 def queries() -> dict[str, Query]:

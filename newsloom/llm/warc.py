@@ -87,7 +87,7 @@ def write_archives(records: DataFrame, folder: str, dictionary: bytes, archive_b
                     if out is None:
                         t = TaskContext.get()
                         name, size, n = f"{t.partitionId():06d}-{t.taskAttemptId()}-{len(done):04d}.warc.zst", 0, 0
-                        out = store.open_output_stream(f"{base}/{name}")
+                        out = store.open_output_stream(f"{base}/{name}", compression=None)
                         out.write(head(dictionary))
                     frame = pack(record(*row))
                     out.write(frame)

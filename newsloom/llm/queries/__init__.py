@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, encoding
+from . import archives, contamination, encoding
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (archives, encoding)
+MODULES = (archives, contamination, encoding)
 
 
 def queries() -> dict[str, Query]:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, contamination, encoding, lines
+from . import archives, classifiers, contamination, encoding, lines
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (archives, contamination, encoding, lines)
+MODULES = (archives, classifiers, contamination, encoding, lines)
 
 
 def queries() -> dict[str, Query]:

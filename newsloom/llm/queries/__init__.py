@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, classifiers, contamination, encoding, lines
+from . import archives, classifiers, contamination, encoding, lines, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (archives, classifiers, contamination, encoding, lines)
+MODULES = (archives, classifiers, contamination, encoding, lines, vectors)
 
 
 def queries() -> dict[str, Query]:

@@ -24,6 +24,8 @@ NONE = 1 << 62
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Pre-tokens of up to this many bytes are merged side by side.
 SIDE_BY_SIDE = 64
+#: Fewer than this of one size are merged one by one.
+FEW = 24
 #: Entries that a worker's memo may hold.
 MEMO = 800_000
 
@@ -165,7 +167,10 @@ class Vocabulary:
                 names.append(text)
                 found.append(p)
         for size, (names, found) in classes.items():
-            out.update(zip(names, self.merge_side_by_side(found, size)))
+            if len(found) < FEW:
+                out.update((t, np.array(self.merge_one(p), dtype="<u4").tobytes()) for t, p in zip(names, found))
+            else:
+                out.update(zip(names, self.merge_side_by_side(found, size)))
         return out
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .. import bpe
+from .. import bpe, token_counts
 from ..common import table
 
 
@@ -13,4 +14,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
-QUERIES = {"op3_byte_bpe": op3_byte_bpe}
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after redaction; the edited text's digest stands for the text."""
+    done = token_counts.edited_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return done.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+
+
+QUERIES = {"op1_token_counts": op1_token_counts, "op3_byte_bpe": op3_byte_bpe}

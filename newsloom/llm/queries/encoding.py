@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import bpe, token_counts
+from .. import bpe, lm, token_counts
 from ..common import table
 
 
@@ -20,4 +20,8 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op3_byte_bpe": op3_byte_bpe}
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {"op1_token_counts": op1_token_counts, "op3_byte_bpe": op3_byte_bpe, "op5_lm_scores": op5_lm_scores}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -57,3 +57,14 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[
             start, size = i + 1, 0
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def kept_rows(docs: DataFrame, text_col: str, keep: Callable[[list], list]) -> DataFrame:
+    """The rows of docs, all columns as they are, for whose texts keep() says so; it gets and gives a list a slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                yield part.filter(pa.array(keep(part.column(text_col).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import kept_rows, slices
 
 WINDOW = 13
 #: UTF-8 bytes that one block of items may hold; an item of more is a block by itself.
@@ -204,6 +204,24 @@ def judged(found: DataFrame, coverage: int = 20) -> DataFrame:
     return found.withColumn("n_hit", n).withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(coverage) * F.col("n_hit") >= F.col("n_words")))
 
 
+def uncontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: int = 20, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, that aren't contaminated (see judged()); the others go as a whole, as a
+    text without its hit words is no text that anyone wrote."""
+    blocks = [docs.sparkSession.sparkContext.broadcast(tuple(b)) for b in item_blocks(items, block_bytes=block_bytes)]
+
+    def keep(texts: list) -> list:
+        cut = [words_of(t) for t in texts]
+        spans = [[] for _ in texts]
+        for b in blocks:
+            machine = automaton(b.value, window)
+            for i, words in enumerate(cut):
+                spans[i] += machine.scan(words)[0]
+        n_hit = [sum(b - a for a, b in merged(s)) for s in spans]
+        return [not n or coverage * n < len(words) for n, words in zip(n_hit, cut)]
+
+    return kept_rows(docs, text_col, keep)
+
+
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return judged(found).select(id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, slices, written
+from .common import fold, kept_rows, slices, written
 
 STATISTICS = ("length", "upper", "symbols", "stops", "digits", "spaces", "word_length", "short_words", "lines", "fresh_words", "fresh_lines", "bangs", "bars", "entropy")
 D = len(STATISTICS)
@@ -122,3 +122,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, i
 
     scored = stats.select(F.col(id_col).alias("id"), "stats").mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
     return scored.select(id_col, (fold(id_col, FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of docs, with all their columns, that classify() predicts 1 for."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(measured(docs, id_col, text_col), labels, id_col, label_col))
+    return kept_rows(docs, text_col, lambda texts: (model.value.score(np.array([statistics(t) for t in texts]).reshape(-1, D)) >= threshold).tolist())

@@ -20,7 +20,8 @@ from pyspark.sql.window import Window
 from .common import written
 
 NEAREST, EVERY = 20, 20
-#: Vectors that the codebooks are fitted to, by hash; every vector is indexed.
+#: About as many distinct vectors are picked by hash to fit the codebooks, and never more than twice that; every vector
+#: is indexed.
 SAMPLE = 8192
 #: Vectors and queries in a block, and how many of a block's candidates each query reranks exactly.
 BLOCK, QUERIES, RERANK = 8192, 4096, 192
@@ -152,8 +153,9 @@ def search(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     is_query = F.col("id") % EVERY == 0 if is_query is None else is_query
     n_queries = data.where(is_query).count()
     n_blocks, n_query_blocks = -(-sizes["count"] // block), max(1, -(-n_queries // query_block))
-    picked = data.select("v").orderBy(F.xxhash64("v"), "id").limit(sample).collect()
-    books = spark.sparkContext.broadcast(fit(padded(np.array([r.v for r in picked]))))
+    step = -(-sizes["count"] // sample)
+    picked = data.where(F.pmod(F.xxhash64("v", F.lit(1)), F.lit(step)) == 0).select("v").distinct().limit(2 * sample).collect() or data.select("v").limit(1).collect()
+    books = spark.sparkContext.broadcast(fit(padded(np.array(sorted(r.v for r in picked)))))
 
     by_vector = Window.partitionBy("v").orderBy("id")
     few = data.withColumn("rn", F.row_number().over(by_vector)).where(F.col("rn") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))

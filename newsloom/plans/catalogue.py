@@ -1,4 +1,4 @@
-"""The registered queries of the library and their SQL."""
+"""The registered queries of the library and their SQL, gathered from the query modules."""
 
 from __future__ import annotations
 
@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import article_queries, gate_queries, item_queries, queue_queries
+
+MODULES = (item_queries, article_queries, gate_queries, queue_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return {name: q for m in MODULES for name, (q, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}

@@ -34,6 +34,12 @@ def once(rows: DataFrame, sent: DataFrame, *key: str) -> DataFrame:
 
 
 def suppressed_runs(runs: DataFrame, ts: str, p: Params = DEFAULT) -> DataFrame:
-    """Runs that follow an outage, and the first: `quiet`. Runs are few (one row each)."""
-    gap = F.col(ts).cast("long") - F.lag(F.col(ts).cast("long")).over(Window.orderBy(ts))
-    return runs.withColumn("quiet", F.coalesce(gap >= 60 * p.outage_minutes, F.lit(True)))
+    """Runs that follow an outage, and the first: `quiet`. Gaps within a day come from a window over that day; a day's
+    first run looks back to the last run of the day before it that has any, over one row a day."""
+    day = F.to_date(ts)
+    ends = runs.groupBy(day.alias("of_day")).agg(F.max(ts).alias("last"))
+    ends = ends.select("of_day", F.lag("last").over(Window.orderBy("of_day")).alias("before"))
+    rows = runs.withColumn("of_day", day).join(ends, "of_day", "left")
+    previous = F.coalesce(F.lag(ts).over(Window.partitionBy("of_day").orderBy(ts)), "before")
+    gap = F.col(ts).cast("long") - previous.cast("long")
+    return rows.withColumn("quiet", F.coalesce(gap >= 60 * p.outage_minutes, F.lit(True))).drop("of_day", "before")

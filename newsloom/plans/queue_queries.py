@@ -75,7 +75,7 @@ QUERIES["p90_latency"] = (
 )
 QUERIES["suppressed_runs"] = (
     lambda s, d: queue.suppressed_runs(_queue(s, d).where("topic = 'error'").select(F.col("ts").cast("timestamp").alias("ts")).distinct(), "ts").groupBy("quiet").agg(F.count("*").alias("n")),
-    _sql("select coalesce(epoch(ts)::bigint - lag(epoch(ts)::bigint) over (order by ts) >= 1800, true) as quiet, count(*) as n from (select distinct ts from queue where topic = 'error') z group by 1"),
+    _sql("select quiet, count(*) as n from (select coalesce(epoch(ts)::bigint - lag(epoch(ts)::bigint) over (order by ts) >= 1800, true) as quiet from (select distinct ts from queue where topic = 'error') z) y group by 1"),
 )
 QUERIES["keyword_rotation"] = (
     lambda s, d: table(s, d, "part").select(F.col("p_brand").alias("keyword")).distinct().withColumn("rn", F.row_number().over(Window.orderBy("keyword"))).where(F.pmod(F.col("rn") - 1, F.lit(2)) == 1).select("keyword"),
@@ -91,5 +91,5 @@ QUERIES["chat_limits"] = (
 )
 QUERIES["spend_per_day"] = (
     lambda s, d: _queue(s, d).where("topic = 'view'").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("calls"), F.round(F.count("*") * 0.00133, 6).alias("cost")),
-    _sql("select ts::date as day, count(*) as calls, round(count(*) * 0.00133, 6) as cost from queue where topic = 'view' group by 1"),
+    _sql("select ts::date as day, count(*) as calls, round(count(*) * 0.00133::double, 6) as cost from queue where topic = 'view' group by 1"),
 )

@@ -45,6 +45,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_views(sql: str, *names: str) -> str:
     """The oracle's SQL with the views it needs."""
-    made = ", ".join(f"{n} as materialized ({VIEWS[n][1].format(**{t: t for t in VIEWS[n][0]})})" for n in names)
+    made = ", ".join(f"{n} as ({VIEWS[n][1].format(**{t: t for t in VIEWS[n][0]})})" for n in names)
     body = sql.strip()
     return f"with {made}, {body[5:]}" if body[:5].lower() == "with " else f"with {made} {body}"

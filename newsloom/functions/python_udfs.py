@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 BRACKETS = {"[": "]", "(": ")", "<": ">", "【": "】"}
 
@@ -35,24 +36,24 @@ def without_tag(text: str, words: tuple[str, ...]) -> str:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(x: pd.Series) -> pd.Series:
     return x.map(unescaped, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(x: pd.Series) -> pd.Series:
     return x.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching blocks of the first 300 characters."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x[:300], y[:300]).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
 def strip_tag(words: tuple[str, ...]):
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def strip(x: pd.Series) -> pd.Series:
         return x.map(lambda t: without_tag(t, words), na_action="ignore")
 

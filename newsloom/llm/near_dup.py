@@ -6,8 +6,8 @@ slots of some chunk, so enumerating the errors (leaving out each slot of a chunk
 shares. Keys only propose: every link is confirmed on the full sets.
 
 Equal sets meet first and are one node from there on. A key's holders are not paired with each other but with the least
-of them (the pivot), so a hot key costs as many candidates as it has holders. What pivots leave open - holders of a key
-that are still in different components - is settled exactly: small keys by their cross pairs, large keys by testing each
+of them (the pivot), and a document with the pivots of its few most held keys, so candidates grow with the documents
+alone. What pivots leave open - holders of a key that are still in different components - is settled exactly: small keys by their cross pairs, large keys by testing each
 holder outside the key's main component against that component in blocks, and against the others outside.
 """
 
@@ -33,6 +33,8 @@ KEYS = CHUNKS * WIDTH  # one error allowed: each slot of each chunk left out in
 #: with a probability of (1 - 0.8**6 - 6 * 0.2 * 0.8**5)**16, which is 4e-8.
 FARTHEST = 39
 SMALL_KEY, BLOCK = 64, 1024
+#: A document is first tested with the pivots of this many keys, those with the most holders; the rest is settled later.
+PIVOTS = 8
 _seeds = np.random.default_rng(20240229)
 FACTORS = _seeds.integers(1, 1 << 63, SLOTS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -189,29 +191,66 @@ def with_labels(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.withColumns({f"of_{c}": F.coalesce(f"of_{c}", c) for c in ("a", "b")})
 
 
-def cross_pairs(groups: DataFrame, farthest: int) -> DataFrame:
-    """a, b: pairs of one group (key, i, j) in different components whose signatures differ in at most `farthest`
-    slots, from the first key that both have. In a group of two blocks, only pairs across."""
+def near_in_group(table: pa.Table, key: int, across: bool, farthest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs of a group in different components whose signatures differ in at most `farthest` slots, for
+    which this is the first key that both have. In a group of two blocks, only pairs across."""
+    sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype="<u2").reshape(-1, SLOTS)
+    keys, comp = keys_of(sigs), np.unique(table.column("component").to_numpy(), return_inverse=True)[1]
+    block = table.column("block").to_numpy()
+    one, other = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for x in range(len(sigs) - 1):
+        y = np.arange(x + 1, len(sigs))
+        y = y[(comp[y] != comp[x]) & ((block[y] != block[x]) if across else True)]
+        y = y[(sigs[y] != sigs[x]).sum(1) <= farthest]
+        if len(y):
+            y = y[keys[x][(keys[y] == keys[x]).argmax(1)] == key]
+            one.append(np.full(len(y), x))
+            other.append(y)
+    return np.concatenate(one), np.concatenate(other)
+
+
+def cross_links(groups: DataFrame, sets: DataFrame, farthest: int, least: int) -> DataFrame:
+    """Links a, b between holders of a key (groups: key, i, j, rep, component, block) in different components. First by
+    signatures alone: who has a candidate. Then those meet with their full sets, and a pair is compared, in the task,
+    unless links found before have joined its components. So rows are made for documents and links, never for pairs."""
     kind = groups.schema["rep"].dataType.simpleString()
+    fields = "key bigint, i int, j int, rep {0}, component {0}, block int".format(kind)
 
-    def run(key, table):
-        sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype="<u2").reshape(-1, SLOTS)
-        keys, comp = keys_of(sigs), np.unique(table.column("component").to_numpy(), return_inverse=True)[1]
-        block, this = table.column("block").to_numpy(), key[0].as_py()
-        across = key[1].as_py() != key[2].as_py()
-        one, other = [], []
-        for x in range(len(sigs) - 1):
-            y = np.arange(x + 1, len(sigs))
-            y = y[(comp[y] != comp[x]) & ((block[y] != block[x]) if across else True)]
-            y = y[(sigs[y] != sigs[x]).sum(1) <= farthest]
-            if len(y):
-                y = y[keys[x][(keys[y] == keys[x]).argmax(1)] == this]
-            one += [x] * len(y)
-            other += y.tolist()
-        rep = table.column("rep").combine_chunks()
-        return pa.table({"a": rep.take(pa.array(one, pa.int64())), "b": rep.take(pa.array(other, pa.int64()))})
-
-    return groups.groupBy("key", "i", "j").applyInArrow(run, f"a {kind}, b {kind}").distinct()
+    def having(key, table):
+        one, other = near_in_group(table, key[0].as_py(), key[1].as_py() != key[2].as_py(), farthest)
+        return table.take(pa.array(np.union1d(one, other))).select(["key", "i", "j", "rep", "component", "block"])
+
+    def compared(key, table):
+        one, other = near_in_group(table, key[0].as_py(), key[1].as_py() != key[2].as_py(), farthest)
+        members, rep = table.column("members"), table.column("rep").combine_chunks()
+        top = list(range(len(table)))
+        for same in np.split(np.argsort(comp := np.unique(table.column("component").to_numpy(), return_inverse=True)[1], kind="stable"), np.cumsum(np.bincount(comp))[:-1]):
+            for x in same.tolist():
+                top[x] = int(same[0])
+
+        def root(x: int) -> int:
+            while top[x] != x:
+                top[x] = x = top[top[x]]
+            return x
+
+        found: dict[int, np.ndarray] = {}
+
+        def set_of(x: int) -> np.ndarray:
+            if x not in found:
+                found[x] = np.frombuffer(members[x].as_py(), dtype=np.uint64)
+            return found[x]
+
+        a, b = [], []
+        for x, y in zip(one.tolist(), other.tolist()):
+            if root(x) != root(y) and alike(set_of(x), set_of(y), least):
+                top[root(y)] = root(x)
+                a.append(x)
+                b.append(y)
+        return pa.table({"a": rep.take(pa.array(a, pa.int64())), "b": rep.take(pa.array(b, pa.int64()))})
+
+    some = groups.join(sets.select("rep", "sig"), "rep").groupBy("key", "i", "j").applyInArrow(having, fields)
+    some = written(some, "candidates")
+    return some.join(sets.select("rep", "sig", "members"), "rep").groupBy("key", "i", "j").applyInArrow(compared, f"a {kind}, b {kind}")
 
 
 def outside_links(tests: DataFrame, labels: DataFrame, sets: DataFrame, least: int) -> DataFrame:
@@ -264,7 +303,9 @@ def linked(docs: DataFrame, size: int = 2, least: int = 80, id_col: str = "doc_i
     several = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("holders")).where("holders > 1")
     held = written(keys.join(several, "key"), "keys")
     sets = written(sets_of(docs, held.select("rep").distinct(), id_col, text_col, size), "sets")
-    stars = written(near_pivots(held.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), sets, FARTHEST), "pairs")
+    stars = held.where("rep <> pivot").groupBy(F.col("rep").alias("a"), F.col("pivot").alias("b")).agg(F.max("holders").alias("holders"))
+    stars = stars.withColumn("rn", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("holders"), "b"))).where(F.col("rn") <= PIVOTS)
+    stars = written(near_pivots(stars.select("a", "b"), sets, FARTHEST), "pairs")
 
     nearest = stars.withColumn("rn", F.row_number().over(Window.partitionBy("a").orderBy("far", "b"))).where("rn = 1").select("a", "b")
     links = written(confirmed(nearest, sets, least), "links")
@@ -272,16 +313,17 @@ def linked(docs: DataFrame, size: int = 2, least: int = 80, id_col: str = "doc_i
     links = written(confirmed(with_labels(stars, labels).where("of_a <> of_b").select("a", "b"), sets, least), "links")
     labels = relabelled(labels, links)
 
-    mixed = held.where("holders > 2").join(labels, held.rep == labels.node, "left").select("key", "rep", "holders", F.coalesce("component", "rep").alias("component"))
+    mixed = held.join(labels, held.rep == labels.node, "left").select("key", "rep", "holders", F.coalesce("component", "rep").alias("component"))
     counts = mixed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mains = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
+    mains = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
+    mains = mains.select("key", F.when(F.col("most") > 1, F.col("main")).alias("main"))  # where all are alone, none is the main one
     mixed = written(mixed.join(mains, "key"), "mixed")
-    loose = mixed.where((F.col("holders") <= small_key) | (F.col("component") != F.col("main")))
+    outside = (F.col("holders") > small_key) & F.col("main").isNotNull()
+    loose = mixed.where(~outside | (F.col("component") != F.col("main")))
     loose = loose.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("rep")) - 1) / BLOCK).cast("int"))
     loose = loose.withColumn("last", F.max("block").over(Window.partitionBy("key"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).select("key", "rep", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    pairs = cross_pairs(loose.join(sets.select("rep", "sig"), "rep"), FARTHEST)
-    tests = mixed.where((F.col("holders") > small_key) & (F.col("component") != F.col("main"))).select(F.col("rep").alias("outsider"), F.col("main").alias("component")).distinct()
-    links = written(confirmed(pairs, sets, least).union(outside_links(written(tests, "tests"), labels, sets, least)), "links")
+    tests = mixed.where(outside & (F.col("component") != F.col("main"))).select(F.col("rep").alias("outsider"), F.col("main").alias("component")).distinct()
+    links = written(cross_links(loose, sets, FARTHEST, least).union(outside_links(written(tests, "tests"), labels, sets, least)), "links")
     labels = relabelled(labels, links)
 
     nodes = every.join(reps.select("same", "rep"), "same", "left").join(labels, F.col("rep") == F.col("node"), "left")

@@ -117,6 +117,22 @@ def test_groups_against_brute_force(spark, seed, size, small_key):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == grouped(docs, size)
 
 
+@pytest.mark.parametrize("words", [24, 45])
+def test_a_hot_group_without_a_hub(spark, words):
+    """Many variants of one text that share keys; some are links, most aren't, and no one is near to all."""
+    rng = random.Random(words)
+    base = [f"w{k}" for k in range(words)]
+    docs = []
+    for i in range(150):
+        mine = list(base)
+        for k in range(rng.randint(1, 3)):
+            mine[rng.randrange(words)] = rng.choice(("x", "y", f"z{i}"))
+        docs.append((i, " ".join(mine)))
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    got = near_dup.linked(rows, 5, 80, small_key=8).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == grouped(docs, 5)
+
+
 def test_groups_of_odd_tables(spark):
     rows = spark.createDataFrame([(2, "a b c", 1), (2, "d e f", 1), (3, "d e f", 1), (None, "a b c", 1), (5, None, 1)], "doc_id long, text string, kept int")
     got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_dup.linked(rows).collect())

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import article_queries, gate_queries, item_queries, queue_queries
+from . import article_queries, gate_queries, item_queries, queue_queries, source_queries, stream_queries
 
-MODULES = (item_queries, article_queries, gate_queries, queue_queries)
+MODULES = (item_queries, article_queries, gate_queries, queue_queries, source_queries, stream_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -13,7 +13,7 @@ import pytest
 from newsloom.llm import lm, quality, toxicity
 from newsloom.llm.queries import classifiers, encoding
 
-MIDDLE = "/root/testdata/sf0.01"
+LARGE = "/root/testdata/sf0.1"  # enough labels to judge by
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
@@ -21,11 +21,11 @@ def rest(key, modulus):
     return zlib.crc32(str(key).encode()) % modulus
 
 
-@pytest.mark.parametrize(("name", "label", "modulus", "out", "least"), [("op2_quality", "quality", 5, 0, 0.85), ("op7_toxicity", "toxic", 4, 2, 0.85)])
+@pytest.mark.parametrize(("name", "label", "modulus", "out", "least"), [("op2_quality", "quality", 5, 0, 0.95), ("op7_toxicity", "toxic", 4, 2, 0.95)])
 def test_held_out_accuracy(spark, name, label, modulus, out, least):
-    truth = {r.doc_id: r[label] for r in spark.read.parquet(f"{MIDDLE}/labels.parquet").collect()}
-    got = {r.doc_id: r for r in classifiers.QUERIES[name](spark, MIDDLE).select("doc_id", "held_out", "score", "predicted").collect()}
-    assert len(got) == spark.read.parquet(f"{MIDDLE}/documents.parquet").count()
+    truth = {r.doc_id: r[label] for r in spark.read.parquet(f"{LARGE}/labels.parquet").collect()}
+    got = {r.doc_id: r for r in classifiers.QUERIES[name](spark, LARGE).select("doc_id", "held_out", "score", "predicted").collect()}
+    assert len(got) == spark.read.parquet(f"{LARGE}/documents.parquet").count()
     for r in got.values():
         assert r.held_out == (rest(r.doc_id, modulus) == out)
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)

@@ -31,6 +31,30 @@ QUERIES["xml_notices"] = (
     ),
     with_views("select item_type as source, 'n://' || lpad(id::varchar, 9, '0') as url, 'a b' as title, 'o' as agency, date '2024-01-05' as notice_start, date '2024-02-01' as notice_end from items where id <= 500", "items"),
 )
+
+
+def _rss_feeds(s, d):
+    """All documents as RSS texts, one for each range of 20 ids, as many as the parser takes of one feed."""
+    item = F.concat(F.lit("<item><title><![CDATA[T "), "doc_id", F.lit("]]></title><link>http://h/"), "doc_id", F.lit("</link><description>&lt;b&gt;x&lt;/b&gt; &amp;amp; y</description><pubDate>Mon, 05 Jan 2024 10:00:00 +0000</pubDate></item>"))
+    rows = table(s, d, "documents").select(F.concat(F.lit("f"), F.floor(F.col("doc_id") / 20)).alias("source"), F.struct("doc_id", item.alias("item")).alias("x"))
+    return rows.groupBy("source").agg(F.concat(F.lit("<rss>"), F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["item"]), ""), F.lit("</rss>")).alias("content"))
+
+
+def _xml_feeds(s, d):
+    """All items as XML texts, one for each item type and range of 400 ids, the most that the parser takes of one."""
+    row = F.format_string("<row><seq>%09d</seq><nm> a  b </nm><org>o</org><st>20240105</st><en>2024. 2. 1.</en></row>", "id")
+    rows = view(s, d, "items").select(F.concat("item_type", F.lit("/"), F.floor(F.col("id") / 400)).alias("source"), row.alias("row"))
+    return rows.groupBy("source").agg(F.concat(F.lit("<l>"), F.array_join(F.sort_array(F.collect_list("row")), ""), F.lit("</l>")).alias("content"))
+
+
+QUERIES["rss_feeds"] = (
+    lambda s, d: feeds.rss_items(_rss_feeds(s, d)).select("source", "url", "title", "body", F.date_format("published", "yyyy-MM-dd HH:mm").alias("published")),
+    "select 'f' || (doc_id // 20) as source, 'http://h/' || doc_id as url, 'T ' || doc_id as title, 'x & y' as body, '2024-01-05 10:00' as published from documents",
+)
+QUERIES["xml_feeds"] = (
+    lambda s, d: feeds.xml_notices(_xml_feeds(s, d), "row", {"id": "seq", "title": "nm", "agency": "org", "start": "st", "end": "en"}, "n://"),
+    with_views("select item_type || '/' || (id // 400) as source, 'n://' || lpad(id::varchar, 9, '0') as url, 'a b' as title, 'o' as agency, date '2024-01-05' as notice_start, date '2024-02-01' as notice_end from items", "items"),
+)
 QUERIES["json_bills"] = (
     lambda s, d: feeds.json_bills(
         table(s, d, "nation").select(F.col("n_name").alias("source"), F.concat(F.lit('{"data": {"row": [{"BILL_ID": "'), F.col("n_nationkey"), F.lit('", "NM": "", "NAME": "bill", "END": "2024/03/0'), F.col("n_nationkey") % 9 + 1, F.lit('"}, {"NM": "no id"}]}}')).alias("content")),

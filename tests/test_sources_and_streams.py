@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from datetime import date
 
+import compare
 from pyspark.sql import functions as F
 
 from newsloom.functions import bills
 from newsloom.operators import gate, sinks
+from newsloom.plans import catalogue
 from newsloom.sources import feeds
 from newsloom.streaming import gate_stream, windows
 
@@ -111,3 +113,17 @@ def test_stores(spark):
     assert sorted(map(tuple, sinks.counted(ledger, seen).collect())) == [("a", "old", 1, 3), ("b", "new", 6, 2)]
     target = spark.createDataFrame([("a",)], "url string")
     assert sorted(r.url for r in sinks.new_rows(seen.select("url"), target, "url").collect()) == ["b"]
+
+
+def test_feeds_cover_their_tables(spark):
+    at = "/root/testdata/sf0.01"
+    for name, of in (("rss_feeds", "documents"), ("xml_feeds", "orders")):
+        found = catalogue.queries()[name](spark, at)
+        assert found.count() == found.select("url").distinct().count() == spark.read.parquet(f"{at}/{of}.parquet").count()
+        assert not compare.differences(found, compare.views(at), catalogue.oracle_sql()[name])
+
+
+def test_a_feed_gives_its_first_items_alone(spark):
+    feed = lambda k: f"<rss>{''.join(f'<item><title>t</title><link>{k}/{i:02}</link></item>' for i in range(25))}</rss>"
+    rows = spark.createDataFrame([(k, feed(k)) for k in ("a", "b")], "source string, content string")
+    assert sorted(r.url for r in feeds.rss_items(rows).collect()) == [f"{k}/{i:02}" for k in ("a", "b") for i in range(20)]

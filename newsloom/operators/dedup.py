@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,6 +53,43 @@ def near_vectors(rows: DataFrame, least: float, block: Column, vector: str = "em
     return x.join(y, "block").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), cosine(F.col("x.v"), F.col("y.v")).alias("similarity")).where(F.col("similarity") >= least)
 
 
+def near_vectors_within(rows: DataFrame, least: float, days: int, day: str = "day", vector: str = "embedding", id_col: str = "id", size: int = 1024) -> DataFrame:
+    """a, b, similarity of all vectors at least `least` alike and at most `days` apart; null and zero vectors are like none.
+
+    Exact: a day's vectors are dealt by hash to blocks of about `size`, and each two blocks of days near enough meet in a
+    task of their own as one product of matrices. Only pairs that reach `least` leave it."""
+    kind = rows.schema[id_col].dataType.simpleString()
+    rows = rows.select(F.col(id_col).alias("id"), F.datediff(day, F.lit("1970-01-01").cast("date")).alias("d"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and d is not null and v is not null")
+    blocks = rows.groupBy("d").agg(F.ceil(F.count("*") / size).cast("int").alias("n"))
+    dealt = rows.join(blocks, "d").withColumn("k", F.pmod(F.xxhash64("id"), "n").cast("int")).drop("n")
+    blocks = blocks.select("d", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+    other = blocks.select(F.col("d").alias("d2"), F.col("k").alias("k2"))
+    ahead = blocks.select("d", "k", F.explode(F.sequence("d", F.col("d") + days)).alias("d2")).join(other, "d2").where("d2 > d or k2 >= k")
+    pair = F.struct("d", "k", "d2", "k2")
+    sides = ahead.select("d", "k", pair.alias("pair"), F.lit(0).alias("side")).union(ahead.where("d2 > d or k2 > k").select("d2", "k2", pair, F.lit(1)))
+
+    def alike(key: tuple, table: pa.Table) -> pa.Table:
+        d, k, d2, k2 = (x.as_py() for x in key)
+        ids, side = table.column("id").combine_chunks(), table.column("side").to_numpy()
+        v = np.array(table.column("v").to_pylist(), dtype=np.float64)
+        norm = np.sqrt((v * v).sum(1))
+        v /= np.where(norm > 0, norm, 1)[:, None]
+        left, right = (np.flatnonzero((side == k) & (norm > 0)) for k in (0, 1))
+        same = (d, k) == (d2, k2)
+        right = left if same else right
+        x, y = np.nonzero(v[left] @ v[right].T >= least - 1e-9)
+        i, j = left[x], right[y]
+        if same:
+            i, j = i[x < y], j[x < y]
+        near = np.concatenate([np.zeros(0), *((v[i[n : n + 65536]] * v[j[n : n + 65536]]).sum(1) for n in range(0, len(i), 65536))])
+        p, q = ids.take(pa.array(i)), ids.take(pa.array(j))
+        less = pc.less(p, q)
+        found = pa.table({"a": pc.if_else(less, p, q), "b": pc.if_else(less, q, p), "similarity": pa.array(near)})
+        return found.filter(pc.and_(pc.not_equal(p, q), pa.array(near >= least)))
+
+    return dealt.join(sides, ["d", "k"]).select("pair.*", "side", "id", "v").groupBy("d", "k", "d2", "k2").applyInArrow(lambda key, t: alike(key, t), f"a {kind}, b {kind}, similarity double")
+
+
 def representatives(rows: DataFrame, outlets: DataFrame, group: Column) -> DataFrame:
     """One row a group: the lowest tier, then with a body, then the earliest, then the least id; with the group's size."""
     rows = rows.join(outlets, "press", "left").withColumn("grp", group)

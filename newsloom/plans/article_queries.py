@@ -88,6 +88,11 @@ QUERIES["dup_vector"] = (
     lambda s, d: dedup.near_vectors(table(s, d, "embeddings"), 0.35, F.col("vec_id") % 30).select("a", "b", F.round("similarity", 6).alias("similarity")),
     "select x.vec_id as a, y.vec_id as b, round(list_cosine_similarity(x.embedding::double[], y.embedding::double[]), 6) as similarity from embeddings x join embeddings y on x.vec_id % 30 = y.vec_id % 30 and x.vec_id < y.vec_id where list_cosine_similarity(x.embedding::double[], y.embedding::double[]) >= 0.35",
 )
+VECTOR_DAY = "date '2024-01-01' + cast((vec_id * 37) % 30 as int)"
+QUERIES["dup_vector_days"] = (
+    lambda s, d: dedup.near_vectors_within(table(s, d, "embeddings").select("vec_id", "embedding", F.expr(VECTOR_DAY).alias("day")), 0.35, 1, id_col="vec_id").select("a", "b", F.round("similarity", 6).alias("similarity")),
+    f"with e as (select vec_id, embedding::double[] as v, {VECTOR_DAY} as day from embeddings), p as (select x.vec_id as a, y.vec_id as b, list_cosine_similarity(x.v, y.v) as c from e x join e y on x.vec_id < y.vec_id and abs(date_diff('day', x.day, y.day)) <= 1) select a, b, round(c, 6) as similarity from p where c >= 0.35",
+)
 QUERIES["news_merge"] = (
     lambda s, d: stats.merged_news(_articles(s, d), view(s, d, "items"), "en", 120),
     _sql("select kind, id, day from (select 'article' as kind, id, published_on as day from articles where category = 'en' union all select 'item', id, collected_on from items) z order by day desc, kind, id limit 120", "articles", "items"),

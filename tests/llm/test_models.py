@@ -111,6 +111,19 @@ def test_scores_of_odd_tables(spark):
     assert lm.score(docs.limit(0), PATH, PATTERN).count() == 0
 
 
+def test_every_training_token_is_trained_on(spark):
+    words = [f"w{k % 7}" for k in range(399)]
+    classes = lm.Classes.of_counts(np.arange(60_000.0)[::-1].copy(), np.arange(60_000) % 2 == 0)
+
+    def model(changed):
+        text = " ".join("other" if k == changed else w for k, w in enumerate(words))
+        return lm.flat(lm.trained(spark.createDataFrame([(0, text)], "rid long, text string").coalesce(1), classes, PATH, PATTERN))
+
+    whole = model(None)
+    for k in (0, 150, 300, 398):
+        assert not np.array_equal(model(k), whole), k
+
+
 def test_attention_is_causal_and_classes_sum_to_one():
     rng = np.random.default_rng(2)
     p = lm.fresh(np.zeros(lm.CLASSES, dtype=np.float32))

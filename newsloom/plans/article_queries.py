@@ -88,6 +88,10 @@ QUERIES["dup_vector"] = (
     lambda s, d: dedup.near_vectors(table(s, d, "embeddings"), 0.35, F.col("vec_id") % 30).select("a", "b", F.round("similarity", 6).alias("similarity")),
     "select x.vec_id as a, y.vec_id as b, round(list_cosine_similarity(x.embedding::double[], y.embedding::double[]), 6) as similarity from embeddings x join embeddings y on x.vec_id % 30 = y.vec_id % 30 and x.vec_id < y.vec_id where list_cosine_similarity(x.embedding::double[], y.embedding::double[]) >= 0.35",
 )
+QUERIES["dup_title_all"] = (
+    lambda s, d: dedup.near_titles(_articles(s, d).select("id", _title().alias("title"), F.col("published_on").alias("day")), 0.9, 1).select("a", "b", F.round("similarity", 6).alias("similarity")),
+    None,
+)
 VECTOR_DAY = "date '2024-01-01' + cast((vec_id * 37) % 30 as int)"
 QUERIES["dup_vector_days"] = (
     lambda s, d: dedup.near_vectors_within(table(s, d, "embeddings").select("vec_id", "embedding", F.expr(VECTOR_DAY).alias("day")), 0.35, 1, id_col="vec_id").select("a", "b", F.round("similarity", 6).alias("similarity")),
@@ -113,6 +117,10 @@ QUERIES["title_normal_form"] = (
     lambda s, d: _articles(s, d).select("id", X.normal_form(F.substring(_title(), 1, 80)).alias("k")),
     _sql("select id, lower(regexp_replace(substr(split_part(body, chr(10), 1), 1, 80), '[^\\p{L}\\p{N}]+', '', 'g')) as k from articles"),
 )
+QUERIES["title_whole_form"] = (
+    lambda s, d: _articles(s, d).select("id", X.normal_form(_title()).alias("k")),
+    _sql("select id, lower(regexp_replace(split_part(body, chr(10), 1), '[^\\p{L}\\p{N}]+', '', 'g')) as k from articles"),
+)
 QUERIES["group_facet_articles"] = (
     lambda s, d: _articles(s, d).select(F.explode(items.matching_groups(F.col("body"), ("idiot", "Licensed", "token"))).alias("grp")).groupBy("grp").agg(F.count("*").alias("n")),
     _sql("select grp, count(*) as n from (select unnest(['idiot', 'Licensed', 'token']) as grp, body from articles) z where contains(body, grp) group by 1"),

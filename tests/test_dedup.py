@@ -7,7 +7,9 @@ from datetime import date, timedelta
 import compare
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from newsloom.functions.text import title_key
 from newsloom.operators import dedup
 from newsloom.plans import catalogue
 
@@ -33,3 +35,23 @@ def test_near_vectors_in_blocks(spark, size):
     truth = {(i, j) for i in range(60) for j in range(i + 1, 60) if near[i, j] >= 0.5 and abs((days[i] - days[j]).days) <= 1}
     got = [(r.a, r.b) for r in dedup.near_vectors_within(rows, 0.5, 1, size=size).collect()]
     assert len(got) == len(set(got)) and set(got) == truth
+
+
+def test_near_titles_of_all_languages_and_lengths(spark, small):
+    from newsloom.sources.fixtures import view
+
+    rows = view(spark, small, "articles").select("id", "category", "published_on", title_key(F.split_part("body", F.lit("\n"), F.lit(1))).alias("k")).collect()
+    grams = {r.id: {r.k[i : i + 3] for i in range(max(1, len(r.k) - 2))} for r in rows}
+    day, lang = {r.id: r.published_on for r in rows}, {r.id: r.category for r in rows}
+    truth = {}
+    for a in grams:
+        for b in grams:
+            if a < b and abs((day[a] - day[b]).days) <= 1 and (c := len(grams[a] & grams[b]) / len(grams[a] | grams[b])) >= 0.9:
+                truth[a, b] = round(c, 6)
+    got = {(r.a, r.b): r.similarity for r in catalogue.queries()["dup_title_all"](spark, small).collect()}
+    assert got == truth and any(lang[a] != "en" for a, _ in truth)
+
+
+def test_titles_longer_than_a_prefix(spark, small):
+    got = {len(r.k) for r in catalogue.queries()["title_whole_form"](spark, small).collect()}
+    assert max(got) > 80

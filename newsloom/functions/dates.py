@@ -39,3 +39,43 @@ def in_night(hour: Column, start: int, end: int) -> Column:
 
 def age_label(seconds: Column, at: Column) -> Column:
     return F.when(seconds < 60, "now").when(seconds < 3600, F.concat(F.floor(seconds / 60).cast("string"), F.lit(" min"))).when(seconds < 86400, F.concat(F.floor(seconds / 3600).cast("string"), F.lit(" h"))).otherwise(F.date_format(at, "yyyy-MM-dd"))
+
+
+def local_time(utc: Column, tz: str) -> Column:
+    """The local wall-clock time of a UTC time."""
+    return F.from_utc_timestamp(utc, tz)
+
+
+def local_hour(utc: Column, tz: str) -> Column:
+    return F.hour(local_time(utc, tz))
+
+
+def local_date(utc: Column, tz: str) -> Column:
+    return F.to_date(local_time(utc, tz))
+
+
+def parse_time(x: Column) -> Column:
+    """A UTC timestamp without a zone, from an ISO text with T or a blank, with Z, an offset or neither (then it is UTC);
+    null where it's none."""
+    t = F.regexp_replace(F.trim(x), " ", "T")
+    parts = lambda g: F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2})(?:T(\d{2}:\d{2})(:\d{2})?(?:\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$", g)
+    wall = F.concat(parts(1), F.lit("T"), F.coalesce(F.nullif(parts(2), F.lit("")), F.lit("00:00")), F.coalesce(F.nullif(parts(3), F.lit("")), F.lit(":00")))
+    zone = F.regexp_replace(parts(4), ":", "")
+    minutes = (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int")) * F.when(F.substring(zone, 1, 1) == "-", -1).otherwise(1)
+    shift = F.when(zone.isin("", "Z"), 0).otherwise(minutes)
+    return F.when(parts(1) != "", F.try_to_timestamp(wall, F.lit("yyyy-MM-dd'T'HH:mm:ss")).cast("timestamp_ntz") - F.make_dt_interval(mins=F.coalesce(shift, F.lit(0))))
+
+
+def iso(utc: Column) -> Column:
+    """A UTC time as text, to the second."""
+    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def month_of(text: Column, today) -> Column:
+    """The first day of a month given as YYYY-MM; of today's month where the text is none."""
+    fits = F.try_to_timestamp(F.concat(F.when(text.rlike(r"^\d{4}-\d{2}$"), text), F.lit("-01")), F.lit("yyyy-MM-dd")).cast("date")
+    return F.coalesce(fits, F.trunc(F.lit(today), "month").cast("date"))
+
+
+def month_shift(first: Column, months: int) -> Column:
+    return F.add_months(F.trunc(first, "month"), months)

@@ -11,10 +11,33 @@ def string_list(x: Column) -> Column:
     return F.coalesce(F.from_json(x, "array<string>"), F.array().cast("array<string>"))
 
 
+def encoded(x: Column) -> Column:
+    """A value as JSON text; null lists and structs as null."""
+    return F.to_json(x)
+
+
 def recovered(x: Column, schema: str, needed: str) -> Column:
-    """The object between the outermost braces of a noisy text; null where it lacks the needed field."""
-    got = F.from_json(F.regexp_extract(x, r"(?s)\{.*\}", 0), schema)
-    return F.when(got[needed].isNotNull(), got)
+    """The object in a noisy text: inside a code fence, else between the outermost braces, else the last one that starts
+    on a line of its own; null where none has the needed field."""
+    tries = [F.regexp_extract(x, r"(?s)```[A-Za-z]*\s*(\{.*?\})\s*```", 1), F.regexp_extract(x, r"(?s)\{.*\}", 0), F.regexp_extract(x, r"(?s)(?:^|\n)\s*(\{[^\n]*\n?.*\})", 1), F.regexp_extract(x, r"(?s).*(\{[^{}]*\})", 1)]
+    got = [F.from_json(t, schema) for t in tries]
+    return F.coalesce(*[F.when(g[needed].isNotNull(), g) for g in got])
+
+
+def envelope_rows(x: Column, error: str = "RESULT", rows: str = "row") -> Column:
+    """The row objects (as maps) of a service's reply {service: [{head: ...}, {row: [...]}]}, whatever the service; none
+    where the reply is an error."""
+    # from_json of a map takes the first level whatever its keys; a chunk that isn't an array gives null
+    chunks = F.flatten(F.map_values(F.map_filter(F.from_json(x, f"map<string,array<struct<{rows}:array<map<string,string>>>>>"), lambda _, v: v.isNotNull())))
+    found = F.flatten(F.filter(F.transform(chunks, lambda c: c[rows]), lambda r: r.isNotNull()))
+    return F.when(F.get_json_object(x, f"$.{error}").isNotNull() | found.isNull(), F.array().cast("array<map<string,string>>")).otherwise(found)
+
+
+def one_or_many(x: Column) -> Column:
+    """array<map<string,string>> of a JSON text that is one object or an array of them; none where it's neither."""
+    t = F.trim(x)
+    many = F.when(t.startswith("["), t).when(t.startswith("{"), F.concat(F.lit("["), t, F.lit("]")))
+    return F.coalesce(F.filter(F.from_json(many, "array<map<string,string>>"), lambda m: m.isNotNull()), F.array().cast("array<map<string,string>>"))
 
 
 def clean_list(xs: Column) -> Column:

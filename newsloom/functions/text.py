@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .python_udfs import nfkc, unique_forms
+
 #: Query keys that only track; fixed values.
 TRACKING = ("fbclid", "gclid", "ref", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term")
 
@@ -23,11 +25,25 @@ def first_phrase(x: Column, separators: str = r"[.|:\n]", most: int = 60) -> Col
     return F.when(F.char_length(head) > most, F.concat(F.substring(head, 1, most), F.lit("…"))).otherwise(head)
 
 
-def normal_form(x: Column) -> Column:
-    """Letters and digits alone, lower-cased: the key under which chips and titles are compared."""
+def width_folded(x: Column) -> Column:
+    """NFKC; texts that are ASCII don't go to Python for it."""
+    return F.coalesce(nfkc(F.when(x.rlike(r"[^\x00-\x7F]"), x)), x)
+
+
+def letters(x: Column) -> Column:
     return F.lower(F.regexp_replace(x, r"[^\p{L}\p{N}]+", ""))
 
 
+def normal_form(x: Column) -> Column:
+    """Letters and digits alone, width-folded and lower-cased: the key under which chips and titles are compared."""
+    return letters(width_folded(x))
+
+
+def without_end(x: Column, ends: tuple[str, ...]) -> Column:
+    """The text without one of the ends, the longest that it has, and without the white space before it."""
+    return F.regexp_replace(x, r"\s*(?:" + "|".join(sorted(ends, key=len, reverse=True)) + r")\s*$", "")
+
+
 def title_key(x: Column) -> Column:
     """A title without bracketed tags and the outlet's tail, as its normal form."""
     return normal_form(F.regexp_replace(F.regexp_replace(x, r"\[[^\]]*\]|\([^)]*\)", " "), r"\s+[-|]\s+[^-|]{1,30}$", ""))
@@ -42,7 +58,7 @@ def sentences(x: Column) -> Column:
 def three_lines(x: Column) -> Column:
     """At most three lines; the third takes the rest."""
     s = sentences(x)
-    joined = F.concat(F.slice(s, 1, 2), F.array(F.array_join(F.slice(s, 3, 10_000), " ")))
+    joined = F.concat(F.slice(s, 1, 2), F.array(F.array_join(F.slice(s, F.lit(3), F.greatest(F.size(s), F.lit(1))), " ")))
     return F.when(F.size(s) > 3, joined).otherwise(s)
 
 
@@ -92,8 +108,5 @@ def message(*lines: Column, most: int = 4000) -> Column:
 
 
 def distinct_chips(chips: Column, excluded: Column) -> Column:
-    """Chips in order, one for each normal form, none whose form an excluded one has."""
-    gone = F.transform(excluded, normal_form)
-    keyed = F.transform(chips, lambda c, i: F.struct(normal_form(c).alias("key"), i.alias("i"), c.alias("chip")))
-    first = lambda k: (k["key"] != "") & ~F.array_contains(gone, k["key"]) & ~F.exists(keyed, lambda o: (o["key"] == k["key"]) & (o["i"] < k["i"]))
-    return F.transform(F.filter(keyed, first), lambda k: k["chip"])
+    """Chips in order, one for each normal form, none whose form is empty or one that an excluded one has."""
+    return unique_forms(chips, excluded)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import title_key
+from ..storage import written
+from .components import components
 
 
 def same_text(rows: DataFrame, text: str = "body", id_col: str = "id") -> DataFrame:
@@ -21,36 +23,87 @@ def grams(x: Column, n: int = 3) -> Column:
     return F.when(F.char_length(x) < n, F.array(x)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(x) - n + 1), lambda i: F.substr(x, i, F.lit(n)))))
 
 
-def near_titles(rows: DataFrame, least: float, days: int, title: str = "title", day: str = "day", id_col: str = "id", n: int = 3) -> DataFrame:
-    """a, b, similarity of titles whose n-gram sets have at least `least` in common within `days`.
+def alike_keys(keyed: DataFrame, least: float, days: int, n: int = 3) -> DataFrame:
+    """ka, kb, similarity of the distinct keys of keyed (key, day), ka < kb, whose n-gram sets have at least `least` in
+    common and some of whose days are within `days`; and not only these: whoever uses them looks at days.
 
     Prefix filtering keeps every such pair: ordered by how rare they are, the first |x| - ceil(least |x|) + 1 grams of both
-    share one. Candidates meet on such a gram and on the day's bucket (its own and the next), so no pair is missed and no
-    frequent gram is joined."""
-    keyed = rows.select(F.col(id_col).alias("id"), F.col(day).alias("day"), grams(title_key(F.col(title)), n).alias("g")).where(F.size("g") > 0)
-    every = keyed.select("id", F.explode("g").alias("gram"))
+    share one. Postings are hashes alone: of a gram and a slot of days, with the key's hash, its number of grams and the
+    gram's place. Places and numbers that can't reach `least` go in the join; texts come back for what is left."""
+    width = 8 * max(days, 1)
+    slot = lambda shift: F.floor((F.datediff("day", F.lit("1970-01-01").cast("date")) + shift) / width)
+    keys = keyed.select("key").distinct().select("key", F.xxhash64("key").alias("k"), grams(F.col("key"), n).alias("g"))
+    every = keys.select("k", F.explode(F.transform("g", lambda x: F.xxhash64(x))).alias("gram"))
     rare = every.groupBy("gram").agg(F.count("*").alias("df"))
-    ranked = every.join(rare, "gram").withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy("df", "gram")))
-    ranked = ranked.join(keyed, "id").where(F.col("rn") <= F.size("g") - F.ceil(F.lit(least) * F.size("g")) + 1)
-    slot = F.floor(F.datediff("day", F.lit("1970-01-01").cast("date")) / max(days, 1))
-    one = ranked.select("gram", slot.alias("slot"), F.struct("id", "day", "g").alias("x"))
-    other = ranked.select("gram", F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"), F.struct("id", "day", "g").alias("y"))
-    pairs = one.join(other, ["gram", "slot"]).where("x.id < y.id").where(F.abs(F.datediff("x.day", "y.day")) <= days)
-    pairs = pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.first("x.g").alias("xg"), F.first("y.g").alias("yg"))
-    both = F.size(F.array_intersect("xg", "yg"))
-    return pairs.select("a", "b", (both / (F.size("xg") + F.size("yg") - both)).alias("similarity")).where(F.col("similarity") >= least)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda n, z: n + z)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
-def near_vectors(rows: DataFrame, least: float, block: Column, vector: str = "embedding", id_col: str = "vec_id") -> DataFrame:
-    """a, b, similarity within a block (the time window of the residual candidates)."""
-    x = rows.select(block.alias("block"), F.struct(F.col(id_col).alias("id"), F.col(vector).alias("v")).alias("x"))
-    y = rows.select(block.alias("block"), F.struct(F.col(id_col).alias("id"), F.col(vector).alias("v")).alias("y"))
-    return x.join(y, "block").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), cosine(F.col("x.v"), F.col("y.v")).alias("similarity")).where(F.col("similarity") >= least)
+    ordered = every.join(rare, "gram").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
+    size = F.size("g")
+    prefix = ordered.select("k", size.alias("n"), F.posexplode(F.slice("g", 1, (size - F.ceil(F.lit(least) * size) + 1).cast("int"))).alias("at", "x")).select("k", "n", "at", F.col("x.gram").alias("gram"))
+    placed = lambda name, slots: prefix.join(keyed.select(F.xxhash64("key").alias("k"), slots.alias("slot")).distinct(), "k").select("gram", "slot", F.col("k").alias(f"k{name}"), F.col("n").alias(f"n{name}"), F.col("at").alias(f"at{name}"))
+    one, other = placed("a", slot(0)), placed("b", F.explode(F.array_distinct(F.array(slot(-days), slot(0), slot(days)))))
+    enough = F.ceil(F.lit(least) / (1 + least) * (F.col("na") + F.col("nb")) - 1e-9)
+    reach = 1 + F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) - 1
+    near = (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - 1e-9) & (reach >= enough)
+    # either side may be the one whose slots are spread, so pairs are put in order after the join
+    pairs = one.join(other, ["gram", "slot"]).where((F.col("ka") != F.col("kb")) & near).select(F.least("ka", "kb").alias("x"), F.greatest("ka", "kb").alias("y")).distinct()
+    side = lambda name, of: keys.select(F.col("k").alias(of), F.col("key").alias(f"k{name}"), F.col("g").alias(f"g{name}"))
+    found = pairs.join(side("a", "x"), "x").join(side("b", "y"), "y")
+    both = F.size(F.array_intersect("ga", "gb"))
+    found = found.select("ka", "kb", (both / (F.size("ga") + F.size("gb") - both)).alias("similarity"))
+    return found.where(F.col("similarity") >= least)
+
+
+def near_titles(rows: DataFrame, least: float, days: int, title: str = "title", day: str = "day", id_col: str = "id", n: int = 3) -> DataFrame:
+    """a, b, similarity of titles whose n-gram sets have at least `least` in common within `days`; null titles have none."""
+    keyed = rows.select(F.col(id_col).alias("id"), F.col(day).alias("day"), title_key(F.col(title)).alias("key")).where("key is not null and day is not null and id is not null")
+    alike = alike_keys(keyed, least, days, n)
+    alike = alike.unionByName(keyed.select(F.col("key").alias("ka"), F.col("key").alias("kb"), F.lit(1.0).alias("similarity")).distinct())
+    x = keyed.select(F.col("id").alias("i"), F.col("day").alias("di"), F.col("key").alias("ka"))
+    y = keyed.select(F.col("id").alias("j"), F.col("day").alias("dj"), F.col("key").alias("kb"))
+    pairs = alike.join(x, "ka").join(y, "kb").where((F.abs(F.datediff("di", "dj")) <= days) & (F.col("i") != F.col("j")) & ((F.col("ka") != F.col("kb")) | (F.col("i") < F.col("j"))))
+    return pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "similarity")
+
+
+def title_links(rows: DataFrame, least: float, days: int, title: str = "title", day: str = "day", id_col: str = "id", n: int = 3) -> DataFrame:
+    """a, b: links whose components are those of near_titles(), without its pairs between copies. Rows of one title and
+    day are one node, named by its least id, to which each links; a title's nodes link to the next day's within reach, and
+    nodes of alike titles to each other."""
+    keyed = rows.select(F.col(id_col).alias("id"), F.col(day).alias("day"), title_key(F.col(title)).alias("key")).where("key is not null and day is not null and id is not null")
+    nodes = written(keyed.groupBy("key", "day").agg(F.min("id").alias("node")), "title-nodes")
+    of_node = keyed.join(nodes, ["key", "day"]).where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    before = Window.partitionBy("key").orderBy("day")
+    next_days = nodes.withColumn("b", F.lag("node").over(before)).withColumn("gap", F.datediff("day", F.lag("day").over(before))).where(F.col("gap") <= days).select(F.col("node").alias("a"), "b")
+    x = nodes.select(F.col("node").alias("a"), F.col("day").alias("di"), F.col("key").alias("ka"))
+    y = nodes.select(F.col("node").alias("b"), F.col("day").alias("dj"), F.col("key").alias("kb"))
+    between = alike_keys(nodes, least, days, n).join(x, "ka").join(y, "kb").where(F.abs(F.datediff("di", "dj")) <= days).select("a", "b")
+    return of_node.unionByName(next_days).unionByName(between)
+
+
+def same_links(rows: DataFrame, value: Column, id_col: str = "id") -> DataFrame:
+    """a, b: each row of a value that several have, with the least of them; null values are like none."""
+    keyed = rows.select(F.col(id_col).alias("a"), value.alias("value")).where("value is not null and a is not null")
+    several = keyed.groupBy("value").agg(F.min("a").alias("b"), F.max("a").alias("most")).where("b < most").select("value", "b")
+    return keyed.join(several, "value").where("a <> b").select("a", "b")
+
+
+def clusters(rows: DataFrame, links: DataFrame, outlets: DataFrame, url: str = "url", id_col: str = "id") -> DataFrame:
+    """rows with grp (the least id that links reach), is_representative, and on representatives the aliases: the group's
+    other urls. links: the union of all kinds of links between ids."""
+    labels = components(links).select(F.col("node").alias("of"), "component")
+    grouped = rows.join(labels, F.col(id_col) == F.col("of"), "left").drop("of").withColumn("grp", F.coalesce("component", id_col)).drop("component")
+    one = representatives(grouped, outlets, F.col("grp")).select(F.col("grp").alias("of"), F.col("id").alias("one"))
+    marked = grouped.join(one, F.col("grp") == F.col("of"), "left").drop("of").withColumn("is_representative", F.col(id_col) == F.col("one")).drop("one")
+    if url not in rows.columns:
+        return marked
+    others = marked.where(~F.col("is_representative")).groupBy(F.col("grp").alias("of")).agg(F.array_sort(F.collect_set(url)).alias("aliases"))
+    return marked.join(others, (F.col("grp") == F.col("of")) & F.col("is_representative"), "left").drop("of").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
+
+
+def residual(rows: DataFrame, linked: DataFrame, similar: DataFrame, most: int, prefilter: float, order: list[Column], id_col: str = "id") -> DataFrame:
+    """Which rows of a run get an embedding: those that no exact or title link has settled, that resemble some other row
+    by at least `prefilter` (similar: id, similarity), and of these the first `most`."""
+    settled = linked.select(F.explode(F.array("a", "b")).alias(id_col)).distinct()
+    close = similar.where(F.col("similarity") >= prefilter).select(id_col).distinct()
+    return rows.join(settled, id_col, "left_anti").join(close, id_col, "left_semi").orderBy(*order).limit(most)
 
 
 def near_vectors_within(rows: DataFrame, least: float, days: int, day: str = "day", vector: str = "embedding", id_col: str = "id", size: int = 1024) -> DataFrame:

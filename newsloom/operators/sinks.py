@@ -29,8 +29,9 @@ def seeded(table: DataFrame, seeds: DataFrame, key: str, column: str) -> DataFra
 
 
 def filled(table: DataFrame, values: DataFrame, key: str, column: str) -> DataFrame:
-    """The column filled where it's null."""
-    return table.join(values.select(key, F.col(column).alias("new")), key, "left").withColumn(column, F.coalesce(column, "new")).drop("new")
+    """The column filled where it's null; of several values for a key, the least."""
+    one = values.groupBy(key).agg(F.min(column).alias("new"))
+    return table.join(one, key, "left").withColumn(column, F.coalesce(column, "new")).drop("new")
 
 
 def without(table: DataFrame, gone: DataFrame, key: str) -> DataFrame:
@@ -42,3 +43,12 @@ def kept_until(rows: DataFrame, day: str, as_of, days: dict[str, int], kind: str
     limit = F.create_map(*[F.lit(x) for pair in days.items() for x in pair])
     age = F.datediff(F.lit(as_of), F.col(day))
     return rows.where(F.coalesce(age <= F.try_element_at(limit, F.col(kind)), F.lit(True)))
+
+
+def run_log(stages: DataFrame, run_at, source_type: str, requests: int, duration_ms: int, error: str | None = None) -> DataFrame:
+    """One row for a run: what the gate saw, what is new, what it had seen before, and what the run cost."""
+    count = lambda *names: F.count_if(F.col("stage").isin(*names))
+    return stages.agg(F.count("*").alias("fetched_count"), count("kept").alias("new_count"), count("repeated").alias("dup_count"), count("stored", "ledger").alias("skipped_seen_count")).select(
+        F.lit(run_at).alias("run_at"), F.lit(source_type).alias("source_type"), "fetched_count", "new_count", "dup_count", "skipped_seen_count",
+        F.lit(requests).cast("long").alias("http_request_count"), F.lit(duration_ms).cast("long").alias("duration_ms"), F.lit(error).cast("string").alias("error"),
+    )

@@ -5,12 +5,17 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions import bills
 from ..functions import text as X
-from ..operators import dedup, items, rules, stats
+from ..operators import articles as A
+from ..operators import dedup, items, rules, scorer, stats
+from ..params import DEFAULT as P
 from ..sources.fixtures import table, view, with_views
 
 AS_OF = date(2024, 1, 31)
+ITEMS_AS_OF = date(1998, 7, 1)
 QUERIES = {}
 LANGS = {"english": (" the ", " and "), "german": (" der ", " und "), "french": (" les ", " des ")}
 RULES = (rules.Rule("opening", 50, ("The ", "Das "), "title"), rules.Rule("tion", 25, ("tion",), "body"), rules.Rule("licence", 20, ("Licensed",)), rules.Rule("noise", -15, ("%%%", "$$$")))
@@ -77,33 +82,74 @@ QUERIES["dup_representative"] = (
     lambda s, d: dedup.representatives(_articles(s, d), view(s, d, "outlets"), F.sha2("body", 256)),
     _sql("select grp, id, members from (select sha256(body) as grp, id, count(*) over (partition by sha256(body)) as members, row_number() over (partition by sha256(body) order by coalesce(tier, 9), coalesce(body, '') = '', published_on, id) as rn from articles left join outlets using (press)) z where rn = 1", "articles", "outlets"),
 )
-QUERIES["dup_title_blocked"] = (
-    lambda s, d: dedup.near_titles(_articles(s, d).where(F.col("category") == "en").select("id", F.substring(_title(), 1, 60).alias("title"), F.col("published_on").alias("day")), 0.9, 1).select("a", "b", F.round("similarity", 6).alias("similarity")),
-    _sql("""with t as (select id, published_on as day, lower(regexp_replace(regexp_replace(regexp_replace(substr(split_part(body, chr(10), 1), 1, 60), '\\[[^\\]]*\\]|\\([^)]*\\)', ' ', 'g'), '\\s+[-|]\\s+[^-|]{1,30}$', ''), '[^\\p{L}\\p{N}]+', '', 'g')) as k from articles where category = 'en'),
+# Titles of all articles, whole first lines. The SQL compares each two of near days and like lengths, which is slow on
+# large tables.
+TITLE_PAIRS = """t as (select id, published_on as day, lower(regexp_replace(regexp_replace(regexp_replace(split_part(body, chr(10), 1), '\\[[^\\]]*\\]|\\([^)]*\\)', ' ', 'g'), '\\s+[-|]\\s+[^-|]{1,30}$', ''), '[^\\p{L}\\p{N}]+', '', 'g')) as k from articles where body is not null),
 g as (select id, day, list_distinct(case when length(k) < 3 then [k] else list_transform(range(1, length(k) - 1), lambda i: substr(k, i, 3)) end) as g from t),
-p as (select x.id as a, y.id as b, len(list_intersect(x.g, y.g)) as n, len(x.g) as nx, len(y.g) as ny from g x join g y on x.id < y.id and abs(date_diff('day', x.day, y.day)) <= 1)
-select a, b, round(n / (nx + ny - n), 6) as similarity from p where n / (nx + ny - n) >= 0.9""".replace("\\\\", "\\")),
-)
-QUERIES["dup_vector"] = (
-    lambda s, d: dedup.near_vectors(table(s, d, "embeddings"), 0.35, F.col("vec_id") % 30).select("a", "b", F.round("similarity", 6).alias("similarity")),
-    "select x.vec_id as a, y.vec_id as b, round(list_cosine_similarity(x.embedding::double[], y.embedding::double[]), 6) as similarity from embeddings x join embeddings y on x.vec_id % 30 = y.vec_id % 30 and x.vec_id < y.vec_id where list_cosine_similarity(x.embedding::double[], y.embedding::double[]) >= 0.35",
-)
-QUERIES["dup_title_all"] = (
-    lambda s, d: dedup.near_titles(_articles(s, d).select("id", _title().alias("title"), F.col("published_on").alias("day")), 0.9, 1).select("a", "b", F.round("similarity", 6).alias("similarity")),
-    None,
+p as (select x.id as a, y.id as b, len(list_intersect(x.g, y.g)) as n, len(x.g) as nx, len(y.g) as ny from g x join g y on x.id < y.id and abs(date_diff('day', x.day, y.day)) <= 1 and len(x.g) >= 0.9 * len(y.g) and len(y.g) >= 0.9 * len(x.g)),
+tp as (select a, b, round(n / (nx + ny - n), 6) as similarity from p where n / (nx + ny - n) >= 0.9)"""
+QUERIES["dup_title_blocked"] = QUERIES["dup_title_all"] = (
+    lambda s, d: dedup.near_titles(_articles(s, d).select("id", _title().alias("title"), F.col("published_on").alias("day")), P.title_ratio, P.title_days).select("a", "b", F.round("similarity", 6).alias("similarity")),
+    _sql(f"with {TITLE_PAIRS} select a, b, similarity from tp"),
 )
 VECTOR_DAY = "date '2024-01-01' + cast((vec_id * 37) % 30 as int)"
-QUERIES["dup_vector_days"] = (
-    lambda s, d: dedup.near_vectors_within(table(s, d, "embeddings").select("vec_id", "embedding", F.expr(VECTOR_DAY).alias("day")), 0.35, 1, id_col="vec_id").select("a", "b", F.round("similarity", 6).alias("similarity")),
-    f"with e as (select vec_id, embedding::double[] as v, {VECTOR_DAY} as day from embeddings), p as (select x.vec_id as a, y.vec_id as b, list_cosine_similarity(x.v, y.v) as c from e x join e y on x.vec_id < y.vec_id and abs(date_diff('day', x.day, y.day)) <= 1) select a, b, round(c, 6) as similarity from p where c >= 0.35",
+# The tables' vectors are nowhere as near as the default asks, so these queries take a lower threshold.
+LEAST = 0.35
+VECTOR_PAIRS = f"e as (select vec_id, embedding::double[] as v, {VECTOR_DAY} as day from embeddings), vp as (select x.vec_id as a, y.vec_id as b, list_cosine_similarity(x.v, y.v) as c from e x join e y on x.vec_id < y.vec_id and abs(date_diff('day', x.day, y.day)) <= 1)"
+QUERIES["dup_vector"] = QUERIES["dup_vector_days"] = (
+    lambda s, d: dedup.near_vectors_within(table(s, d, "embeddings").select("vec_id", "embedding", F.expr(VECTOR_DAY).alias("day")), LEAST, 1, id_col="vec_id").select("a", "b", F.round("similarity", 6).alias("similarity")),
+    f"with {VECTOR_PAIRS} select a, b, round(c, 6) as similarity from vp where c >= {LEAST}",
+)
+
+
+def _cluster_links(s, d):
+    rows = view(s, d, "articles_full")
+    titles = dedup.title_links(rows.select("id", "title", F.col("published_on").alias("day")), P.title_ratio, P.title_days)
+    vectors = dedup.near_vectors_within(table(s, d, "embeddings").select("vec_id", "embedding", F.expr(VECTOR_DAY).alias("day")), LEAST, 1, id_col="vec_id")
+    return rows, dedup.same_links(rows, X.normal_url(F.col("url"))).unionByName(dedup.same_links(rows, F.sha2("body", 256))).unionByName(titles).unionByName(vectors.select("a", "b"))
+
+
+def dup_clusters(s, d):
+    """Groups by url, text, title and vector links together, a representative each, and its aliases."""
+    rows, links = _cluster_links(s, d)
+    done = dedup.clusters(rows.select("id", "press", "published_on", "body", "url"), links, view(s, d, "outlets"))
+    return done.select("id", "grp", "is_representative", F.array_join("aliases", " ").alias("aliases"))
+
+
+QUERIES["dup_clusters"] = (
+    dup_clusters,
+    _sql(
+        f"""with {TITLE_PAIRS}, {VECTOR_PAIRS},
+l as (select id as a, min(id) over (partition by url) as b from articles_full union all select id, min(id) over (partition by body) from articles_full where body is not null union all select a, b from tp union all select a, b from vp where c >= {LEAST}),
+both_ways as (select a, b from l where a <> b union select b, a from l where a <> b),
+r as (select id as node, id as other from articles_full union select r.node, w.b from r join both_ways w on r.other = w.a),
+c as (select node as id, min(other) as grp from r where node in (select id from articles_full) group by 1),
+m as (select f.id, c.grp, f.url, row_number() over (partition by c.grp order by coalesce(o.tier, 9), coalesce(body, '') = '', published_on, f.id) as rn from articles_full f join c on c.id = f.id left join outlets o on o.press = f.press)
+select id, grp, rn = 1 as is_representative, case when rn = 1 then coalesce((select string_agg(distinct x.url, ' ' order by x.url) from m x where x.grp = m.grp and x.rn > 1), '') else '' end as aliases from m""",
+        "articles", "articles_full", "outlets",
+    ).replace("with ", "with recursive ", 1),
+)
+QUERIES["dup_url"] = (
+    lambda s, d: dedup.same_links(view(s, d, "articles_full"), X.normal_url(F.col("url"))),
+    _sql("select id as a, b from (select id, min(id) over (partition by url) as b from articles_full) z where id <> b", "articles_full"),
+)
+QUERIES["dup_residual"] = (
+    lambda s, d: dedup.residual(
+        view(s, d, "articles_full"), dedup.same_links(view(s, d, "articles_full"), F.sha2("body", 256)), table(s, d, "embeddings").select(F.col("vec_id").alias("id"), (F.abs(F.get("embedding", F.lit(0))) * 4).alias("similarity")), P.embeddings_a_run, P.prefilter, [F.desc("published_on"), F.col("id")]
+    ).select("id"),
+    _sql(
+        f"with l as (select id, min(id) over (partition by body) as b, count(*) over (partition by body) as n from articles_full where body is not null) select id from articles_full where id not in (select id from l where n > 1) and id in (select vec_id from embeddings where abs(embedding[1]::float) * 4 >= {P.prefilter}) order by published_on desc, id limit {P.embeddings_a_run}",
+        "articles_full",
+    ),
 )
 QUERIES["news_merge"] = (
     lambda s, d: stats.merged_news(_articles(s, d), view(s, d, "items"), "en", 120),
     _sql("select kind, id, day from (select 'article' as kind, id, published_on as day from articles where category = 'en' union all select 'item', id, collected_on from items) z order by day desc, kind, id limit 120", "articles", "items"),
 )
 QUERIES["weekly_report"] = (
-    lambda s, d: _articles(s, d).where(F.datediff(F.lit(AS_OF), "published_on").between(1, 7)).groupBy("category", "tone").agg(F.count("*").alias("n"), F.round(F.avg("importance_score"), 4).alias("mean_score")),
-    _sql("select category, tone, count(*) as n, round(avg(importance_score), 4) as mean_score from articles where date_diff('day', published_on, date '2024-01-31') between 1 and 7 group by 1, 2"),
+    lambda s, d: A.weekly(_articles(s, d), view(s, d, "items"), AS_OF, ITEMS_AS_OF),
+    _sql("""select 'articles' as kind, category as part, tone as of, count(*) as n, round(avg(importance_score), 4) as mean_score from articles where date_diff('day', published_on, date '2024-01-31') between 1 and 7 group by 2, 3
+union all select 'items', item_type, '', least(count(*), 120), null from items where date_diff('day', collected_on, date '1998-07-01') between 1 and 7 group by 2""", "articles", "items"),
 )
 QUERIES["roster_party"] = (
     lambda s, d: stats.party_of(_articles(s, d).select(F.col("press").alias("name"), F.when(F.regexp_extract("press", r"\d+", 0).cast("int") % 2 == 0, "even").otherwise(F.col("category")).alias("party"))),
@@ -113,11 +159,7 @@ QUERIES["text_collapse"] = (
     lambda s, d: _articles(s, d).select("id", F.sha2(X.collapsed(F.col("body")), 256).alias("digest")),
     _sql("select id, sha256(trim(regexp_replace(body, '[\\s\\x{85}\\x{A0}\\x{3000}\\x{2000}-\\x{200A}\\x0B]+', ' ', 'g'))) as digest from articles"),
 )
-QUERIES["title_normal_form"] = (
-    lambda s, d: _articles(s, d).select("id", X.normal_form(F.substring(_title(), 1, 80)).alias("k")),
-    _sql("select id, lower(regexp_replace(substr(split_part(body, chr(10), 1), 1, 80), '[^\\p{L}\\p{N}]+', '', 'g')) as k from articles"),
-)
-QUERIES["title_whole_form"] = (
+QUERIES["title_normal_form"] = QUERIES["title_whole_form"] = (
     lambda s, d: _articles(s, d).select("id", X.normal_form(_title()).alias("k")),
     _sql("select id, lower(regexp_replace(split_part(body, chr(10), 1), '[^\\p{L}\\p{N}]+', '', 'g')) as k from articles"),
 )
@@ -125,3 +167,70 @@ QUERIES["group_facet_articles"] = (
     lambda s, d: _articles(s, d).select(F.explode(items.matching_groups(F.col("body"), ("idiot", "Licensed", "token"))).alias("grp")).groupBy("grp").agg(F.count("*").alias("n")),
     _sql("select grp, count(*) as n from (select unnest(['idiot', 'Licensed', 'token']) as grp, body from articles) z where contains(body, grp) group by 1"),
 )
+
+# --- lists and dashboards ----------------------------------------------------------------------------------------------
+
+FULL = "articles_full"
+
+
+def _full(s, d):
+    return view(s, d, FULL)
+
+
+QUERIES["articles_filtered"] = (
+    lambda s, d: A.chosen(_full(s, d), AS_OF, groups=("A", "C"), outlets=("src1", "src2", "src3", "src5"), tones=("positive", "unrated"), low="90", high="20", period="30d", author="rep").orderBy(*A.order_by("score")).limit(9).select("id", "press", "author", F.col("importance_score").cast("long").alias("score")),
+    _sql("select id, press, author, importance_score::bigint as score from articles_full where list_has_any(group_companies, ['A', 'C']) and press in ('src1', 'src2', 'src3', 'src5') and tone in ('positive', 'unrated') and importance_score between 20 and 90 and date_diff('day', published_on, date '2024-01-31') between 0 and 29 and contains(author, 'rep') order by source_type = 'manual' desc, importance_score desc, published_on desc, id desc limit 9", FULL),
+)
+QUERIES["articles_search"] = (
+    lambda s, d: A.chosen(_full(s, d), AS_OF, text="tion", body="der", low=0, high="abc", period="all").agg(F.count("*").alias("n"), F.min("id").alias("first")),
+    _sql("select count(*) as n, min(id) as first from articles_full where (contains(title, 'tion') or contains(body, 'tion')) and contains(body, 'der')", FULL),
+)
+QUERIES["article_history"] = (
+    lambda s, d: A.history(_full(s, d), "y", AS_OF).select("id", "published_on"),
+    _sql("select id, published_on from articles_full where date_diff('day', published_on, date '2024-01-31') between 0 and 45 and list_contains(categories, 'y') order by published_on desc, id desc limit 400", FULL),
+)
+QUERIES["articles_visible"] = (
+    lambda s, d: A.visible(_full(s, d), view(s, d, "outlets").withColumn("status", F.when(F.col("tier") < 3, "approved").otherwise("pending"))).groupBy("press").agg(F.count("*").alias("n")),
+    _sql("select press, count(*) as n from articles_full where status = 'active' and press in (select press from outlets where tier < 3) group by 1", FULL, "outlets"),
+)
+QUERIES["dashboard_totals"] = (
+    lambda s, d: A.dashboard(_articles(s, d), view(s, d, "queue").withColumn("state", F.when(F.col("topic") == "error", "failed")), view(s, d, "queue").where("topic = 'view'"), date(2024, 1, 30)),
+    _sql("select count(*) as total, count_if(published_on = date '2024-01-30')::bigint as today, max(published_on) as last_collected, count_if(tone = 'unrated')::bigint as analysis_pending, (select count(*) from queue where topic = 'error') as notify_failed, (select count(*) from queue where topic = 'view') as log_total from articles", "articles", "queue"),
+)
+QUERIES["analysis_pending"] = (
+    lambda s, d: A.drill_down(_articles(s, d).withColumn("day", F.col("published_on")), "tone", "unrated", 30).select("id", "day"),
+    _sql("select id, published_on as day from articles where tone = 'unrated' order by published_on desc, id desc limit 30"),
+)
+QUERIES["outlet_reporters"] = (
+    lambda s, d: A.reporters(_full(s, d), AS_OF),
+    _sql("select press, author, n, positive, negative, row_number() over (partition by press order by n desc, author) as place from (select press, author, count(*) as n, count_if(tone = 'positive')::bigint as positive, count_if(tone = 'negative')::bigint as negative from articles_full where date_diff('day', published_on, date '2024-01-31') between 0 and 364 and trim(coalesce(author, '')) <> '' group by 1, 2) z", FULL),
+)
+QUERIES["articles_in_turns"] = (
+    lambda s, d: A.in_turns(_full(s, d), "group_companies", [F.desc("importance_score"), F.col("id")], 25).select("id", "company", F.col("turn").cast("long").alias("turn")),
+    _sql("select id, company, turn from (select id, company, row_number() over (partition by company order by importance_score desc, id) as turn from (select *, coalesce(group_companies[1], '') as company from articles_full) z) y order by turn, company, id limit 25", FULL),
+)
+QUERIES["article_bodies"] = (
+    lambda s, d: A.bodies(_full(s, d).select("id", "url"), _full(s, d).where("id % 3 = 0").select("url", "body"), "url").select("id", F.char_length("body").cast("long").alias("n")),
+    _sql("with b as (select url, max(length(body)) as n from articles_full where id % 3 = 0 group by 1) select id, coalesce(b.n, 0) as n from articles_full a left join b on a.url = b.url", FULL),
+)
+QUERIES["feed_keywords"] = (
+    lambda s, d: A.matching(_articles(s, d), ("Licensed", "und", "tion"), "body").groupBy("matched").agg(F.count("*").alias("n")),
+    _sql("select case when contains(body, 'Licensed') then 'Licensed' when contains(body, 'und') then 'und' else 'tion' end as matched, count(*) as n from articles where contains(body, 'Licensed') or contains(body, 'und') or contains(body, 'tion') group by 1"),
+)
+QUERIES["groups_normal"] = (
+    lambda s, d: _full(s, d).select("id", F.array_join(rules.normal_groups(F.col("group_companies"), {"A": ("B", "C"), "D": ()}), ",").alias("groups"), F.array_join(rules.normal_keywords(F.array(F.lit("B"), F.lit(" k1 "), F.col("press"), F.lit(""), F.lit("k1")), F.col("group_companies")), ",").alias("keywords")),
+    _sql("select id, case id % 4 when 0 then 'B' when 1 then 'B' when 2 then 'C' else '' end as groups, case when id % 4 in (0, 1) then '' else 'B,' end || 'k1,' || press as keywords from articles_full", FULL),
+)
+SCORER = scorer.rule_scorer(RULES, {"positive": ("tion",), "negative": ("idiot",)}, {"english": (" the ",), "german": (" der ",)}, ("Licensed",))
+QUERIES["scored_groups"] = (
+    lambda s, d: scorer.judged(_full(s, d).withColumn("grp", F.sha2("body", 256)).withColumn("is_representative", F.row_number().over(Window.partitionBy("grp").orderBy("id")) == 1), SCORER).select("id", F.col("judgement.score").alias("score"), F.col("judgement.tone").alias("tone"), F.array_join("judgement.groups", ",").alias("groups")),
+    _sql(f"with {PARTS.replace('from articles)', 'from articles_full)')} select p.id, greatest(0, least(100, a + b + c + e))::bigint as score, case when contains(body, 'tion') then 'positive' when contains(body, 'idiot') then 'negative' else 'neutral' end as tone, concat_ws(',', case when contains(body, ' the ') then 'english' end, case when contains(body, ' der ') then 'german' end) as groups from p join articles_full using (id)", FULL),
+)
+QUERIES["tone_fallback"] = (
+    lambda s, d: _articles(s, d).groupBy(rules.sane_tone(F.col("tone")).alias("tone")).agg(F.count("*").alias("n")),
+    _sql("select case when tone in ('positive', 'negative') then tone else 'neutral' end as tone, count(*) as n from articles group by 1"),
+)
+QUERIES["summary_lines"] = (
+    lambda s, d: _articles(s, d).select("id", bills.summary_header(F.col("press"), F.when(F.col("id") % 2 == 0, F.col("category"))).alias("header"), F.size(X.three_lines(F.col("body"))).cast("long").alias("n")),
+    _sql("select id, '[' || press || case when id % 2 = 0 then ', ' || category else '' end || ']' as header, least(3, len(list_filter(list_transform(string_split_regex(regexp_replace(body, '([.!?。])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: trim(regexp_replace(x, '^[\\s\\-*•·\\d.)]+', ''))), lambda x: x <> '')))::bigint as n from articles"),
+)

@@ -40,8 +40,14 @@ def _sql(body: str, *views: str) -> str:
 
 
 def _page(sort: str, **chosen):
+    of_items = {k: v for k, v in chosen.items() if k in ("item_types", "statuses", "due", "text")}
+    others = {k: v for k, v in chosen.items() if k not in of_items}
+
     def query(spark, d):
-        rows = I.chosen(_joined(spark, d), **chosen)
+        items = I.chosen(view(spark, d, "items"), **of_items)  # what items alone decide comes before the joins
+        join = I.joined_few if "due" in of_items else I.joined
+        rows = join(items, view(spark, d, "agencies"), view(spark, d, "analyses")).withColumn("priority", I.priority(WORDS, GROUPS))
+        rows = I.chosen(rows, **others)
         return I.page(rows, I.order_by(sort), 1, P.page_size).select("rank", "id", "item_type", "title", "agency", "impact", "notice_end", F.col("priority").cast("long").alias("priority"), "total")
 
     return query
@@ -54,7 +60,10 @@ def _page_sql(where: str, order: str) -> str:
 QUERIES["items_list_deadline"] = (_page("deadline", item_types=("bill", "legislation"), due=30), _page_sql(f"item_type in ('bill', 'legislation') and notice_end between {DAY} and {DAY} + 30", DEADLINE))
 QUERIES["items_list_recent"] = (_page("recent", impacts=("high", ""), statuses=("O", "")), _page_sql("impact in ('high', '') and coalesce(status, '') in ('O', '')", RECENT))
 QUERIES["items_list_impact"] = (_page("impact", due=14), _page_sql(f"notice_end between {DAY} and {DAY} + 14", f"irank desc, {DEADLINE}"))
-QUERIES["items_list_priority"] = (_page("priority", text="BUILDING"), _page_sql("contains(title, 'BUILDING')", f"priority desc, {RECENT}"))
+QUERIES["items_list_priority"] = (
+    _page("priority", text="BUILDING"),
+    _sql(f"select t.rank, r.id, r.item_type, r.title, r.agency, r.impact, r.notice_end, r.priority::bigint as priority, (select count(*) from r where contains(title, 'BUILDING')) as total from r join (select id, row_number() over () as rank from (select id from r where contains(title, 'BUILDING') order by priority desc, {RECENT} limit 9) y) t on t.id = r.id"),
+)
 QUERIES["items_due_ignored"] = (_page("deadline", due=13), _page_sql("true", DEADLINE))
 QUERIES["items_by_agency"] = (_page("deadline", agencies=("NATION_3", "NATION_7")), _page_sql("agency in ('NATION_3', 'NATION_7')", DEADLINE))
 QUERIES["keyset_page"] = (
@@ -92,7 +101,7 @@ QUERIES["stats_totals"] = (
     with_views(f"select count(*) as total, count_if(notice_end >= {DAY})::bigint as open, count_if(id in (select policy_item_id from analyses))::bigint as analysed, max(collected_on) as last_collected from items", "items", "analyses"),
 )
 QUERIES["calendar_month"] = (
-    lambda s, d: I.calendar(_joined(s, d), date(1998, 7, 1)).select("id", "notice_end", F.col("priority").cast("long").alias("priority")),
+    lambda s, d: I.joined_few(I.calendar(view(s, d, "items"), "1998-07"), view(s, d, "agencies"), view(s, d, "analyses")).withColumn("priority", I.priority(WORDS, GROUPS)).orderBy(*I.calendar_order()).select("id", "notice_end", F.col("priority").cast("long").alias("priority")),
     _sql("select id, notice_end, priority::bigint as priority from r where notice_end >= date '1998-07-01' and notice_end < date '1998-08-01'"),
 )
 QUERIES["upcoming_15"] = (
@@ -139,3 +148,110 @@ QUERIES["category_facets_cube"] = (
     lambda s, d: _joined(s, d).rollup("item_type", "impact").agg(F.count("*").alias("n"), F.grouping_id().cast("long").alias("level")),
     _sql("select item_type, impact, count(*) as n, grouping(item_type, impact)::bigint as level from r group by rollup(item_type, impact)"),
 )
+
+# --- the whole view ---------------------------------------------------------------------------------------------------
+
+STAGE = "BRASS|BRUSHED"
+VIEW = dict(interest=("cat1", "cat2"), direct_words=("ANODIZED", "PLATED"), focus="AUTOMOBILE", stages=STAGE, placeholder="no text yet")
+FULL = ("items_full", "agencies", "analyses_full")
+ALSO = ("summary", "impact_rationale", "affected_areas", "suggested_action", "model")
+# DuckDB's patterns have no look-behind: a mark is put after each sentence's end, and texts are cut there
+SENTENCES = "list_filter(list_transform(string_split_regex(regexp_replace(coalesce(summary, ''), '([.!?。])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda s: trim(regexp_replace(s, '^[\\s\\-*•·\\d.)]+', ''))), lambda s: s <> '')"
+LIST = "coalesce(try_cast(case when json_valid({0}) then {0} end::json as varchar[]), [])"
+FULL_SQL = f"""
+la as (select * from (select *, row_number() over (partition by policy_item_id order by created_on desc, l_linenumber desc, l_partkey desc, l_suppkey desc, l_extendedprice desc, l_quantity desc) rn from analyses_full) z where rn = 1),
+j as materialized (select i.*, nullif(a.name, '') as agency_name, coalesce(nullif(a.name, ''), nullif(i.agency_raw, '')) as agency_any, coalesce(la.impact_level, '') as impact, la.summary as summary, la.impact_rationale as rationale, la.suggested_action as action, la.affected_areas as areas, la.model as model
+      from items_full i left join agencies a on i.agency_id = a.id left join la on i.id = la.policy_item_id),
+v as (select *, {LIST.format("groups")} as gs, {LIST.format("attachments")} as files, {LIST.format("proposers")} as names, {SENTENCES} as sents, date_diff('day', {DAY}, notice_end) as dd,
+      regexp_extract(title, '\\((홍길동)의원 등 (\\d+)인\\)', 1) as named, try_cast(regexp_extract(title, '\\((홍길동)의원 등 (\\d+)인\\)', 2) as bigint) as counted,
+      case when contains(title, 'ANODIZED') then 'ANODIZED' when contains(title, 'PLATED') then 'PLATED' end as word from j),
+w as (select *, list_contains(gs, 'AUTOMOBILE') as focused, list_filter(gs, lambda g: g <> 'AUTOMOBILE') as others, concat_ws(' ', title, coalesce(summary, ''), coalesce(rationale, ''), coalesce(law_name, ''), coalesce(status, '')) as texts from v),
+u as (select *, impact <> 'none' and (focused or (word is not null and impact <> 'low') or impact = 'high') as direct,
+      coalesce(case when dd between 0 and 14 then 'D-' || dd end, nullif(regexp_extract(texts, '{STAGE}'), '')) as stage from w),
+t as (select *, case when direct then 3 when len(others) > 0 or impact in ('medium', 'low') or category in ('cat1', 'cat2') then 2 else 1 end as priority,
+      case when direct then concat_ws(' + ', case when focused then 'focus group' when word is not null then 'title: ' || word else 'high impact' end, stage)
+           when len(others) > 0 then 'groups: ' || array_to_string(others, ', ') when impact in ('medium', 'low') then 'impact: ' || impact when category in ('cat1', 'cat2') then 'category: ' || category else 'other' end as reason,
+      list_filter([trim(title), trim(coalesce(law_name, '')), case when notice_start is not null or notice_end is not null then coalesce(notice_start::varchar, '?') || ' ~ ' || coalesce(notice_end::varchar, '?') end, trim(coalesce(status, '')), trim(coalesce(rationale, ''))], lambda x: x is not null and x <> '') as more from u),
+o as materialized (select id, title, coalesce(nullif(url_canonical, ''), url_source) as url, item_type, category, coalesce(law_name, '') as law_name,
+      coalesce(agency_name, case when agency_raw in ('O', 'F', 'P') or agency_raw is null or regexp_full_match(agency_raw, '[0-9[:punct:]\\s]*') then '' else agency_raw end) as agency, notice_start, notice_end, dd as d_day, coalesce(status, '') as status, coalesce(opinion_url, '') as opinion_url,
+      case when item_type = 'trade_webzine' then '' else array_to_string(files, '|') end as attachments, case when item_type = 'trade_webzine' then coalesce(files[1], '') end as thumbnail, impact as impact_level, coalesce(summary, '') as summary, coalesce(rationale, '') as impact_rationale,
+      array_to_string(list_filter(list_transform({LIST.format("areas")}, lambda x: trim(x)), lambda x: x <> ''), '|') as areas,
+      case when action like 'do this%' then 'do this' when action = 'act only' then 'act only' else '' end as suggested_action,
+      case when impact = 'none' or action is null or not contains(action, '[시사점] ') or action like '%] -' then '' else regexp_extract(action, '\\] (.*)$', 1) end as implication,
+      array_to_string(gs, '|') as group_companies, published_at::varchar as published_at,
+      case when item_type = 'bill' and len(names) = 0 and named <> '' then named else array_to_string(names, '|') end as proposers,
+      case when item_type = 'bill' and named <> '' then greatest(len(names), greatest(counted, 1)) else len(names) end as proposer_total, priority::bigint as priority, reason as priority_reason,
+      array_to_string(case when coalesce(summary, '') <> 'no text yet' and len(sents) > 3 then [sents[1], sents[2], array_to_string(sents[3:], ' ')]
+           else list_filter(list_transform(list_concat(case when coalesce(summary, '') = 'no text yet' then [] else sents end, more), lambda x, i: case when list_position(list_concat(case when coalesce(summary, '') = 'no text yet' then [] else sents end, more), x) = i then x end), lambda x: x is not null)[1:3] end, '|') as summary_lines, collected_on, gs from t)
+"""
+ALL = "id, title, url, item_type, category, law_name, agency, notice_start, notice_end, d_day, status, opinion_url, attachments, thumbnail, impact_level, summary, impact_rationale, areas, suggested_action, implication, group_companies, published_at, proposers, proposer_total, priority, priority_reason, summary_lines"
+
+
+def _full(s, d, *names):
+    return [view(s, d, n) for n in (names or FULL)]
+
+
+def _viewed(s, d, items=None, few=False):
+    all_items, agencies, analyses = _full(s, d)
+    join = I.joined_few if few else I.joined
+    return I.view(join(items if items is not None else all_items, agencies, analyses, *ALSO), **VIEW)
+
+
+def _flat(rows):
+    joined = lambda c: F.array_join(c, "|")
+    rows = rows.withColumns({"attachments": joined("attachment_urls"), "areas": joined("affected_areas"), "group_companies": joined("group_companies"), "proposers": joined("proposers"), "summary_lines": joined("summary_lines"), "priority": F.col("priority").cast("long")})
+    return rows.select(*ALL.split(", "))
+
+
+def _full_sql(body, *views):
+    return with_views(f"with {FULL_SQL} {body}", *(views or FULL))
+
+
+QUERIES["items_view"] = (lambda s, d: _flat(_viewed(s, d)), _full_sql(f"select {ALL} from o"))
+QUERIES["item_detail"] = (lambda s, d: _flat(_viewed(s, d, view(s, d, "items_full").where("id = 77"), few=True)), _full_sql(f"select {ALL} from o where id = 77"))
+QUERIES["items_search"] = (
+    lambda s, d: I.page(I.chosen(_viewed(s, d), text="BRASS"), I.order_by("recent"), 1, P.page_size).select("rank", "id", "total"),
+    _full_sql("select row_number() over () as rank, id, (select count(*) from o where contains(title, 'BRASS') or contains(law_name, 'BRASS') or contains(summary, 'BRASS')) as total from (select id from o where contains(title, 'BRASS') or contains(law_name, 'BRASS') or contains(summary, 'BRASS') order by coalesce(notice_start, collected_on) desc, collected_on desc, id limit 9) z"),
+)
+QUERIES["items_by_group"] = (
+    lambda s, d: I.chosen(_viewed(s, d), groups=("MACHINERY", "FURNITURE")).groupBy("item_type").agg(F.count("*").alias("n"), F.min("id").alias("first")),
+    _full_sql("select item_type, count(*) as n, min(id) as first from o where list_has_any(gs, ['MACHINERY', 'FURNITURE']) group by 1"),
+)
+QUERIES["items_by_priority"] = (
+    lambda s, d: I.page(I.chosen(_viewed(s, d), priorities=(3,), due=14), I.order_by("priority"), 1, P.page_size).select("rank", "id", F.col("priority").cast("long").alias("priority"), "total"),
+    _full_sql(f"select row_number() over () as rank, id, priority, (select count(*) from o where priority = 3 and notice_end between {DAY} and {DAY} + 14) as total from (select id, priority from o where priority = 3 and notice_end between {DAY} and {DAY} + 14 order by priority desc, coalesce(notice_start, collected_on) desc, collected_on desc, id limit 9) z"),
+)
+QUERIES["priority_reasons"] = (lambda s, d: _viewed(s, d).groupBy(F.col("priority").cast("long").alias("priority"), "priority_reason").agg(F.count("*").alias("n")), _full_sql("select priority, priority_reason, count(*) as n from o group by 1, 2"))
+QUERIES["items_without_groups"] = (lambda s, d: I.without_groups(view(s, d, "items_full")).select("id"), with_views("select id from items_full where coalesce(groups, '') in ('', '[]')", "items_full"))
+LATEST = "la as (select * from (select *, row_number() over (partition by policy_item_id order by created_on desc, l_linenumber desc, l_partkey desc, l_suppkey desc, l_extendedprice desc, l_quantity desc) rn from analyses_full) z where rn = 1)"
+QUERIES["items_placeholder"] = (
+    lambda s, d: I.placeholders(*_full(s, d, "items_full", "analyses_full"), "no text", 50).select("id", "summary", "collected_on"),
+    with_views(f"with {LATEST} select i.id, summary, collected_on from items_full i join la on la.policy_item_id = i.id where starts_with(summary, 'no text') order by collected_on desc, i.id limit 50", "items_full", "analyses_full"),
+)
+QUERIES["items_without_implication"] = (
+    lambda s, d: I.without_implication(*_full(s, d, "items_full", "analyses_full"), 50).select("id", "impact"),
+    with_views(f"with {LATEST} select i.id, impact_level as impact from items_full i join la on la.policy_item_id = i.id where not contains(coalesce(suggested_action, ''), '[시사점] ') and coalesce(model, '') <> 'rule' order by impact_level in ('high', 'medium') desc, collected_on desc, i.id limit 50", "items_full", "analyses_full"),
+)
+QUERIES["reanalysis_targets"] = (
+    lambda s, d: I.to_reanalyse(view(s, d, "items_full").where("item_type <> 'bill'"), view(s, d, "analyses_full"), "no text", 200),
+    with_views(f"with {LATEST} select i.id, case when starts_with(summary, 'no text') then 1 else 3 end::bigint as why from items_full i join la on la.policy_item_id = i.id where item_type <> 'bill' and (coalesce(starts_with(summary, 'no text'), false) or (not contains(coalesce(suggested_action, ''), '[시사점] ') and coalesce(model, '') <> 'rule')) order by case when starts_with(summary, 'no text') then 1 else 3 end, collected_on desc, i.id limit 200", "items_full", "analyses_full"),
+)
+QUERIES["analysed_since"] = (lambda s, d: I.analysed_since(view(s, d, "analyses"), date(1998, 6, 1)), with_views("select count(*) as n from analyses where created_on >= date '1998-06-01'", "analyses"))
+QUERIES["stats_excluded"] = (lambda s, d: I.excluded(view(s, d, "items").where("id % 9 = 0").select(F.concat(F.lit("u"), F.col("id") % 100).alias("url"))), with_views("select count(distinct id % 100) as excluded from items where id % 9 = 0", "items"))
+QUERIES["urgent_head"] = (
+    lambda s, d: I.urgent_head(view(s, d, "items")).select("id", "notice_end", "total"),
+    with_views(f"select id, notice_end, (select count(*) from items where notice_end between {DAY} and {DAY} + 7 and coalesce(status, '') <> 'F') as total from (select * from items where notice_end between {DAY} and {DAY} + 7 and coalesce(status, '') <> 'F' order by notice_end, id limit 5) z", "items"),
+)
+QUERIES["calendar_malformed"] = (
+    lambda s, d: I.calendar(view(s, d, "items"), "1998-13").agg(F.count("*").alias("n")),
+    with_views("select count(*) as n from items where notice_end >= date '1998-07-01' and notice_end < date '1998-08-01'", "items"),
+)
+QUERIES["facet_agency_ordered"] = (
+    lambda s, d: I.agency_facet(_joined(s, d), view(s, d, "agencies"), "ministry").orderBy(*I.facet_order()).limit(7),
+    _sql("select * from (select agency, sum(n)::bigint as n from (select agency, count(*) n from r where agency is not null group by 1 union all select name, 0 from agencies where kind = 'ministry' and enabled) z group by 1) y order by n desc, agency limit 7"),
+)
+TYPES = {"bill": ("bill",), "notice": ("legislation", "admin_notice"), "policy": ("policy_press",), "grant": ("grant_notice",)}
+QUERIES["facet_category"] = (
+    lambda s, d: view(s, d, "items").select(I.category_of(TYPES).alias("category")).groupBy("category").agg(F.count("*").alias("n")),
+    with_views("select case item_type when 'bill' then 'bill' when 'legislation' then 'notice' when 'admin_notice' then 'notice' when 'policy_press' then 'policy' else 'grant' end as category, count(*) as n from items group by 1", "items"),
+)

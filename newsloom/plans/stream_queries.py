@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.fixtures import table, with_views
 from ..storage import fresh_path
@@ -28,6 +29,12 @@ def _result(spark: SparkSession, rows: DataFrame, name: str, mode: str = "comple
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def _updates(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    path = fresh_path(spark, name)
+    windows.into_table(rows, path, fresh_path(spark, f"{name}-state"), "update").awaitTermination()
+    return spark.read.schema(StructType([*rows.schema, StructField("batch", LongType())])).parquet(path)
+
+
 def stream_gate(spark: SparkSession, d: str) -> DataFrame:
     known = table(spark, d, "pages").where("page_id % 3 = 0")
     raw = _stream(spark, d, "pages").select(F.col("page_id").alias("seq"), "url", "html")
@@ -40,8 +47,21 @@ QUERIES["stream_gate"] = (
     stream_gate,
     "select min(page_id) as seq, url from pages where coalesce(url, '') <> '' and contains(html, 'lang=\"en\"') and url not in (select url from pages where page_id % 3 = 0) group by url",
 )
+def stream_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """What the gate's stream turned away, with hits."""
+    known = table(spark, d, "pages").where("page_id % 3 = 0")
+    raw = _stream(spark, d, "pages").select(F.col("page_id").alias("seq"), "url", "html")
+    kept, ledger = fresh_path(spark, "gate-kept"), fresh_path(spark, "gate-ledger")
+    gate_stream.gated(raw, known, kept, ledger, F.contains("html", F.lit('lang="en"')), fresh_path(spark, "gate-state")).awaitTermination()
+    return gate_stream.hits(spark, ledger)
+
+
+QUERIES["stream_ledger"] = (
+    stream_ledger,
+    "select url, 'off_topic' as reason, seq as first_seen, 1::bigint as hits from (select *, row_number() over (partition by url order by seq) as turn from (select page_id as seq, url, html from pages) a) b where turn = 1 and coalesce(url, '') <> '' and not contains(html, 'lang=\"en\"') and url not in (select url from pages where page_id % 3 = 0)",
+)
 QUERIES["stream_daily_counts"] = (
-    lambda s, d: _result(s, windows.daily_counts(_events(s, d), "ts", "topic"), "daily"),
+    lambda s, d: windows.newest(_updates(s, windows.daily_counts(_events(s, d), "ts", "topic"), "daily"), "day", "topic"),
     with_views("select ts::date as day, topic, count(*) as n from queue group by 1, 2", "queue"),
 )
 QUERIES["stream_sessions"] = (

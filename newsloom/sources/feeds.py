@@ -146,3 +146,31 @@ def without_boilerplate(body: Column, heading: str, phrases: tuple[str, ...] = (
         body = F.replace(body, F.lit(phrase), F.lit(" "))
     at = F.regexp_instr(body, F.lit(heading))
     return F.substring(collapsed(F.when(at > after, F.substr(body, at)).otherwise(body)), 1, most)
+
+
+def trade_news(docs: DataFrame, link: str, agency: str, relevance: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """News of a JSON service {response: {header: {resultCode}, body: {itemList: {item: ...}}}}, where item is one object
+    or a list, and itemList may be the list itself; replies with another code than 0 or 00 give none. relevance gets
+    industry, information class and title. The title names the nation; the body is made of what the service tells."""
+    at = lambda path: F.get_json_object("content", f"$.response.{path}")
+    found = F.coalesce(at("body.itemList.item"), at("body.itemList"))
+    rows = docs.where(at("header.resultCode").isin("0", "00")).select("source", F.explode(jsonx.one_or_many(found)).alias("r"))
+    get = lambda name: F.trim(F.coalesce(F.col("r")[name], F.lit("")))
+    title = collapsed(unescape(get("title")))
+    rows = rows.select("source", title.alias("name"), get("nation").alias("nation"), get("industry").alias("industry"), get("info").alias("info"), get("office").alias("office"), get("id").alias("id"), get("url").alias("given"), parse_period(get("published"))["start"].alias("notice_start"))
+    rows = rows.withColumn("url", F.coalesce(F.nullif("given", F.lit("")), F.when(F.col("id") != "", F.concat(F.lit(link), "id"))))
+    rows = rows.where((F.col("name") != "") & F.col("url").isNotNull() & relevance(F.col("industry"), F.col("info"), F.col("name")))
+    named = F.when((F.col("nation") != "") & ~F.contains("name", F.col("nation")), F.concat(F.lit("["), "nation", F.lit("] "), "name")).otherwise(F.col("name"))
+    where = F.when((F.col("nation") != "") | (F.col("industry") != ""), F.concat(F.lit("("), "nation", F.lit(" · "), "industry", F.lit(")")))
+    body = F.concat_ws(" ", "name", where, F.nullif(F.concat_ws(" · ", F.nullif("office", F.lit("")), F.nullif("info", F.lit(""))), F.lit("")))
+    return rows.select("source", "url", named.alias("title"), F.lit(agency).alias("agency"), "notice_start", body.alias("body"))
+
+
+def json_grants(docs: DataFrame, rows: str, link: str, agency: str) -> DataFrame:
+    """Calls of a JSON list with paging: source, url, title, agency, department, notice_start, notice_end, body, and
+    last_page. A deadline in the list makes the page unneeded: detail_needed tells."""
+    found = docs.select("source", F.explode(jsonx.one_or_many(F.get_json_object("content", f"$.{rows}"))).alias("r"), F.coalesce(F.get_json_object("content", "$.paging.page").try_cast("int") >= F.get_json_object("content", "$.paging.pages").try_cast("int"), F.lit(True)).alias("last_page"))
+    get = lambda name: collapsed(F.coalesce(F.col("r")[name], F.lit("")))
+    start, end = F.coalesce(parse_date(get("opens")), parse_date(get("announced"))), parse_date(get("closes"))
+    period = F.concat(F.coalesce(start.cast("string"), F.lit("?")), F.lit(" ~ "), F.coalesce(end.cast("string"), F.lit("?")))
+    return found.where(get("id") != "").select("source", F.concat(F.lit(link), get("id")).alias("url"), get("title").alias("title"), F.coalesce(F.nullif(get("agency"), F.lit("")), F.lit(agency)).alias("agency"), get("office").alias("department"), start.alias("notice_start"), end.alias("notice_end"), F.concat_ws(" · ", get("title"), get("office"), period).alias("body"), end.isNull().alias("detail_needed"), "last_page")

@@ -22,8 +22,9 @@ def stored(spark: SparkSession, path: str, schema: str, without_batch: int | Non
 def gated(raw: DataFrame, store: DataFrame, store_path: str, ledger_path: str, relevant: Column, checkpoint: str, seq: str = "seq", url: str = "url") -> StreamingQuery:
     """Starts the gate over the stream raw, with all that is there at the start, then stops by itself.
 
-    Rows that pass are appended under store_path, those that fail for good under ledger_path with their stage; both are
-    folders by batch, which a repeated batch overwrites, so that each row is written once. store: what was known before.
+    Rows that pass are appended under store_path, each turning away under ledger_path with its reason, known urls of the
+    ledger included, so that hits() counts them again; both are folders by batch, which a repeated batch overwrites, so
+    that each row is written once. store: what was known before.
     """
     spark = raw.sparkSession
     kind = raw.schema[url].dataType.simpleString()
@@ -34,9 +35,16 @@ def gated(raw: DataFrame, store: DataFrame, store_path: str, ledger_path: str, r
         ledger = stored(session, ledger_path, f"`{url}` {kind}", number).select(url)
         rows = gate.staged(batch, known, ledger, relevant, seq, url).persist()
         try:
-            rows.where("stage = 'kept'").drop("stage").write.mode("overwrite").parquet(f"{store_path}/batch={number}")
-            rows.where("stage = 'off_topic'").select(seq, url, "stage").write.mode("overwrite").parquet(f"{ledger_path}/batch={number}")
+            kept = batch.join(rows.where("stage = 'kept'").select(seq), seq, "left_semi")
+            kept.write.mode("overwrite").parquet(f"{store_path}/batch={number}")
+            gate.rejections(rows, url, seq).write.mode("overwrite").parquet(f"{ledger_path}/batch={number}")
         finally:
             rows.unpersist()
 
     return raw.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def hits(spark: SparkSession, ledger_path: str, url_type: str = "string", seq_type: str = "bigint") -> DataFrame:
+    """url, reason (of the first sighting), first_seen and hits of what the stream turned away."""
+    rows = stored(spark, ledger_path, f"url {url_type}, reason string, seen {seq_type}")
+    return rows.groupBy("url").agg(F.min_by("reason", F.struct("seen", "reason")).alias("reason"), F.min("seen").alias("first_seen"), F.count("*").alias("hits"))

@@ -52,10 +52,17 @@ def outages(rows: DataFrame, ts: str, source: str, p: Params = DEFAULT) -> DataF
 
 
 def into_table(rows: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Runs the stream over all that is there and leaves its result under path: the whole of it (complete), or one folder
-    for each batch (append); a repeated batch overwrites its own."""
+    """Runs the stream over all that is there and leaves its result under path: the whole of it (complete, whose state
+    isn't evicted), or one folder for each batch (append, update); a repeated batch overwrites its own. Of an update
+    stream, newest() reads the result."""
 
     def step(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
 
     return rows.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def newest(updates: DataFrame, *keys: str) -> DataFrame:
+    """The last version of each key among the updates (with their batch) of a stream."""
+    others = [c for c in updates.columns if c not in (*keys, "batch")]
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("x")).select(*keys, "x.*")

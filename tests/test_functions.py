@@ -7,9 +7,10 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from newsloom import storage
 from newsloom.functions import dates, jsonx, python_udfs
 from newsloom.functions import text as X
-from newsloom.operators import gate, items, queue, rules, stats
+from newsloom.operators import articles, gate, items, queue, rules, sinks, stats
 
 DAY = date(2026, 9, 4)
 
@@ -90,8 +91,130 @@ def test_xml_rows(spark):
 
 
 def test_chips(spark):
-    chips = F.array(*map(F.lit, ("Acme Future", "acme-future", "Other", "")))
-    assert value(spark, X.distinct_chips(chips, F.array(F.lit("OTHER")))) == ["Acme Future"]
+    chips = F.array(*map(F.lit, ("Acme Future", "acme-future", "ＡＣＭＥ　Future", "Other", "", "①", "1")))
+    assert value(spark, X.distinct_chips(chips, F.array(F.lit("ＯTHER")))) == ["Acme Future", "①"]
+    assert value(spark, X.distinct_chips(F.lit(None).cast("array<string>"), F.array(F.lit("a")))) is None
+
+
+def test_normal_forms_fold_widths(spark):
+    same = lambda a, b: value(spark, X.title_key(F.lit(a)) == X.title_key(F.lit(b)))
+    assert same("ＡＢＣ 제목 ①", "abc 제목 1") and same("Plain title - Daily", "plain TITLE") and not same("abc", "abd")
+    assert value(spark, X.normal_form(F.lit(None).cast("string"))) is None
+
+
+def test_strings_without_callers_elsewhere(spark):
+    assert value(spark, X.first_phrase(F.lit("One | two"))) == "One" and value(spark, X.first_phrase(F.lit("x" * 70))) == "x" * 60 + "…"
+    assert value(spark, X.masked(F.lit("key " + "0a" * 16 + " end"))) == "key *** end"
+    assert value(spark, X.message(F.lit("a<b"), F.lit(None).cast("string"), F.lit("c&d"))) == "a&lt;b\nc&amp;d"
+    assert value(spark, jsonx.clean_list(F.array(F.lit(" a "), F.lit(" "), F.lit("")))) == ["a"]
+    assert value(spark, dates.status_of(F.lit(DAY), DAY)) == "open" and value(spark, dates.status_of(F.lit(date(2026, 9, 3)), DAY)) == "closed"
+    assert value(spark, dates.status_of(F.lit(None).cast("date"), DAY)) == "open"
+    for seconds, label in ((5, "now"), (90, "1 min"), (7200, "2 h"), (90000, "2026-09-04")):
+        assert value(spark, dates.age_label(F.lit(seconds), F.lit(DAY).cast("timestamp"))) == label
+    assert value(spark, X.three_lines(F.lit("a. " * 10_100)))[2].count("a.") == 10_098
+
+
+def test_tags_close_with_their_own_bracket(spark):
+    strip = lambda t: python_udfs.without_tag(t, ("note",))
+    assert strip("（note (1)） Title") == "Title" and strip("[note (x] Title") == "Title" and strip("[note Title") == "[note Title"
+    assert strip("(other) Title") == "(other) Title" and strip("[note][note 2] T") == "T"
+
+
+@pytest.mark.parametrize(("text", "at"), [("2026-09-04T05:06:07Z", (2026, 9, 4, 5, 6, 7)), ("2026-09-04 05:06", (2026, 9, 4, 5, 6, 0)), ("2026-09-04T05:06:07+09:00", (2026, 9, 3, 20, 6, 7)), ("2026-09-04", (2026, 9, 4, 0, 0, 0)), ("soon", None), ("2026-13-04", None), (None, None)])
+def test_parse_time(spark, text, at):
+    got = value(spark, dates.parse_time(F.lit(text).cast("string")))
+    assert (got.timetuple()[:6] if got else None) == at
+
+
+def test_months(spark):
+    assert value(spark, dates.month_of(F.lit("2026-02"), DAY)) == date(2026, 2, 1)
+    for odd in ("2026-13", "soon", None):
+        assert value(spark, dates.month_of(F.lit(odd).cast("string"), DAY)) == date(2026, 9, 1)
+    assert value(spark, dates.month_shift(F.lit(date(2026, 12, 31)), 2)) == date(2027, 2, 1)
+
+
+@pytest.mark.parametrize(("low", "high", "bounds"), [("80", "20", (20, 80)), ("-5", "250", (0, 100)), ("abc", None, (0, 0)), (50.9, 0, (50, 0)), ("nan", "inf", (0, 0))])
+def test_score_bounds(low, high, bounds):
+    assert articles.score_bounds(low, high) == bounds
+
+
+def test_limits_of_rules():
+    made = tuple(rules.Rule(f"r{k}", points, ("x",)) for k, points in enumerate([500, -500] + [1] * 40)) + (rules.Rule("empty", 5, ()),)
+    kept = rules.within_limits(made)
+    assert len(kept) == rules.MOST_RULES and [r.points for r in kept[:3]] == [100, -100, 1]
+
+
+def test_swot_and_groups(spark):
+    null = F.lit(None).cast("int")
+    assert value(spark, rules.swot_total(F.lit(100), F.lit(0), F.lit(100), F.lit(0))) == 100
+    assert value(spark, rules.swot_total(null, F.lit(100), null, null)) == 25 and value(spark, rules.swot_total(null, null, null, null)) is None
+    assert value(spark, rules.swot_total(F.lit(1), null, null, null, F.lit(True))) is None
+    groups = F.array(*map(F.lit, ("P", "S1", "unknown", "S1", "Q")))
+    assert value(spark, rules.normal_groups(groups, {"P": ("S1", "S2"), "Q": ()})) == ["S1", "Q"]
+
+
+def test_admission_reasons(spark):
+    no, yes, old = F.lit(False), F.lit(True), F.lit(0)
+    decide = lambda *a, **k: value(spark, queue.admission(*a, **k))
+    assert decide(yes, yes, yes, no, old, no) == "excluded" and decide(no, yes, yes, no, old, no) == "suppressed"
+    assert decide(no, no, yes, no, old, no) == "backfill" and decide(no, no, no, no, old, no) == "topic_off"
+    assert decide(no, no, no, yes, F.lit(49), no) == "below" and decide(no, no, no, yes, F.lit(50), no) == "queued" == decide(no, no, no, yes, old, yes)
+    assert decide(no, no, no, yes, old, no, topic=yes) == "queued"
+    assert decide(no, no, no, yes, F.lit(99), no, published=F.lit(DAY), first_run=F.lit(date(2026, 9, 5))) == "before_first_run"
+    for interest, required, title, match in ((("a",), ("b",), "a b", True), (("a",), (), "a b", False), (("a",), ("b",), "a", False)):
+        assert value(spark, queue.topic_match(F.lit(title), interest, required)) is match
+    assert value(spark, queue.topic_match(F.lit("a b c"), ("a",), ("b",), ("c",))) is False
+
+
+def test_send_gate(spark):
+    no, yes, now = F.lit(False), F.lit(True), F.lit(5)
+    gate_of = lambda *a: value(spark, queue.send_gate(*a))
+    assert gate_of(yes, yes, now, now, F.lit(12), F.lit(90), no) == "hold" and gate_of(no, yes, now, now, F.lit(12), F.lit(90), no) == "drop"
+    assert gate_of(no, no, F.lit(6), now, F.lit(12), F.lit(90), no) == "skip" and gate_of(no, no, F.lit(None).cast("int"), now, F.lit(12), F.lit(90), no) == "send"
+
+
+def test_a_recovery_lasts_until_it_is_calm(spark):
+    rows = [(1, True, 99, 9, 9), (2, False, 5, 5, 5), (3, False, 99, 9, 9), (4, True, 50, 50, 50), (5, False, 50, 50, 50), (6, False, 1, 1, 1), (7, False, 99, 99, 99)]
+    runs = spark.createDataFrame(rows, "ts int, quiet boolean, candidates int, fresh int, backlog int")
+    assert [r.suppressed for r in queue.recovering(runs, "ts").orderBy("ts").collect()] == [True, True, False, True, True, True, False]
+
+
+def test_slots_over_many_partitions(spark):
+    rows = spark.range(1000).select(F.col("id").alias("event_id"), F.when(F.col("id") % 3 > 0, "hot").otherwise("cold").alias("topic"), (F.col("id") * 37 % 101).alias("score"))
+    got = queue.slots(rows, "topic", [F.desc("score"), F.col("event_id")]).collect()
+    for topic in ("hot", "cold"):
+        mine = sorted((r for r in got if r.topic == topic), key=lambda r: (-r.score, r.event_id))
+        assert [r.turn for r in mine] == list(range(1, len(mine) + 1))
+
+
+def test_gate_keeps_bodies_out_of_its_shuffles(spark, small):
+    raw = spark.read.parquet(f"{small}/pages.parquet").select(F.col("page_id").alias("seq"), "url", "html")
+    done = gate.staged(raw, raw.where("seq % 3 = 0"), raw.where("seq % 10 = 1"), F.contains("html", F.lit("the")))
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.rindex("contains(html")]
+    assert "html" not in above.replace("contains(html", "")
+    hot = spark.createDataFrame([(k, "same" if k % 3 else None) for k in range(30)], "seq long, url string")
+    found = gate.staged(hot, hot.limit(0), hot.limit(0), F.lit(True)).groupBy("stage").count().collect()
+    assert dict(map(tuple, found)) == {"empty": 10, "kept": 1, "repeated": 19}
+
+
+def test_filled_takes_one_value_a_key(spark):
+    table = spark.createDataFrame([(1, None), (2, 5)], "k int, x int")
+    values = spark.createDataFrame([(1, 9), (1, 7), (2, 1)], "k int, x int")
+    assert sorted(map(tuple, sinks.filled(table, values, "k", "x").collect())) == [(1, 7), (2, 5)]
+
+
+def test_a_shared_folder_is_asked_for_on_clusters():
+    class Conf:
+        get = staticmethod(lambda key, default: default)
+
+    class Context:
+        master = "spark://host:7077"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})()
+
+    session = type("Session", (), {"conf": Conf, "sparkContext": Context})()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(session)
 
 
 @pytest.mark.parametrize(("agency", "clean"), [("O", ""), ("12-3", ""), (" Ministry ", "Ministry"), (None, "")])
@@ -145,8 +268,8 @@ def test_roster(spark):
 
 
 def test_python_string_functions(spark):
-    rows = spark.createDataFrame([("&amp;lt;b&gt;", "[단독 [x]] Title", "Ａcme", "abcd", "abce"), (None, None, None, None, "x")], "a string, b string, c string, d string, e string")
-    got = rows.select(python_udfs.unescape("a").alias("a"), python_udfs.strip_tag(("단독",))("b").alias("b"), python_udfs.nfkc("c").alias("c"), python_udfs.sequence_ratio("d", "e").alias("r")).collect()
+    rows = spark.createDataFrame([("&amp;lt;b&gt;", "[새 소식 [x]] Title", "Ａcme", "abcd", "abce"), (None, None, None, None, "x")], "a string, b string, c string, d string, e string")
+    got = rows.select(python_udfs.unescape("a").alias("a"), python_udfs.strip_tag(("새 소식",))("b").alias("b"), python_udfs.nfkc("c").alias("c"), python_udfs.sequence_ratio("d", "e").alias("r")).collect()
     assert tuple(got[0]) == ("<b>", "Title", "Acme", 0.75)
     assert tuple(got[1]) == (None, None, None, None)
 

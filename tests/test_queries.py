@@ -16,7 +16,7 @@ def test_same_as_sql(spark, small, name):
     if name in SQL:
         assert not compare.differences(found, compare.views(small), SQL[name])
     else:
-        assert found.count() > 0
+        raise AssertionError(f"{name} has no SQL: test it here by brute force")
 
 
 def test_entry_has_a_stable_schema(spark):

@@ -20,19 +20,21 @@ def value(spark, column):
 
 def test_titles_and_names(spark):
     title = lambda t: value(spark, bills.sponsor_in(F.lit(t).cast("string")))
-    assert tuple(title("가나법 개정안 (강명구의원 등 12인)")) == ("강명구", 12)
-    assert tuple(title("가나법 개정안(부승찬의원 대표발의)")) == ("부승찬", 1)
-    assert title("가나법 (일부개정)") is None and title("가나법") is None and title(None) is None
-    assert value(spark, bills.names_in(F.lit("김철수, 이영희의원 외 3인, 김철수"))) == ["김철수", "이영희"]
+    assert tuple(title("나무법 고침 (홍길동의원 등 7인)")) == ("홍길동", 7)
+    assert tuple(title("나무법 고침(이몽룡의원 대표발의)")) == ("이몽룡", 1)
+    assert tuple(title("나무법 고침(이몽룡 위원장 대표 발의)")) == ("이몽룡", 1)
+    assert tuple(title("나무법 [성춘향 외 0인] 안")) == ("성춘향", 1)
+    assert title("나무법 (전부개정)") is None and title("나무법") is None and title(None) is None and title("나무법 (성춘향)") is None
+    assert value(spark, bills.names_in(F.lit("성춘향, 이몽룡의원 외 5인, 성춘향/변 학도 위원장\n방자등 2인, A"))) == ["성춘향", "이몽룡", "변학도", "방자"]
     assert value(spark, bills.names_in(F.lit(None).cast("string"))) == []
-    assert value(spark, bills.without_status(F.lit("진행 D-3  가나법 개정 입법예"))) == "가나법 개정"
+    assert value(spark, bills.without_status(F.lit("진행 D-3  나무법 고침 입법예"))) == "나무법 고침"
 
 
 def test_deadlines(spark):
     find = lambda t: value(spark, bills.deadline_in(F.lit(t).cast("string")))
-    assert find("접수기간 2026.9.22 ~ 2026.10.21") == date(2026, 10, 21)
-    assert find("신청 마감: 2026년 3월 4일") == date(2026, 3, 4)
-    assert find("공고일 2026.1.1") is None and find("") is None and find(None) is None
+    assert find("접수기간 2031.5.6 ~ 2031.6.7") == date(2031, 6, 7) == find("접수기간 2031.6.7 ~ 2031.5.6")
+    assert find("신청 마감: 2031년 2월 3일") == date(2031, 2, 3)
+    assert find("공고일 2031.1.1") is None and find("") is None and find(None) is None
 
 
 def test_packing(spark):

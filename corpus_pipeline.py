@@ -31,14 +31,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that of the least id. Documents without words are no
-    duplicates of each other."""
+    duplicates of each other. Rows that repeat an id are one document: they stay or go together."""
     gone = near_dup.linked(docs, SHINGLE, ALIKE).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark passages cover a twentieth or more go."""
-    return decontaminate.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents of which benchmark passages cover a twentieth or more go; what stays loses passages of at least 50 words,
+    and n_chars follows the text."""
+    done = decontaminate.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
+    return done.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

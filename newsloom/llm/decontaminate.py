@@ -1,23 +1,28 @@
 """Benchmark decontamination with a generalised suffix automaton.
 
 The normalised test items, as sequences of word ids, build one suffix automaton; training words stream through it and
-the longest match that ends at each word is tracked. A match as long as the window is a contaminated span. Items are
-loaded in blocks of bounded size, one automaton each, so that nothing broadcast or built grows with the benchmark.
+the longest match that ends at each word is tracked. A match as long as the window is a contaminated span. Items come in
+blocks of bounded size, one automaton each and one pass over the texts each, so that what is sent out or built at a time
+doesn't grow with the benchmark.
 """
 
 from __future__ import annotations
 
+import itertools
+import uuid
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_rows, slices
+from .common import slices, written
 
-WINDOW = 13
+#: Words of a window, and of a span that is cut from a text that stays.
+WINDOW, LONGEST = 13, 50
 #: UTF-8 bytes that one block of items may hold; an item of more is a block by itself.
 BLOCK_BYTES = 8 << 20
 #: Each byte as it counts: digits, a-z (A-Z too) and bytes of other scripts are word bytes, the rest separates.
@@ -135,21 +140,59 @@ class Automaton:
         spans.append((a, b))
 
 
-@lru_cache(maxsize=2)
-def automaton(items: tuple, window: int) -> Automaton:
-    """One for each worker and block."""
-    return Automaton(list(items), window)
+#: A worker's latest automaton, by the name of its block.
+_machines: dict[str, Automaton] = {}
 
 
-def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most `block_bytes`, fetched one block at a time."""
-    rows = items.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")).where("text is not null").withColumn("key", F.xxhash64("item", "text"))
+@dataclass(frozen=True)
+class Block:
+    """A block of items on its way to the workers, each of which builds its automaton once."""
+
+    name: str
+    items: Broadcast
+    window: int
+
+    def automaton(self) -> Automaton:
+        if self.name not in _machines:
+            _machines.clear()
+            _machines[self.name] = Automaton(self.items.value, self.window)
+        return _machines[self.name]
+
+
+def item_blocks(items: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
+    """The distinct items in blocks of about half of `block_bytes`, dealt by hash; a block is fetched and sent out when it is
+    asked for, and whoever asked takes it back."""
+    spark = items.sparkSession
+    rows = items.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")).where("text is not null").distinct().withColumn("key", F.xxhash64("item", "text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // max(1, block_bytes // 2))
     for k in range(n):
-        block = [(r.item, r.text) for r in (rows.where(F.pmod("key", F.lit(n)) == k) if n > 1 else rows).select("item", "text").collect()]
-        if block:
-            yield block
+        found = [(r.item, r.text) for r in (rows.where(F.pmod("key", F.lit(n)) == k) if n > 1 else rows).select("item", "text").collect()]
+        if found:
+            yield Block(uuid.uuid4().hex, spark.sparkContext.broadcast(found), window)
+
+
+SPANS = "spans array<struct<start: bigint, end: bigint>>, items array<string>"
+SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def scanned(rows: DataFrame, block: Block | None) -> DataFrame:
+    """rows (with a column text) and n_words, spans and items of one block, or of none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                cut = [words_of(t) for t in part.column("text").to_pylist()]
+                found = [block.automaton().scan(words) if block else ([], set()) for words in cut]
+                made = {
+                    "n_words": pa.array([len(w) for w in cut], pa.int64()),
+                    "spans": pa.array([[{"start": a, "end": b} for a, b in spans] for spans, _ in found], SPAN),
+                    "items": pa.array([sorted(map(str, items)) for _, items in found], pa.list_(pa.string())),
+                }
+                yield pa.RecordBatch.from_arrays([*part.columns, *made.values()], [*part.schema.names, *made])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{fields}, n_words bigint, {SPANS}")
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -158,44 +201,40 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str =
     Returns one row per row of docs: the id column, text, n_words long, spans array<struct<start, end>> (in words,
     disjoint, in order) and items array<string> (ids of the items with occurring windows, sorted as strings). A window
     is `window` consecutive words of an item, or all words of a shorter item. Null texts have no words; null or empty
-    items have no window; repeated items and ids are kept as they are; other columns are ignored.
+    items have no window; repeated items count once, repeated ids and rows are kept as they are; other columns are
+    ignored.
+
+    A benchmark of one block, the common case, is one pass over the texts. More blocks are as many passes, each with one
+    block sent out and one automaton a worker; a pass writes the few rows with hits, which are merged at the end.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    blocks = [spark.sparkContext.broadcast(tuple(b)) for b in item_blocks(items, block_bytes=block_bytes)]
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                texts = part.column("text").to_pylist()
-                n, spans, found = [], [[] for _ in texts], [set() for _ in texts]
-                cut = [words_of(t) for t in texts]
-                n = [len(w) for w in cut]
-                for b in blocks:
-                    machine = automaton(b.value, window)
-                    for i, words in enumerate(cut):
-                        got, items_of = machine.scan(words)
-                        spans[i] += got
-                        found[i] |= items_of
-                spans = [s if len(blocks) < 2 else merged(s) for s in spans]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("text"), pa.array(n, pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], span), pa.array([sorted(map(str, f)) for f in found], pa.list_(pa.string()))],
-                    schema=pa.schema([part.schema.field("id"), part.schema.field("text"), ("n_words", pa.int64()), ("spans", span), ("items", pa.list_(pa.string()))]),
-                )
-
-    return rows.mapInArrow(run, f"id {kind}, text string, n_words bigint, spans array<struct<start: bigint, end: bigint>>, items array<string>").withColumnsRenamed({"id": id_col, "text": text_col})
-
-
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+    blocks = item_blocks(items, window, block_bytes=block_bytes)
+    first, second = next(blocks, None), next(blocks, None)
+    if second is None:
+        return scanned(rows, first).withColumnsRenamed({"id": id_col, "text": text_col})
+    keyed = rows.withColumn("rid", F.xxhash64("id", "text"))
+    found = None
+    for block in itertools.chain((first, second), blocks):
+        some = written(scanned(keyed, block).where(F.size("items") > 0).select("id", "rid", "spans", "items"), "hits")
+        found = some if found is None else found.unionByName(some)
+        block.items.unpersist()
+    found = found.groupBy(F.col("id").alias("of"), F.col("rid").alias("rid_of")).agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    found = found.select("of", "rid_of", joined_spans(F.col("spans")).alias("spans"), "items")
+    every = scanned(keyed, None).drop("spans", "items").join(found, F.col("id").eqNullSafe(F.col("of")) & (F.col("rid") == F.col("rid_of")), "left")
+    nothing = lambda c: F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c)
+    return every.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_words", nothing("spans"), nothing("items"))
+
+
+def joined_spans(spans: Column) -> Column:
+    """Spans, sorted and with those that overlap or touch as one."""
+    start = F.array().cast("array<struct<start:bigint,end:bigint>>")
+
+    def add(done: Column, s: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when(last.isNotNull() & (s["start"] <= last["end"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), start, add)
 
 
 def judged(found: DataFrame, coverage: int = 20) -> DataFrame:
@@ -204,22 +243,44 @@ def judged(found: DataFrame, coverage: int = 20) -> DataFrame:
     return found.withColumn("n_hit", n).withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(coverage) * F.col("n_hit") >= F.col("n_words")))
 
 
-def uncontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: int = 20, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs, with all their columns, that aren't contaminated (see judged()); the others go as a whole, as a
-    text without its hit words is no text that anyone wrote."""
-    blocks = [docs.sparkSession.sparkContext.broadcast(tuple(b)) for b in item_blocks(items, block_bytes=block_bytes)]
+def uncontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: int = 20, longest: int = LONGEST, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, that aren't contaminated (see judged()); the others go as a whole. What
+    stays loses its spans of at least `longest` words from its text."""
+    blocks = item_blocks(items, window, block_bytes=block_bytes)
+    first, second = next(blocks, None), next(blocks, None)
+    names = docs.columns
+    if second is None:
+
+        def spans_of(part: pa.RecordBatch) -> list[tuple[int, list[tuple[int, int]]]]:
+            cut = [words_of(t) for t in part.column(text_col).to_pylist()]
+            return [(len(w), first.automaton().scan(w)[0] if first else []) for w in cut]
+
+        rows = docs
+    else:
+        found = hits(docs.select(F.xxhash64(text_col).alias("rid"), text_col), items, window, "rid", text_col, block_bytes)
+        mark = "found"
+        while any(c.startswith(mark) for c in names):  # no column of docs may clash with what is joined
+            mark += "_"
+        found = found.where(F.size("spans") > 0).select(F.struct("rid", F.col(text_col).alias("text"), "n_words", "spans").alias(mark)).distinct()
+        rows = docs.join(found, (F.xxhash64(text_col) == F.col(f"{mark}.rid")) & (F.col(text_col) == F.col(f"{mark}.text")), "left")
 
-    def keep(texts: list) -> list:
-        cut = [words_of(t) for t in texts]
-        spans = [[] for _ in texts]
-        for b in blocks:
-            machine = automaton(b.value, window)
-            for i, words in enumerate(cut):
-                spans[i] += machine.scan(words)[0]
-        n_hit = [sum(b - a for a, b in merged(s)) for s in spans]
-        return [not n or coverage * n < len(words) for n, words in zip(n_hit, cut)]
+        def spans_of(part: pa.RecordBatch) -> list[tuple[int, list[tuple[int, int]]]]:
+            return [(x["n_words"], [(s["start"], s["end"]) for s in x["spans"]]) if x else (0, []) for x in part.column(mark).to_pylist()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                found = spans_of(part)
+                n_hit = [sum(b - a for a, b in spans) for _, spans in found]
+                keep = [not h or coverage * h < n for h, (n, _) in zip(n_hit, found)]
+                long = [[(a, b) for a, b in spans if b - a >= longest] for _, spans in found]
+                part = part.select(names)
+                if any(k and x for k, x in zip(keep, long)):
+                    texts = [clean_text(t, x) if k else t for t, k, x in zip(part.column(text_col).to_pylist(), keep, long)]
+                    part = part.set_column(names.index(text_col), text_col, pa.array(texts, part.schema.field(text_col).type))
+                yield part.filter(pa.array(keep, pa.bool_()))
 
-    return kept_rows(docs, text_col, keep)
+    return rows.mapInArrow(run, docs.schema)
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -241,7 +302,7 @@ def clean_text(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def without_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, longest: int = 50, coverage: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, longest: int = LONGEST, coverage: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' ids and texts without the spans that are too much: all spans of a contaminated text (see judged()), and
     elsewhere the spans of at least `longest` words; cleaned boolean tells which texts changed."""
     rows = judged(hits(docs, items, window, id_col, text_col), coverage)

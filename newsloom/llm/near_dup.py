@@ -23,15 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.components import components
 from .common import slices, written
 
 CHUNKS, WIDTH, ERRORS, BITS = 16, 6, 1, 16
 SLOTS = CHUNKS * WIDTH
 KEYS = CHUNKS * WIDTH  # one error allowed: each slot of each chunk left out in turn
-#: A candidate's signatures differ in at most this many slots: five standard deviations beyond the mean at a Jaccard
-#: similarity of 0.8. The keys guarantee every pair up to CHUNKS * (ERRORS + 1) - 1 = 31, and miss one of similarity 0.8
-#: with a probability of (1 - 0.8**6 - 6 * 0.2 * 0.8**5)**16, which is 4e-8.
-FARTHEST = 39
+#: The keys guarantee every pair whose signatures differ in up to CHUNKS * (ERRORS + 1) - 1 = 31 slots, and miss one of
+#: similarity 0.8 with a probability of (1 - 0.8**6 - 6 * 0.2 * 0.8**5)**16, which is 4e-8. Pairs that share a key are
+#: compared if their signatures differ in at most FARTHEST slots; at a similarity of 0.8 more do with a probability of
+#: 2e-10, so that a link is missed with one of 4e-8 in all.
+FARTHEST = 46
 SMALL_KEY, BLOCK = 64, 1024
 #: A document is first tested with the pivots of this many keys, those with the most holders; the rest is settled later.
 PIVOTS = 8
@@ -155,26 +157,6 @@ def near_pivots(pairs: DataFrame, sets: DataFrame, farthest: int) -> DataFrame:
     return joined(pairs, sets, "sig").mapInArrow(run, f"a {kind}, b {kind}, far int")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, component (its least node) of every node of the links a, b: large and small stars in turn, on written
-    tables, until nothing changes."""
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
-    state = None
-    while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.where("u > m").select("u", "m")).distinct()
-        large = written(large, "stars")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = written(large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct(), "stars")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    tops = edges.select("v").distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops.select("v", "v"))
-
-
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels node, component after the links between nodes, whose ends may lack a label, are added."""
     mine = lambda c: F.coalesce(F.col(f"of_{c}"), F.col(c)).alias(c)
@@ -253,12 +235,12 @@ def cross_links(groups: DataFrame, sets: DataFrame, farthest: int, least: int) -
     return some.join(sets.select("rep", "sig", "members"), "rep").groupBy("key", "i", "j").applyInArrow(compared, f"a {kind}, b {kind}")
 
 
-def outside_links(tests: DataFrame, labels: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+def outside_links(tests: DataFrame, labels: DataFrame, sets: DataFrame, least: int, block: int = BLOCK) -> DataFrame:
     """Links a, b between outsiders and a component: tests holds outsider, component. Both sides are dealt into blocks
-    of about BLOCK, so that no task holds a component, and a row is made only for a link."""
+    of about `block`, so that no task holds a component, and a row is made only for a link."""
     asked = tests.groupBy("component").agg(F.count("*").alias("n_out"))
     sized = labels.join(asked, "component").groupBy("component").agg(F.count("*").alias("n"), F.first("n_out").alias("n_out"))
-    sized = sized.select("component", F.ceil(F.col("n") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("n_out") / BLOCK).cast("int").alias("cols"))
+    sized = sized.select("component", F.ceil(F.col("n") / block).cast("int").alias("rows"), F.ceil(F.col("n_out") / block).cast("int").alias("cols"))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     inside = labels.join(sized, "component").select("component", F.col("node").alias("rep"), part("node", "rows").alias("row"), every("cols").alias("col"), F.lit(False).alias("out"))
@@ -288,14 +270,25 @@ def outside_links(tests: DataFrame, labels: DataFrame, sets: DataFrame, least: i
     return rows.groupBy("component", "row", "col").applyInArrow(run, f"a {kind}, b {kind}")
 
 
-def linked(docs: DataFrame, size: int = 2, least: int = 80, id_col: str = "doc_id", text_col: str = "text", small_key: int = SMALL_KEY) -> DataFrame:
+def same_id_links(every: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links a, b between the sets of rows that repeat an id: each of its sets with the least of them."""
+    of_id = every.where("n > 0 and id is not null").select("id", "same").join(reps.select("same", "rep"), "same").select("id", "rep")
+    several = of_id.groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b < most").select("id", "b")
+    return of_id.join(several, "id").where("rep > b").select(F.col("rep").alias("a"), "b").distinct()
+
+
+def linked(docs: DataFrame, size: int = 2, least: int = 80, id_col: str = "doc_id", text_col: str = "text", small_key: int = SMALL_KEY, block: int = BLOCK) -> DataFrame:
     """id, n_shingles long (set size), component_id (the least id reachable by links, itself included) and kept boolean
     (the id is its component's) of each row of docs.
 
     A document's set holds its distinct shingles of `size` words (A-Z lower-cased, cut at ASCII white space), or its
     whole sequence where it has fewer; documents whose sets have 100 * intersection >= least * union are linked. Null
     and empty texts, and texts without words, have no set and no link. Rows that repeat an id are one document that each
-    of its texts links. A null id has no link, a null component_id, and is kept. Extra columns are ignored.
+    of its texts links, and have one component; n_shingles is the row's own. A null id has no link, a null component_id,
+    and is kept. Extra columns are ignored.
+
+    small_key: holders of a key that are always compared with each other; block: rows of a side that a task compares at
+    a time. Neither changes the result.
     """
     every = written(signed(docs, id_col, text_col, size), "signed")
     reps = written(every.where("n > 0 and id is not null").groupBy("same").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "reps")
@@ -320,12 +313,13 @@ def linked(docs: DataFrame, size: int = 2, least: int = 80, id_col: str = "doc_i
     mixed = written(mixed.join(mains, "key"), "mixed")
     outside = (F.col("holders") > small_key) & F.col("main").isNotNull()
     loose = mixed.where(~outside | (F.col("component") != F.col("main")))
-    loose = loose.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("rep")) - 1) / BLOCK).cast("int"))
-    loose = loose.withColumn("last", F.max("block").over(Window.partitionBy("key"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).select("key", "rep", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    sized = loose.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    loose = loose.join(sized, "key").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    loose = loose.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "rep", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     tests = mixed.where(outside & (F.col("component") != F.col("main"))).select(F.col("rep").alias("outsider"), F.col("main").alias("component")).distinct()
-    links = written(cross_links(loose, sets, FARTHEST, least).union(outside_links(written(tests, "tests"), labels, sets, least)), "links")
+    links = written(cross_links(loose, sets, FARTHEST, least).union(same_id_links(every, reps)).union(outside_links(written(tests, "tests"), labels, sets, least, block)), "links")
     labels = relabelled(labels, links)
 
     nodes = every.join(reps.select("same", "rep"), "same", "left").join(labels, F.col("rep") == F.col("node"), "left")
-    component = F.coalesce("component", "rep", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     return nodes.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

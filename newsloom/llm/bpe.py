@@ -26,8 +26,8 @@ SPREAD = np.uint64(0x9E3779B97F4A7C15)
 SIDE_BY_SIDE = 64
 #: Fewer than this of one size are merged one by one.
 FEW = 24
-#: Entries that a worker's memo may hold.
-MEMO = 800_000
+#: Entries that a worker's memo may hold, and the characters that an entry's word may have.
+MEMO, MEMO_WORD = 800_000, 64
 
 
 class Vocabulary:
@@ -198,7 +198,12 @@ class Vocabulary:
             for w, found in of.items():
                 memo[w] = pieces[found[0]] if len(found) == 1 else pieces[found[0]] + pieces[found[1]] if len(found) == 2 else b"".join([pieces[p] for p in found])
         word, head = self.words.__getitem__, self.heads.__getitem__
-        return [head(p[0]) + b"".join(map(word, p[1:])) if at_blanks else b"".join(map(head, p)) for at_blanks, p in cut]
+        out = [head(p[0]) + b"".join(map(word, p[1:])) if at_blanks else b"".join(map(head, p)) for at_blanks, p in cut]
+        for memo, of in ((self.words, new), (self.heads, new_heads)):  # long words rarely come again, and would fill the memory
+            for w in of:
+                if len(w) > MEMO_WORD:
+                    del memo[w]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))

@@ -36,16 +36,22 @@ class CountedText:
     """A text with its token count, kept up to date under edits."""
 
     def __init__(self, v: Vocabulary, text: str, counts: Callable[[list[str]], list[int]], leaf: int = LEAF):
-        self.v, self.counts, self.reencoded = v, counts, 0
-        pieces = v.find(text)
-        sizes, ends = counts(pieces), np.cumsum([len(p) for p in pieces])
-        cuts = np.flatnonzero(np.diff(ends // leaf)) + 1 if pieces else np.zeros(0, int)
+        self.v, self.counts, self.leaf, self.reencoded = v, counts, leaf, 0
+        self._lay(*self._leaves_of(v.find(text)))
+
+    def _leaves_of(self, pieces: list[str]) -> tuple[list[str], list[int]]:
+        """Pre-tokens as leaves of about `leaf` characters, and the tokens of each."""
+        sizes, ends = self.counts(pieces), np.cumsum([len(p) for p in pieces])
+        cuts = np.flatnonzero(np.diff(ends // self.leaf)) + 1 if pieces else np.zeros(0, int)
         at = [0, *cuts.tolist(), len(pieces)]
-        self.leaves = ["".join(pieces[a:b]) for a, b in zip(at, at[1:])]
-        self.size = 1 << max(len(self.leaves) - 1, 0).bit_length()
-        self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for k, (a, b) in enumerate(zip(at, at[1:]), self.size):
-            self.chars[k], self.tokens[k] = len(self.leaves[k - self.size]), sum(sizes[a:b])
+        return ["".join(pieces[a:b]) for a, b in zip(at, at[1:])], [sum(sizes[a:b]) for a, b in zip(at, at[1:])]
+
+    def _lay(self, leaves: list[str], tokens: list[int]) -> None:
+        """The tree over these leaves; nothing is lexed or encoded."""
+        self.leaves = leaves
+        self.size = 1 << max(len(leaves) - 1, 0).bit_length()
+        spare = [0] * (self.size - len(leaves))
+        self.chars, self.tokens = [0] * self.size + list(map(len, leaves)) + spare, [0] * self.size + tokens + spare
         for k in range(self.size - 1, 0, -1):
             self._sum(k)
 
@@ -84,25 +90,35 @@ class CountedText:
         start = min(max(start, 0), total)
         end = min(max(end, start), total)
         if not total:
-            self.__init__(self.v, new, self.counts)
+            pieces = self.v.find(new)
+            self.reencoded += len(pieces)
+            self._lay(*self._leaves_of(pieces))
             return
         first, at = self._leaf_of(max(start - 1, 0))
         stop = self._leaf_of(max(end - 1, 0))[0] + 1
-        while first > 0 and not self._rests(self._region(first, stop)[: start - at]):
+        context = self._region(first, stop)[: start - at]
+        blank, size = not context.strip(), len(context)
+        while first > 0 and (blank or size <= 3):
             first -= 1
             at -= len(self.leaves[first])
-        shift = len(new) - (end - start)
+            blank, size = blank and (not self.leaves[first] or self.leaves[first].isspace()), size + len(self.leaves[first])
+        shift, step = len(new) - (end - start), 1
         while True:
             region, tail = self._region(first, stop), self._tail(stop)
             old, pieces = self.v.find(region + tail), self.v.find(region[: start - at] + new + region[end - at :] + tail)
             ends = np.cumsum([0, *map(len, pieces)])
             if not tail or self._meets(region + tail, old, ends - shift, end - at, len(region)):
                 break
-            stop += 1
+            stop, step = min(stop + step, len(self.leaves)), 2 * step  # so that long runs of white space are lexed a few times alone
         pieces = pieces[: int(np.searchsorted(ends, len(region) + shift))]
+        self.reencoded += len(pieces)
+        if len(region) + shift > 4 * self.leaf * (stop - first):  # too long for these leaves
+            leaves, tokens = self._leaves_of(pieces)
+            counted = self.tokens[self.size : self.size + len(self.leaves)]
+            self._lay(self.leaves[:first] + leaves + self.leaves[stop:], counted[:first] + tokens + counted[stop:])
+            return
         share = max(1, -(-len(pieces) // (stop - first)))
         sizes = self.counts(pieces)
-        self.reencoded += len(pieces)
         for k in range(first, stop):
             part = slice((k - first) * share, (k - first + 1) * share)
             self._put(k, "".join(pieces[part]), sum(sizes[part]))
@@ -118,11 +134,12 @@ class CountedText:
 
     def _tail(self, stop: int) -> str:
         """What follows the leaves, until it rests or the text ends."""
-        out = ""
-        while stop < len(self.leaves) and not self._rests(out):
-            out += self.leaves[stop]
+        out, blank, size = [], True, 0
+        while stop < len(self.leaves) and (blank or size <= 3):
+            out.append(self.leaves[stop])
+            blank, size = blank and (not out[-1] or out[-1].isspace()), size + len(out[-1])
             stop += 1
-        return out
+        return "".join(out)
 
     def _meets(self, text: str, old: list[str], new_ends: np.ndarray, end: int, length: int) -> bool:
         """Whether the new lexing meets the old one: a boundary in the unchanged rest of the region that both have and
@@ -159,15 +176,17 @@ def edited_counts(docs: DataFrame, path: str, pattern: str, propose: Callable[[s
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                before = [len(i) >> 2 for i in v.encode_texts(texts)]
+                proposed = [propose(t) for t in texts]
+                plain = iter(v.encode_texts([t for t, edits in zip(texts, proposed) if not edits]))
                 rows, edited = [], []
-                for text, n in zip(texts, before):
-                    edits = propose(text)
+                for text, edits in zip(texts, proposed):
                     if not edits:
+                        n = len(next(plain)) >> 2
                         rows.append((n, 0, 0, n))
                         edited.append(text)
                         continue
                     tree = CountedText(v, text, counts)
+                    n = tree.n_tokens
                     for start, end, new in edits:
                         tree.replace(start, end, new)
                     rows.append((n, len(edits), tree.reencoded, tree.n_tokens))

@@ -183,7 +183,11 @@ def read_archives(spark: SparkSession, folder: str, manifest: DataFrame | None =
         h = r["headers"]
         name = lambda key: h.get(key, "").removeprefix("<urn:page:").removesuffix(">") or None
         body = r["payload"] if h["warc-type"] == "response" else None
-        return [name("warc-record-id"), h.get("warc-target-uri"), h["warc-type"], name("warc-refers-to"), int(h["x-payload-length"]), h["warc-payload-digest"].removeprefix("sha256:")] + [body] * keep_payload
+        said, length = h.get("warc-payload-digest", "").removeprefix("sha256:"), h.get("x-payload-length")
+        if body is None and not (said and length):
+            raise BadArchive("a revisit without its payload's digest and length")
+        said, length = said or hashlib.sha256(body).hexdigest(), len(body) if length is None else int(length)
+        return [name("warc-record-id"), h.get("warc-target-uri"), h["warc-type"], name("warc-refers-to"), length, said] + [body] * keep_payload
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -136,11 +136,39 @@ def test_a_hot_group_without_a_hub(spark, words):
 def test_groups_of_odd_tables(spark):
     rows = spark.createDataFrame([(2, "a b c", 1), (2, "d e f", 1), (3, "d e f", 1), (None, "a b c", 1), (5, None, 1)], "doc_id long, text string, kept int")
     got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_dup.linked(rows).collect())
-    assert [g for g in got if g[0]] == [(2, 2, True), (2, 2, True), (3, 2, False), (5, 5, True)]
-    assert [g[2] for g in got if not g[0]] == [True]
+    assert got == [(0, 0, True), (2, 2, True), (2, 2, True), (3, 2, False), (5, 5, True)]
     assert near_dup.linked(rows.limit(0)).count() == 0
 
 
+def test_ids_that_repeat_are_one_document(spark):
+    rows = spark.createDataFrame([(3, "a b c"), (5, "a b c"), (5, "d e f"), (9, "d e f"), (7, "x y"), (7, None), (None, "d e f")], "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in near_dup.linked(rows).collect()}
+    assert got == {(3, 2): (3, True), (5, 2): (3, False), (9, 2): (3, False), (7, 1): (7, True), (7, 0): (7, True), (None, 2): (None, True)}
+
+
+@pytest.mark.parametrize(("seed", "small_key"), [(11, 2), (12, 64)])
+def test_small_blocks_are_crossed(spark, seed, small_key):
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(30)]
+    docs = []
+    for i in range(150):
+        mine = list(base)
+        for k in range(rng.randint(0, 3)):
+            mine[rng.randrange(30)] = rng.choice(("x", "y", f"z{i}"))
+        docs.append((i, " ".join(mine)))
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    got = near_dup.linked(rows, 5, 80, small_key=small_key, block=8).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == grouped(docs, 5)
+
+
+def test_one_very_long_text(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200_000)]
+    docs = [(1, " ".join(words)), (2, " ".join(words[:190_000])), (3, " ".join(words[:60_000]))]
+    got = near_dup.linked(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3}
+
+
 def test_near_dup_query(spark, small):
     docs = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in copies.QUERIES["op10_near_dup"](spark, small).collect()}
@@ -187,7 +215,7 @@ def rows_by_id(found):
     return {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in found.collect()}
 
 
-@pytest.mark.parametrize(("seed", "block_bytes"), [(1, 8 << 20), (2, 300)])
+@pytest.mark.parametrize(("seed", "block_bytes"), [(1, 8 << 20), (2, 300), (3, 120)])
 def test_passages_against_brute_force(spark, seed, block_bytes):
     rng = random.Random(seed)
     word = lambda: rng.choice("abcd")  # noqa: E731  few words, so that windows overlap and repeat

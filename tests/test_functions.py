@@ -190,9 +190,8 @@ def test_slots_over_many_partitions(spark):
 def test_gate_keeps_bodies_out_of_its_shuffles(spark, small):
     raw = spark.read.parquet(f"{small}/pages.parquet").select(F.col("page_id").alias("seq"), "url", "html")
     done = gate.staged(raw, raw.where("seq % 3 = 0"), raw.where("seq % 10 = 1"), F.contains("html", F.lit("the")))
-    plan = done._jdf.queryExecution().optimizedPlan().toString()
-    above = plan[: plan.rindex("contains(html")]
-    assert "html" not in above.replace("contains(html", "")
+    lines = [x for x in done._jdf.queryExecution().optimizedPlan().toString().splitlines() if "html" in x]
+    assert lines and all("passes" in x or "Relation" in x for x in lines), lines  # a body is read where it's judged, and goes no further
     hot = spark.createDataFrame([(k, "same" if k % 3 else None) for k in range(30)], "seq long, url string")
     found = gate.staged(hot, hot.limit(0), hot.limit(0), F.lit(True)).groupBy("stage").count().collect()
     assert dict(map(tuple, found)) == {"empty": 10, "kept": 1, "repeated": 19}

@@ -62,6 +62,11 @@ def three_lines(x: Column) -> Column:
     return F.when(F.size(s) > 3, joined).otherwise(s)
 
 
+def capped(x: Column, most: int) -> Column:
+    """The first characters of a text that is only probed, asked about or shown; code points, so none is cut in two."""
+    return F.substring(x, 1, most)
+
+
 def masked(x: Column) -> Column:
     """Token-shaped substrings as ***."""
     return F.regexp_replace(x, r"\b[0-9a-f]{32,}\b|\b\d{8,10}:[A-Za-z0-9_-]{30,}", "***")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -45,6 +45,12 @@ def kept_until(rows: DataFrame, day: str, as_of, days: dict[str, int], kind: str
     return rows.where(F.coalesce(age <= F.try_element_at(limit, F.col(kind)), F.lit(True)))
 
 
+def without_old_bodies(rows: DataFrame, day: str, analysed: Column, as_of, days: int) -> DataFrame:
+    """Bodies go once their article is analysed, or is older than `days`; the articles stay."""
+    gone = F.coalesce(analysed, F.lit(False)) | F.coalesce(F.datediff(F.lit(as_of), F.col(day)) > days, F.lit(False))
+    return rows.withColumn("body", F.when(~gone, F.col("body")))
+
+
 def run_log(stages: DataFrame, run_at, source_type: str, requests: int, duration_ms: int, error: str | None = None) -> DataFrame:
     """One row for a run: what the gate saw, what is new, what it had seen before, and what the run cost."""
     count = lambda *names: F.count_if(F.col("stage").isin(*names))

@@ -29,8 +29,12 @@ def ranked(stats: DataFrame) -> DataFrame:
     return stats.withColumn("rank", F.rank().over(Window.orderBy(F.desc("d365"), F.desc("d30"), F.desc("d7"))).cast("long"))
 
 
-def merged_news(articles: DataFrame, items: DataFrame, category: str, n: int) -> DataFrame:
-    """The newest of a category's articles and of policy items together."""
+def merged_news(articles: DataFrame, items: DataFrame, category: str, n: int, agency: str = "") -> DataFrame:
+    """The newest of a category's articles and of policy items together, at most n (1 to 120); with an agency, those that
+    have it in their column agency."""
+    n = min(max(n, 1), 120)
+    if agency:
+        articles, items = (x.where(F.col("agency") == agency) for x in (articles, items))
     a = articles.where(F.col("category") == category).select(F.lit("article").alias("kind"), "id", F.col("published_on").alias("day"))
     b = items.select(F.lit("item").alias("kind"), "id", F.col("collected_on").alias("day"))
     return a.unionByName(b).orderBy(F.desc("day"), "kind", "id").limit(n)

@@ -45,6 +45,7 @@ class Params:
     quote_minutes: int = 15
     chat_questions: int = 30
     draft_hours: int = 24
+    body_days: int = 30
     history_days: int = 45
     history_rows: int = 400
     report_items: int = 120

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from ..functions import bills
 from ..functions import text as X
 from ..operators import articles as A
-from ..operators import dedup, items, rules, scorer, stats
+from ..operators import dedup, items, rules, scorer, sinks, stats
 from ..params import DEFAULT as P
 from ..sources.fixtures import table, view, with_views
 
@@ -234,3 +234,15 @@ QUERIES["summary_lines"] = (
     lambda s, d: _articles(s, d).select("id", bills.summary_header(F.col("press"), F.when(F.col("id") % 2 == 0, F.col("category"))).alias("header"), F.size(X.three_lines(F.col("body"))).cast("long").alias("n")),
     _sql("select id, '[' || press || case when id % 2 = 0 then ', ' || category else '' end || ']' as header, least(3, len(list_filter(list_transform(string_split_regex(regexp_replace(body, '([.!?。])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: trim(regexp_replace(x, '^[\\s\\-*•·\\d.)]+', ''))), lambda x: x <> '')))::bigint as n from articles"),
 )
+QUERIES["bodies_kept"] = (
+    lambda s, d: sinks.without_old_bodies(_articles(s, d), "published_on", F.col("tone") != "unrated", date(2024, 2, 14), P.body_days).groupBy("category").agg(F.count("*").alias("n"), F.count("body").alias("with_body")),
+    _sql("select category, count(*) as n, count(case when tone = 'unrated' and date_diff('day', published_on, date '2024-02-14') <= 30 then body end) as with_body from articles group by 1"),
+)
+QUERIES["prefix_caps"] = (
+    lambda s, d: _articles(s, d).select("id", *[F.char_length(X.capped(F.col("body"), n)).cast("long").alias(c) for c, n in (("probe", P.probe), ("prompt", P.prompt), ("notice", P.notice), ("detail", P.detail))]),
+    _sql("select id, length(substr(body, 1, 2000)) as probe, length(substr(body, 1, 6000)) as prompt, length(substr(body, 1, 4000)) as notice, length(substr(body, 1, 8000)) as detail from articles"),
+)
+QUERIES["news_by_agency"] = (
+    lambda s, d: stats.merged_news(_articles(s, d).withColumn("agency", F.concat(F.lit("NATION_"), F.col("id") % 25)), view(s, d, "items").withColumnRenamed("agency_raw", "agency"), "en", 500, "NATION_3"),
+    _sql("select kind, id, day from (select 'article' as kind, id, published_on as day from articles where category = 'en' and id % 25 = 3 union all select 'item', id, collected_on from items where agency_raw = 'NATION_3') z order by day desc, kind, id limit 120", "articles", "items"),
+)

@@ -208,3 +208,16 @@ e as (select l_orderkey, unnest(['s', 'w', 'o', 't']) as name, unnest([s, w, o,
 r as (select l_orderkey, name, row_number() over (partition by l_orderkey order by score desc, i) as rn from e where score >= 31)
 select q.l_orderkey, case when q.l_orderkey % 5 <> 0 and coalesce(s, w, o, t) is not null then round((coalesce(s, 0) + coalesce(o, 0) - coalesce(w, 0) - coalesce(t, 0) + 200) / 4)::bigint end as total, coalesce((select string_agg(name, '' order by rn) from r where r.l_orderkey = q.l_orderkey and rn <= 3), '') as top from q""",
 )
+
+
+def _notice_pages(s, d):
+    """Three pages a source: a full one of ten rows, a short one of nine, and one that isn't reached any more."""
+    row = lambda k: F.concat(F.lit("<tr><td>1</td><td><a href='/n/"), F.lit(k) + _k() * 100, F.lit("?x=1'>T</a></td><td>Org (act)</td><td>2024. 1. 5. ~ 2024. 1. "), _k() + 1, F.lit(".</td></tr>"))
+    pages = [_nation_pages(s, d, "<table>", *[row(10 * p + k) for k in range(n)], "</table>").withColumn("page", F.lit(p)) for p, n in ((1, 10), (2, 9), (3, 10))]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2])
+
+
+QUERIES["notice_pages"] = (
+    lambda s, d: feeds.paged_notices(_notice_pages(s, d), r"/n/(\d+.*)", "h://", 2, 3, date(2024, 1, 10)).drop("page"),
+    "select n_name as source, 'h://' || (10 * p + k + n_nationkey * 100) as url, 'T' as title, 'Org' as agency, date '2024-01-05' as notice_start, make_date(2024, 1, n_nationkey + 1) as notice_end, case when n_nationkey + 1 < 10 then 'closed' else 'open' end as status from nation, (select unnest([1, 2]) as p), (select unnest(range(10)) as k) where p = 1 or k < 9",
+)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import jsonx
-from ..functions.dates import parse_date, parse_period
+from ..functions.dates import parse_date, parse_period, status_of
 from ..functions.python_udfs import unescape
 from ..functions.text import collapsed, first_filled, without_tags
 
@@ -148,6 +148,22 @@ def without_boilerplate(body: Column, heading: str, phrases: tuple[str, ...] = (
     return F.substring(collapsed(F.when(at > after, F.substr(body, at)).otherwise(body)), 1, most)
 
 
+def until_short(rows: DataFrame, page_rows: int) -> DataFrame:
+    """Rows (source, page, ...) of a source's pages up to the first that holds fewer than `page_rows`: what comes after it
+    was asked for in vain, or is an old copy."""
+    short = rows.groupBy("source", "page").agg(F.count("*").alias("n")).where(F.col("n") < page_rows).groupBy("source").agg(F.min("page").alias("last"))
+    return rows.join(short, "source", "left").where(F.col("last").isNull() | (F.col("page") <= F.col("last"))).drop("last")
+
+
+def paged_notices(docs: DataFrame, link: str, base: str, agency: int, period: int, today, title: int = 1, page_rows: int = 10) -> DataFrame:
+    """html_notices() of list pages (source, page, content), with the page, without query strings in links, with status by
+    the end of the period, and up to the first short page of a source."""
+    paged = docs.select(F.struct("source", "page").alias("source"), "content")
+    rows = html_notices(paged, link, base, agency, period, title)
+    rows = rows.select("source.source", "source.page", F.regexp_replace("url", r"\?.*$", "").alias("url"), "title", "agency", "notice_start", "notice_end", status_of(F.col("notice_end"), today).alias("status"))
+    return until_short(rows, page_rows)
+
+
 def trade_news(docs: DataFrame, link: str, agency: str, relevance: Callable[[Column, Column, Column], Column]) -> DataFrame:
     """News of a JSON service {response: {header: {resultCode}, body: {itemList: {item: ...}}}}, where item is one object
     or a list, and itemList may be the list itself; replies with another code than 0 or 00 give none. relevance gets

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import gate
+from ..params import DEFAULT, Params
+from .windows import distinct_within
 
 
 def stored(spark: SparkSession, path: str, schema: str, without_batch: int | None = None) -> DataFrame:
@@ -19,14 +21,17 @@ def stored(spark: SparkSession, path: str, schema: str, without_batch: int | Non
     return rows if without_batch is None else rows.where(F.col("batch") != without_batch)
 
 
-def gated(raw: DataFrame, store: DataFrame, store_path: str, ledger_path: str, relevant: Column, checkpoint: str, seq: str = "seq", url: str = "url") -> StreamingQuery:
+def gated(raw: DataFrame, store: DataFrame, store_path: str, ledger_path: str, relevant: Column, checkpoint: str, seq: str = "seq", url: str = "url", ts: str = "", p: Params = DEFAULT) -> StreamingQuery:
     """Starts the gate over the stream raw, with all that is there at the start, then stops by itself.
 
     Rows that pass are appended under store_path, each turning away under ledger_path with its reason, known urls of the
     ledger included, so that hits() counts them again; both are folders by batch, which a repeated batch overwrites, so
-    that each row is written once. store: what was known before.
+    that each row is written once. store: what was known before. ts: a time column, where urls that came within the stale
+    hours are to be left out before; they aren't counted as hits then.
     """
     spark = raw.sparkSession
+    if ts:  # a cache of the last hours before the store; what it lets through meets the store all the same
+        raw = distinct_within(raw, ts, url, hours=p.stale_hours)
     kind = raw.schema[url].dataType.simpleString()
 
     def step(batch: DataFrame, number: int) -> None:

@@ -277,4 +277,4 @@ def interleaved(rows: DataFrame, kind: str, seq: str, cap: int) -> DataFrame:
     so the window keeps no more of each (a limit inside the window, before its shuffle)."""
     opened = rows.groupBy(kind).agg(F.min(seq).alias("opened"))
     rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy(kind).orderBy(seq))).where(F.col("turn") <= cap)
-    return rows.join(F.broadcast(opened), kind).orderBy("turn", "opened").limit(cap)  # kinds are a small dimension
+    return rows.join(opened, kind).orderBy("turn", "opened").limit(cap)

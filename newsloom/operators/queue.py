@@ -54,7 +54,7 @@ def slots(rows: DataFrame, channel: str, order: list[Column], p: Params = DEFAUL
     counts = placed.groupBy(channel, part).agg(F.count("*").alias("n"), F.min("at").alias("from"))
     before = F.sum("n").over(Window.partitionBy(channel).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select(channel, "part", "from", F.coalesce(before, F.lit(0)).alias("before"))
-    done = placed.withColumn("part", part).join(F.broadcast(counts), [channel, "part"])  # a row a partition and channel
+    done = placed.withColumn("part", part).join(counts, [channel, "part"])  # small, so that a broadcast is chosen where it is
     done = done.withColumn("turn", F.col("at") - F.col("from") + 1 + F.col("before")).drop("at", "part", "from", "before")
     return done.withColumns({"round": F.ceil(F.col("turn") / p.per_round), "minute": F.ceil(F.col("turn") / p.per_minute)})
 

@@ -34,7 +34,7 @@ def rule_scorer(score_rules: tuple[rules.Rule, ...], tones: dict[str, tuple[str,
 
 
 def judged(rows: DataFrame, scorer: Scorer, group: str = "grp", representative: str = "is_representative", title: str = "title", body: str = "body") -> DataFrame:
-    """rows with `judgement`, made of each group's representative and shared by its members. Bodies aren't shuffled, and
-    the scorer sees representatives alone."""
+    """rows with `judgement`, made of each group's representative and shared by its members. The scorer sees
+    representatives alone, and where their bodies are, before the join; whoever drops bodies from rows shuffles none."""
     of_group = rows.where(F.col(representative)).select(F.col(group).alias("of"), scorer(F.col(title), F.col(body)).alias("judgement"))
     return rows.join(of_group, F.col(group) == F.col("of"), "left").drop("of")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, classifiers, contamination, copies, encoding, lines, vectors
+from . import archives, classifiers, contamination, copies, encoding, lines, vectors, words
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (archives, classifiers, contamination, copies, encoding, lines, vectors)
+MODULES = (archives, classifiers, contamination, copies, encoding, lines, vectors, words)
 
 
 def queries() -> dict[str, Query]:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import bpe, lm, token_counts
+from .. import bpe, lm, packing, token_counts
 from ..common import table
 
 
@@ -24,4 +24,8 @@ def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op3_byte_bpe": op3_byte_bpe, "op5_lm_scores": op5_lm_scores}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {"op1_token_counts": op1_token_counts, "op3_byte_bpe": op3_byte_bpe, "op5_lm_scores": op5_lm_scores, "op11_packing": op11_packing}

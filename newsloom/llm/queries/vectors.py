@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .. import ann
+from .. import ann, whitening
 from ..common import table
 
 
@@ -12,4 +12,8 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op8_ann": op8_ann}
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op8_ann": op8_ann, "op12_whitening": op12_whitening}

@@ -12,6 +12,7 @@ its sequence by its number among the pieces of its length, counted by buckets.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,13 +25,13 @@ from pyspark.sql.window import Window
 from .common import slices, written
 
 CAPACITY, END = 2048, 0
-#: Which lengths are large, as a share of a sequence, and in how many groups; the plan of fewest sequences is taken, or the
-#: first that is so near (a share) to the sequences that all tokens need.
-CHOICES, NEAR = ((1 / 3, 16), (1 / 8, 16), (1 / 3, 64), (1 / 8, 64), (1 / 3, 256)), 1e-4
+#: Which lengths are large, as a share of a sequence, and in how many groups (in the last choice none is, and all are placed
+#: by best fit); the plan of fewest sequences is taken, or the first that is so near (a share) to what all tokens need.
+CHOICES, NEAR = ((1 / 3, 16), (1 / 8, 16), (1 / 3, 64), (1 / 8, 64), (1 / 3, 256), (1, 1)), 1e-4
 #: Pieces that one bucket numbers, about.
 BUCKET = 100_000
-#: Words that a task remembers the ids of, and the longest of them in bytes.
-MEMORY, LONGEST = 1 << 17, 48
+#: Parts of words that a task remembers the ids of, and the longest of them.
+MEMORY, LONGEST = 1 << 20, 48
 
 PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -38,23 +39,40 @@ PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
 def word_ids(path: str):
     """A function from a list of texts to their ids, as bytes of little-endian 32-bit integers each.
 
-    The vocabulary's rules never look across ASCII white space (it is dropped, and composes with nothing), so that words
-    between it are encoded apart, each once while it is remembered.
+    The vocabulary's rules (fixed values of its file) drop white space and never look across it, so that what stands between
+    can be encoded apart, each text of it once while it is remembered. Of words in ASCII and plain Latin letters, which
+    normalisation leaves alone but for their case, the parts that the rules cut them into are known, and remembered instead:
+    there are fewer of these. A word with anything else, or with a mark of special tokens, is encoded whole.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
     from tokenizers import Tokenizer
 
     tokenizer, known = Tokenizer.from_file(path), {}
+    lower = "a-zß-öø-ÿ"
+    plain = re.compile(f"[\\x09-\\x0D -~{lower}À-ÖØ-Þ]*").fullmatch
+    parts = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{lower}]+|[0-9]|[^ \x09-\x0D{lower}0-9]+").findall
+
+    def cut(text: str) -> list[str]:
+        if "<|" not in text and plain(text):
+            return parts(text.lower())
+        out = []
+        for word in text.encode().split():
+            word = word.decode()
+            out += parts(word.lower()) if "<|" not in word and plain(word) else [word]
+        return out
 
     def encode(texts: list[str]) -> list[bytes]:
-        words = [t.encode().split() for t in texts]
         if len(known) > MEMORY:
             known.clear()
-        new = list({w for ws in words for w in ws if w not in known})
-        made = tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        now = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(new, made)}
-        known.update((w, i) for w, i in now.items() if len(w) <= LONGEST)
-        return [b"".join([known.get(w) or now.get(w, b"") for w in ws]) for ws in words]
+        every = [cut(t) for t in texts]
+        new = list(set().union(*every) - known.keys())
+        for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
+            known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        out = [b"".join(map(known.__getitem__, words)) for words in every]
+        for w in new:
+            if len(w) > LONGEST:
+                del known[w]
+        return out
 
     return encode
 
@@ -208,7 +226,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     for share, groups in CHOICES:
         made = grouped(counts, capacity, share, groups)
         best = made if best is None or made.used < best.used else best
-        if best.used <= least * (1 + NEAR) + 1:
+        if best.used <= least * (1 + NEAR):
             break
     rows, seen, sequence = [], dict.fromkeys(counts, 0), 0
     for _, runs in sorted(best.by_room.items()):

@@ -15,6 +15,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +37,15 @@ MEMORY, LONGEST = 1 << 20, 48
 PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
+@cache
 def word_ids(path: str):
     """A function from a list of texts to their ids, as bytes of little-endian 32-bit integers each.
 
     The vocabulary's rules (fixed values of its file) drop white space and never look across it, so that what stands between
     can be encoded apart, each text of it once while it is remembered. Of words in ASCII and plain Latin letters, which
     normalisation leaves alone but for their case, the parts that the rules cut them into are known, and remembered instead:
-    there are fewer of these. A word with anything else, or with a mark of special tokens, is encoded whole.
+    there are fewer of these. A word with anything else, or with a mark of special tokens, is encoded whole. A worker keeps
+    the function, and what it remembers, for its next task.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
     from tokenizers import Tokenizer
@@ -66,8 +69,9 @@ def word_ids(path: str):
             known.clear()
         every = [cut(t) for t in texts]
         new = list(set().union(*every) - known.keys())
-        for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        made = [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        ids, ends = np.array([i for e in made for i in e], dtype="<u4").tobytes(), np.cumsum([4 * len(e) for e in made]).tolist()
+        known.update((w, ids[a:b]) for w, a, b in zip(new, [0, *ends], ends))
         out = [b"".join(map(known.__getitem__, words)) for words in every]
         for w in new:
             if len(w) > LONGEST:

@@ -20,8 +20,13 @@ def without_tags(x: Column) -> Column:
     return F.regexp_replace(x, "<[^>]+>", " ")
 
 
-def first_phrase(x: Column, separators: str = r"[.|:\n]", most: int = 60) -> Column:
-    head = F.trim(F.split(x, separators, 2)[0])
+#: What ends the phrase that opens a text: a dash between blanks, a full stop before one, a bullet; fixed values.
+PHRASE_END = r"\s-\s|[.。]\s|□|ㅇ"
+
+
+def first_phrase(x: Column, separators: str = PHRASE_END, most: int = 60) -> Column:
+    """The phrase that opens a text, in place of a title that is missing."""
+    head = F.regexp_replace(F.split(collapsed(x), separators, 2)[0], "^[ \\-·]+|[ \\-·]+$", "")
     return F.when(F.char_length(head) > most, F.concat(F.substring(head, 1, most), F.lit("…"))).otherwise(head)
 
 
@@ -49,10 +54,19 @@ def title_key(x: Column) -> Column:
     return normal_form(F.regexp_replace(F.regexp_replace(x, r"\[[^\]]*\]|\([^)]*\)", " "), r"\s+[-|]\s+[^-|]{1,30}$", ""))
 
 
+#: Where sentences and lines end, and the bullets and numbers before them; fixed values.
+SENTENCE_END, BULLET = r"(?U)(?<=[.!?。])\s+|\n+", r"(?U)^[\-·•\d.)\s]+(?=\S)"
+
+
+def stripped(x: Column) -> Column:
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+
+
 def sentences(x: Column) -> Column:
-    """Sentences or lines without bullets and leading digits; empty ones go."""
-    parts = F.split(x, r"(?<=[.!?。])\s+|\n+")
-    return F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(s, r"^[\s\-*•·\d.)]+", ""))), lambda s: s != "")
+    """Sentences or lines without bullets and leading numbers; blank ones go. Of a line of bullets and digits alone the last
+    character stays."""
+    parts = F.filter(F.split(stripped(x), SENTENCE_END), lambda s: stripped(s) != "")
+    return F.transform(parts, lambda s: stripped(F.regexp_replace(s, BULLET, "")))
 
 
 def three_lines(x: Column) -> Column:
@@ -72,10 +86,14 @@ def masked(x: Column) -> Column:
     return F.regexp_replace(x, r"\b[0-9a-f]{32,}\b|\b\d{8,10}:[A-Za-z0-9_-]{30,}", "***")
 
 
-def clean_agency(x: Column, status_words: tuple[str, ...] = ("O", "F", "P")) -> Column:
-    """Blank where the value is a status word, or digits and punctuation alone."""
-    x = F.trim(F.coalesce(x, F.lit("")))
-    return F.when(x.isin(*status_words) | x.rlike(r"^[\d\p{Punct}\s]*$"), "").otherwise(x)
+#: Words that tell a state and no agency; fixed values.
+STATUS_WORDS = ("예고중", "예고 중", "예고", "입법예고", "행정예고", "입법예고중", "종료", "마감", "진행중", "진행 중", "접수중", "접수 중", "계류", "계류중", "원안가결", "수정가결", "폐기", "철회", "대안반영폐기", "국회심의")
+
+
+def clean_agency(x: Column, status_words: tuple[str, ...] = STATUS_WORDS) -> Column:
+    """Blank where the value is a status word, or digits and the marks of dates alone."""
+    x = collapsed(F.coalesce(x, F.lit("")))
+    return F.when(x.isin(*status_words) | x.rlike(r"^[\d\s.\-~/:()]*$"), "").otherwise(x)
 
 
 def first_filled(*xs: Column) -> Column:

@@ -61,9 +61,10 @@ def chosen(rows: DataFrame, p: Params = DEFAULT, item_types=(), agencies=(), imp
     return rows
 
 
-def view(rows: DataFrame, p: Params = DEFAULT, interest: tuple[str, ...] = (), direct_words: tuple[str, ...] = (), focus: str = "", stages: str = "", placeholder: str = "") -> DataFrame:
+def view(rows: DataFrame, p: Params = DEFAULT, interest: tuple[str, ...] = (), direct_words: tuple[str, ...] = (), focus: str = "", stages: str = "", placeholder: str = "", status_words: tuple[str, ...] = X.STATUS_WORDS) -> DataFrame:
     """The item as its readers see it, from joined() rows with the stored columns: decoded lists, cleaned agency, days
-    left, priority and its reason (from the stored summary), and then the card's lines. '' stands for null texts."""
+    left, priority and its reason (from the stored summary), and then the card's lines, which joined are the summary that is
+    shown. '' stands for null texts."""
     text = lambda c: F.coalesce(c, F.lit("")).alias(c)
     parts = bills.unpacked(F.col("suggested_action"))
     stored = jsonx.string_list(F.col("proposers"))
@@ -71,7 +72,7 @@ def view(rows: DataFrame, p: Params = DEFAULT, interest: tuple[str, ...] = (), d
     files = jsonx.string_list(F.col("attachments"))
     rows = rows.select(
         "id", text("title"), F.coalesce(F.nullif("url_canonical", F.lit("")), "url_source", F.lit("")).alias("url"), text("item_type"), text("category"), text("law_name"),
-        F.coalesce(F.nullif(X.clean_agency(F.col("agency_name")), F.lit("")), X.clean_agency(F.col("agency_raw"))).alias("agency"),
+        F.coalesce(F.nullif(X.clean_agency(F.col("agency_name"), status_words), F.lit("")), X.clean_agency(F.col("agency_raw"), status_words)).alias("agency"),
         "notice_start", "notice_end", d_day(F.col("notice_end"), p.as_of).cast("long").alias("d_day"), text("status"), text("opinion_url"),
         F.when(webzine, F.array().cast("array<string>")).otherwise(files).alias("attachment_urls"), F.when(webzine, F.coalesce(F.get(files, F.lit(0)), F.lit(""))).alias("thumbnail"),
         F.col("impact").alias("impact_level"), text("summary"), text("impact_rationale"), jsonx.clean_list(jsonx.string_list(F.col("affected_areas"))).alias("affected_areas"),
@@ -83,8 +84,9 @@ def view(rows: DataFrame, p: Params = DEFAULT, interest: tuple[str, ...] = (), d
     rows = rows.withColumn("proposers", F.filter("proposers", lambda n: n.isNotNull()))
     judged = tier(direct_words, focus, interest, stages, p)
     rows = rows.withColumns({"priority": judged["priority"], "priority_reason": judged["reason"]})
-    lines = bills.card_lines(F.col("summary"), F.col("title"), F.col("law_name"), F.col("notice_start"), F.col("notice_end"), F.col("status"), F.col("impact_rationale"), placeholder)
-    return rows.withColumn("summary_lines", lines)
+    lines = bills.card_lines(F.col("summary"), F.col("title"), F.col("law_name"), F.col("notice_start"), F.col("notice_end"), F.col("published_at"), F.col("status"), F.col("impact_rationale"), placeholder)
+    rows = rows.withColumn("summary_lines", lines)
+    return rows.withColumn("summary", F.array_join("summary_lines", "\n"))
 
 
 def tier(direct_words: tuple[str, ...], focus: str, interest: tuple[str, ...], stages: str, p: Params = DEFAULT) -> Column:
@@ -173,12 +175,12 @@ def without_implication(items: DataFrame, analyses: DataFrame, n: int, w: bills.
 
 
 def to_reanalyse(items: DataFrame, analyses: DataFrame, prefix: str, n: int, w: bills.Words = bills.DEFAULT) -> DataFrame:
-    """id and why of items to judge again, each once, at most n: placeholders, bills whose summary echoes their title, and
+    """id and why of items to judge again, each once, at most n: bills whose summary echoes their title, placeholders, and
     those without an implication, in this order."""
     rows = items.join(latest_analyses(analyses, "suggested_action", "model", "summary"), items.id == F.col("policy_item_id"))
     open_ = ~F.contains(F.coalesce("suggested_action", F.lit("")), F.lit(w.implication)) & (F.coalesce("model", F.lit("")) != "rule")
     echo = (F.col("item_type") == "bill") & F.coalesce(bills.echoes(F.col("title"), F.col("summary")), F.lit(False))
-    why = F.when(F.coalesce(F.col("summary").startswith(prefix), F.lit(False)), 1).when(echo, 2).when(open_, 3)
+    why = F.when(echo, 1).when(F.coalesce(F.col("summary").startswith(prefix), F.lit(False)), 2).when(open_, 3)
     return rows.withColumn("why", why).where("why is not null").orderBy("why", F.desc("collected_on"), "id").limit(n).select("id", F.col("why").cast("long").alias("why"))
 
 

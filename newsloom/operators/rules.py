@@ -96,8 +96,10 @@ def within_limits(rules: tuple[Rule, ...]) -> tuple[Rule, ...]:
     return tuple(replace(r, points=max(-MOST_POINTS, min(MOST_POINTS, r.points))) for r in usable)
 
 
-#: A citation: an article, paragraph, item or section by number, or a quotation of ten characters or more; fixed values.
-CITATION = r"제\s*\d+\s*(?:조|항|호)|(?i:\b(?:article|section|paragraph)\s*\d+)|[\"“'‘「『][^\"”'’」』]{10,}[\"”'’」』]"
+#: A citation: an article, paragraph or item by number, or a quotation of ten characters or more; fixed values.
+CITATION = r"제\s?\d+\s?(?:조|항|호)|[\"“][^\"”]{10,}[\"”]"
+#: For sources in English, beside it.
+ENGLISH_CITATION = CITATION + r"|(?i:\b(?:article|section|paragraph)\s*\d+)"
 
 
 def sane_impact(level: Column, rationale: Column, citation: str = CITATION) -> Column:

@@ -231,8 +231,8 @@ QUERIES["tone_fallback"] = (
     _sql("select case when tone in ('positive', 'negative') then tone else 'neutral' end as tone, count(*) as n from articles group by 1"),
 )
 QUERIES["summary_lines"] = (
-    lambda s, d: _articles(s, d).select("id", bills.summary_header(F.col("press"), F.when(F.col("id") % 2 == 0, F.col("category"))).alias("header"), F.size(X.three_lines(F.col("body"))).cast("long").alias("n")),
-    _sql("select id, '[' || press || case when id % 2 = 0 then ', ' || category else '' end || ']' as header, least(3, len(list_filter(list_transform(string_split_regex(regexp_replace(body, '([.!?。])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: trim(regexp_replace(x, '^[\\s\\-*•·\\d.)]+', ''))), lambda x: x <> '')))::bigint as n from articles"),
+    lambda s, d: _articles(s, d).select("id", bills.summary_header(F.col("press"), F.when(F.col("id") % 2 == 0, F.col("category"))).alias("header"), F.md5(F.array_join(X.three_lines(F.col("body")), "|")).alias("lines")),
+    _sql("select id, '[' || press || case when id % 2 = 0 then ', ' || category else '' end || ']' as header, md5(array_to_string(case when len(l) > 3 then [l[1], l[2], array_to_string(l[3:], ' ')] else l end, '|')) as lines from (select *, list_transform(list_filter(string_split_regex(regexp_replace(regexp_replace(body, '^\\s+|\\s+$', '', 'g'), '([.!?。])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g') <> ''), lambda x: regexp_replace(regexp_replace(regexp_replace(x, '^[\\s\\-•·\\d.)]+([^\\s\\-•·\\d.)])', '\\1'), '^([\\s\\-•·\\d.)]+)$', '\\1'), '^\\s+|\\s+$', '', 'g')) as l from articles) z"),
 )
 QUERIES["bodies_kept"] = (
     lambda s, d: sinks.without_old_bodies(_articles(s, d), "published_on", F.col("tone") != "unrated", date(2024, 2, 14), P.body_days).groupBy("category").agg(F.count("*").alias("n"), F.count("body").alias("with_body")),

@@ -95,9 +95,14 @@ QUERIES["law_names"] = (
     lambda s, d: table(s, d, "nation").select("n_nationkey", bills.law_name(F.when(F.col("n_nationkey") % 4 == 0, F.concat("n_name", F.lit("법 일부개정법률안 입법예고"))).when(F.col("n_nationkey") % 4 == 1, F.concat("n_name", F.lit(" 시행령안"))).when(F.col("n_nationkey") % 4 == 2, "제정안").otherwise(F.col("n_name"))).alias("law")),
     "select n_nationkey, case n_nationkey % 4 when 0 then n_name || '법' when 1 then n_name || ' 시행' when 2 then '제정안' else n_name end as law from nation",
 )
+#: Authors and titles, and the agency of each.
+BY = [
+    ("환경부", "x", "기후에너지환경부"), ("길동 기자", "국토부, 새 계획", "국토교통부"), (None, "기상청은 오늘 알림", "기상청"), ("", "그 밖의 일", ""), (None, "정부는 오늘 발표", ""), (None, "내부 문건", ""), ("KOTRA", "x", "KOTRA"),
+    (None, "산업통상자원부가 연 회의", "산업통상부"), (None, "  공정위 , 조사", "공정거래위원회"), (None, "국토부", ""), ("아주아주긴이름의어떤진흥원", "문체부 알림", "문화체육관광부"), (None, "한국부동산원 조사", ""), (None, None, ""), (None, "the 국토부 x", ""),
+]
 QUERIES["article_agencies"] = (
-    lambda s, d: table(s, d, "nation").select("n_nationkey", bills.agency_of_article(F.when(F.col("n_nationkey") % 4 == 0, "환경부").when(F.col("n_nationkey") % 4 == 1, "길동 기자"), F.when(F.col("n_nationkey") % 4 == 1, "국토부, 새 계획").when(F.col("n_nationkey") % 4 == 2, "기상청은 오늘 알림").otherwise("그 밖의 일")).alias("agency")),
-    "select n_nationkey, case n_nationkey % 4 when 0 then '기후에너지환경부' when 1 then '국토교통부' when 2 then '기상청' else '' end as agency from nation",
+    lambda s, d: table(s, d, "customer").select("c_custkey", F.get(F.array(*[F.struct(F.lit(a).cast("string").alias("a"), F.lit(t).cast("string").alias("t")) for a, t, _ in BY]), (F.col("c_custkey") % len(BY)).cast("int")).alias("x")).select("c_custkey", bills.agency_of_article(F.col("x.a"), F.col("x.t")).alias("agency")),
+    "select c_custkey, [" + ", ".join(f"'{g}'" for _, _, g in BY) + f"][c_custkey % {len(BY)} + 1] as agency from customer",
 )
 QUERIES["actions_packed"] = (
     lambda s, d: table(s, d, "nation").select("n_nationkey", bills.packed(F.when(F.col("n_nationkey") % 2 == 0, "act"), F.when(F.col("n_nationkey") % 3 == 0, "watch"), F.col("n_nationkey") % 5 != 0).alias("text")).select("n_nationkey", "text", bills.unpacked(F.col("text"))["action"].alias("action"), bills.unpacked(F.col("text"))["implication"].alias("implication")),
@@ -109,7 +114,7 @@ QUERIES["deadlines_in_text"] = (
         .when(F.col("n_nationkey") % 4 == 1, F.concat(F.lit("신청 2024년 4월 "), F.col("n_nationkey") + 1, F.lit("일까지. 마감 2024-03-02")))
         .when(F.col("n_nationkey") % 4 == 2, F.concat(F.lit("제출: 2024.4."), F.col("n_nationkey") + 1, F.lit(" ~ 2024.3.1")))
     ).alias("deadline")),
-    "select n_nationkey, case when n_nationkey % 4 < 3 then date '2024-04-01' + n_nationkey::int end as deadline from nation",
+    "select n_nationkey, case when n_nationkey % 4 < 2 then date '2024-04-01' + n_nationkey::int when n_nationkey % 4 = 2 then date '2024-03-01' end as deadline from nation",
 )
 
 # --- lists and pages of single sources -----------------------------------------------------------------------------------
@@ -192,7 +197,7 @@ QUERIES["rule_impacts"] = (
     with_views("select level, case level when 'high' then 'named' when 'medium' then 'close' else 'far' end as rationale, case when level <> 'none' then 'look' end as action, count(*) as n from (select case when contains(title, 'BRASS') then 'high' when contains(title, 'STEEL') then 'medium' else 'none' end as level from items_full) z group by 1", "items_full"),
 )
 QUERIES["analyses_sane"] = (
-    lambda s, d: view(s, d, "analyses_full").select(rules.sane_analysis(F.when(F.col("l_linenumber") == 1, "odd").otherwise(F.upper("impact_level")), F.col("impact_rationale"), F.lit(" note "), F.col("l_partkey") % 2 == 0, "not cited", "nothing").alias("x")).groupBy("x.level", "x.rationale", "x.implication").agg(F.count("*").alias("n")),
+    lambda s, d: view(s, d, "analyses_full").select(rules.sane_analysis(F.when(F.col("l_linenumber") == 1, "odd").otherwise(F.upper("impact_level")), F.col("impact_rationale"), F.lit(" note "), F.col("l_partkey") % 2 == 0, "not cited", "nothing", rules.ENGLISH_CITATION).alias("x")).groupBy("x.level", "x.rationale", "x.implication").agg(F.count("*").alias("n")),
     with_views("select level, case when impact_rationale is not null then impact_rationale when l in ('high', 'medium') then 'not cited' else 'nothing' end as rationale, case when level <> 'none' and l_partkey % 2 = 0 then 'note' else '' end as implication, count(*) as n from (select *, case when l = 'odd' then 'none' when l in ('high', 'medium') and coalesce(impact_rationale, '') <> 'Article 3 applies' then 'low' else l end as level from (select *, case when l_linenumber = 1 then 'odd' else impact_level end as l from analyses_full) y) z group by 1, 2, 3", "analyses_full"),
 )
 QUERIES["placeholders_due"] = (

@@ -103,7 +103,8 @@ def test_normal_forms_fold_widths(spark):
 
 
 def test_strings_without_callers_elsewhere(spark):
-    assert value(spark, X.first_phrase(F.lit("One | two"))) == "One" and value(spark, X.first_phrase(F.lit("x" * 70))) == "x" * 60 + "…"
+    assert value(spark, X.first_phrase(F.lit("금리 3.5% 인상 결정"))) == "금리 3.5% 인상 결정" and value(spark, X.first_phrase(F.lit("U.S. tariffs - rise. More"))) == "U.S" and value(spark, X.first_phrase(F.lit(" - One - two"))) == "One"
+    assert value(spark, X.first_phrase(F.lit("x" * 70))) == "x" * 60 + "…"
     assert value(spark, X.masked(F.lit("key " + "0a" * 16 + " end"))) == "key *** end"
     assert value(spark, X.message(F.lit("a<b"), F.lit(None).cast("string"), F.lit("c&d"))) == "a&lt;b\nc&amp;d"
     assert value(spark, jsonx.clean_list(F.array(F.lit(" a "), F.lit(" "), F.lit("")))) == ["a"]
@@ -216,7 +217,7 @@ def test_a_shared_folder_is_asked_for_on_clusters():
         storage.shared_dir(session)
 
 
-@pytest.mark.parametrize(("agency", "clean"), [("O", ""), ("12-3", ""), (" Ministry ", "Ministry"), (None, "")])
+@pytest.mark.parametrize(("agency", "clean"), [("O", "O"), ("예고  중", ""), ("12-3", ""), (" Ministry ", "Ministry"), (None, "")])
 def test_clean_agency(spark, agency, clean):
     assert value(spark, X.clean_agency(F.lit(agency).cast("string"))) == clean
 
@@ -230,7 +231,7 @@ def test_first_rule_wins_and_all_match(spark):
 
 @pytest.mark.parametrize(
     ("level", "why", "sane"),
-    [("medium", "it matters", "low"), ("high", "see Article 3", "high"), ("odd", None, "none"), ("low", None, "low"), (None, None, "none")],
+    [("medium", "it matters", "low"), ("high", "제3조", "high"), ("high", "see Article 3", "low"), ("odd", None, "none"), ("low", None, "low"), (None, None, "none")],
 )
 def test_sane_impact(spark, level, why, sane):
     assert value(spark, rules.sane_impact(F.lit(level).cast("string"), F.lit(why).cast("string"))) == sane

@@ -36,6 +36,9 @@ class Params:
     night_blocked: float = 101.0
     per_minute: int = 17
     per_round: int = 12
+    spacing_seconds: float = 3.5
+    a_run: int = 24
+    drained: int = 16
     retries: int = 3
     outage_minutes: int = 30
     slot_hours: tuple[int, ...] = (9, 15)

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from ..functions.text import title_key
 from ..storage import written
 from .components import components
+from .vector_links import spanning
 
 
 def same_text(rows: DataFrame, text: str = "body", id_col: str = "id") -> DataFrame:
@@ -106,8 +107,9 @@ def residual(rows: DataFrame, linked: DataFrame, similar: DataFrame, most: int,
     return rows.join(settled, id_col, "left_anti").join(close, id_col, "left_semi").orderBy(*order).limit(most)
 
 
-def near_vectors_within(rows: DataFrame, least: float, days: int, day: str = "day", vector: str = "embedding", id_col: str = "id", size: int = 1024) -> DataFrame:
+def near_vectors_within(rows: DataFrame, least: float, days: int, day: str = "day", vector: str = "embedding", id_col: str = "id", size: int = 1024, span: bool = False) -> DataFrame:
     """a, b, similarity of all vectors at least `least` alike and at most `days` apart; null and zero vectors are like none.
+    span: only so many of them, from each task, as join what all of them join.
 
     Exact: a day's vectors are dealt by hash to blocks of about `size`, and each two blocks of days near enough meet in a
     task of their own as one product of matrices. Only pairs that reach `least` leave it."""
@@ -134,6 +136,11 @@ def near_vectors_within(rows: DataFrame, least: float, days: int, day: str = "da
         i, j = left[x], right[y]
         if same:
             i, j = i[x < y], j[x < y]
+        if span:
+            sure = np.concatenate([np.zeros(0, bool), *((v[i[n : n + 65536]] * v[j[n : n + 65536]]).sum(1) >= least for n in range(0, len(i), 65536))])
+            i, j = i[sure], j[sure]
+            first = spanning(len(v), i, j)
+            i, j = i[first], j[first]
         near = np.concatenate([np.zeros(0), *((v[i[n : n + 65536]] * v[j[n : n + 65536]]).sum(1) for n in range(0, len(i), 65536))])
         p, q = ids.take(pa.array(i)), ids.take(pa.array(j))
         less = pc.less(p, q)

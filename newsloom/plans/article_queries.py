@@ -10,9 +10,12 @@ from pyspark.sql.window import Window
 from ..functions import bills
 from ..functions import text as X
 from ..operators import articles as A
-from ..operators import dedup, items, rules, scorer, sinks, stats
+from ..operators import dedup, items, rules, running_clusters, scorer, sinks, stats
+from ..operators.components import components
+from ..operators.vector_links import near_vector_links
 from ..params import DEFAULT as P
 from ..sources.fixtures import table, view, with_views
+from ..storage import written
 
 AS_OF = date(2024, 1, 31)
 ITEMS_AS_OF = date(1998, 7, 1)
@@ -105,7 +108,7 @@ QUERIES["dup_vector"] = QUERIES["dup_vector_days"] = (
 def _cluster_links(s, d):
     rows = view(s, d, "articles_full")
     titles = dedup.title_links(rows.select("id", "title", F.col("published_on").alias("day")), P.title_ratio, P.title_days)
-    vectors = dedup.near_vectors_within(table(s, d, "embeddings").select("vec_id", "embedding", F.expr(VECTOR_DAY).alias("day")), LEAST, 1, id_col="vec_id")
+    vectors = dedup.near_vectors_within(table(s, d, "embeddings").select("vec_id", "embedding", F.expr(VECTOR_DAY).alias("day")), LEAST, 1, id_col="vec_id", span=True)
     return rows, dedup.same_links(rows, X.normal_url(F.col("url"))).unionByName(dedup.same_links(rows, F.sha2("body", 256))).unionByName(titles).unionByName(vectors.select("a", "b"))
 
 
@@ -129,16 +132,60 @@ select id, grp, rn = 1 as is_representative, case when rn = 1 then coalesce((sel
         "articles", "articles_full", "outlets",
     ).replace("with ", "with recursive ", 1),
 )
+def _altered(s, d):
+    """The tables' vectors and altered copies of some, of which a part is near enough for the default threshold."""
+    rows = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.expr(VECTOR_DAY).alias("day"))
+    more = rows.where("id % 3 = 0").withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))).where("k = 1 or id % 9 = 0")
+    noise = lambda x, i: x * (1 + F.lit(0.13) * F.pmod(F.col("of") * 7 + (i + 1) * (i + 2) * F.col("k"), F.lit(11)) - 0.65)
+    return rows.unionByName(more.withColumnRenamed("id", "of").select((F.col("of") + 1000000 * F.col("k")).alias("id"), F.transform("v", noise).alias("v"), F.date_add("day", "k").alias("day")))
+
+
+def dup_vector_groups(s, d):
+    """Every vector with the group that near vectors form."""
+    rows = _altered(s, d)
+    groups = components(near_vector_links(rows, P.cosine, P.title_days, vector="v"))
+    return rows.join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("grp"))
+
+
+QUERIES["dup_vector_groups"] = (
+    dup_vector_groups,
+    f"""with recursive base as (select vec_id as id, embedding::double[] as v, {VECTOR_DAY} as day from embeddings),
+w as (select * from base union all select id + 1000000 * k, list_transform(v, lambda x, i: x * (1 + 0.13 * ((id * 7 + i * (i + 1) * k) % 11) - 0.65)), day + k from (select *, unnest([1, 2]) as k from base) z where id % 3 = 0 and (k = 1 or id % 9 = 0)),
+near as (select x.id as a, y.id as b from w x join w y on x.id < y.id and abs(date_diff('day', x.day, y.day)) <= {P.title_days} where list_cosine_similarity(x.v, y.v) >= {P.cosine}),
+both_ways as (select a, b from near union select b, a from near),
+r as (select id as node, id as other from w union select r.node, n.b from r join both_ways n on r.other = n.a)
+select node as id, min(other) as grp from r group by 1""",
+)
+
+
+def dup_clusters_by_run(s, d):
+    """The clusters after five runs, each with a fifth of the articles and the links among them and to older ones."""
+    rows, links = _cluster_links(s, d)
+    rows, links = rows.select("id", "press", "published_on", "body", "url"), written(links.select("a", "b"), "cluster-links")
+    labels = None
+    for run in range(5):
+        new = running_clusters.of_articles(rows.where(F.col("id") % 5 == run), view(s, d, "outlets"))
+        labels = running_clusters.extended(labels, new, links.where(F.greatest(F.col("a") % 5, F.col("b") % 5) == run))
+    return running_clusters.with_aliases(labels).select("id", "grp", "is_representative", F.array_join("aliases", " ").alias("aliases"))
+
+
+QUERIES["dup_clusters_by_run"] = (dup_clusters_by_run, QUERIES["dup_clusters"][1])
 QUERIES["dup_url"] = (
     lambda s, d: dedup.same_links(view(s, d, "articles_full"), X.normal_url(F.col("url"))),
     _sql("select id as a, b from (select id, min(id) over (partition by url) as b from articles_full) z where id <> b", "articles_full"),
 )
+
+
+def _best_cosine(s, d):
+    """id and similarity of vectors that another of a neighbouring day is like."""
+    pairs = dedup.near_vectors_within(table(s, d, "embeddings").select("vec_id", "embedding", F.expr(VECTOR_DAY).alias("day")), LEAST, 1, id_col="vec_id")
+    return pairs.select(F.explode(F.array("a", "b")).alias("id"), "similarity").groupBy("id").agg(F.max("similarity").alias("similarity"))
+
+
 QUERIES["dup_residual"] = (
-    lambda s, d: dedup.residual(
-        view(s, d, "articles_full"), dedup.same_links(view(s, d, "articles_full"), F.sha2("body", 256)), table(s, d, "embeddings").select(F.col("vec_id").alias("id"), (F.abs(F.get("embedding", F.lit(0))) * 4).alias("similarity")), P.embeddings_a_run, P.prefilter, [F.desc("published_on"), F.col("id")]
-    ).select("id"),
+    lambda s, d: dedup.residual(view(s, d, "articles_full"), dedup.same_links(view(s, d, "articles_full"), F.sha2("body", 256)), _best_cosine(s, d), P.embeddings_a_run, LEAST, [F.desc("published_on"), F.col("id")]).select("id"),
     _sql(
-        f"with l as (select id, min(id) over (partition by body) as b, count(*) over (partition by body) as n from articles_full where body is not null) select id from articles_full where id not in (select id from l where n > 1) and id in (select vec_id from embeddings where abs(embedding[1]::float) * 4 >= {P.prefilter}) order by published_on desc, id limit {P.embeddings_a_run}",
+        f"with {VECTOR_PAIRS}, l as (select id, min(id) over (partition by body) as b, count(*) over (partition by body) as n from articles_full where body is not null) select id from articles_full where id not in (select id from l where n > 1) and id in (select unnest([a, b]) from vp where c >= {LEAST}) order by published_on desc, id limit {P.embeddings_a_run}",
         "articles_full",
     ),
 )

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 
 def new_rows(batch: DataFrame, target: DataFrame, key: str) -> DataFrame:
@@ -58,3 +61,47 @@ def run_log(stages: DataFrame, run_at, source_type: str, requests: int, duration
         F.lit(run_at).alias("run_at"), F.lit(source_type).alias("source_type"), "fetched_count", "new_count", "dup_count", "skipped_seen_count",
         F.lit(requests).cast("long").alias("http_request_count"), F.lit(duration_ms).cast("long").alias("duration_ms"), F.lit(error).cast("string").alias("error"),
     )
+
+
+#: What a run's row counts of the gate's stages, as metrics of whatever the stages pass through.
+COUNTS = {"fetched_count": (), "new_count": ("kept", "notify", "backfill"), "dup_count": ("repeated",), "skipped_seen_count": ("stored", "ledger")}
+
+
+def stage_counts() -> list[Column]:
+    return [(F.count_if(F.col("stage").isin(*names)) if names else F.count(F.lit(1))).alias(name) for name, names in COUNTS.items()]
+
+
+def logged_write(stages: DataFrame, path: str, run_at, source_type: str, requests: int, duration_ms: int) -> DataFrame:
+    """Writes the stages under path and gives the run's row, which the same job counted on the way."""
+    seen = Observation(f"run of {source_type}")
+    stages.observe(seen, *stage_counts()).write.mode("overwrite").parquet(path)
+    return run_rows(stages.sparkSession, [(run_at, source_type, *(seen.get[c] for c in COUNTS), requests, duration_ms, None)])
+
+
+def run_rows(spark, rows: list[tuple]) -> DataFrame:
+    """Rows of the log of runs; there are few in a run."""
+    return spark.createDataFrame(rows, f"run_at timestamp, source_type string, {', '.join(f'{c} bigint' for c in COUNTS)}, http_request_count bigint, duration_ms bigint, error string")
+
+
+class RunLog(StreamingQueryListener):
+    """A row for each batch of the streams that observe their stages under a name (`stages.observe(name, *stage_counts())`):
+    its time, counts and duration, and an error's text for a stream that fails. Add it with spark.streams.addListener()."""
+
+    def __init__(self, name: str, source_type: str):
+        self.name, self.source_type, self.rows = name, source_type, []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        seen = event.progress.observedMetrics.get(self.name)
+        if seen is not None:
+            at = datetime.fromisoformat(event.progress.timestamp.replace("Z", "+00:00"))
+            self.rows.append((at, self.source_type, *(getattr(seen, c) for c in COUNTS), 0, int(event.progress.durationMs.get("triggerExecution", 0)), None))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if event.exception:
+            self.rows.append((datetime.now(), self.source_type, *(None for _ in COUNTS), 0, 0, str(event.exception)[:500]))

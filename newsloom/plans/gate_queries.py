@@ -10,6 +10,7 @@ from ..operators import gate, items, sinks
 from ..operators import articles as A
 from ..params import DEFAULT as P
 from ..sources.fixtures import table
+from ..storage import fresh_path
 
 QUERIES = {}
 RAW = """raw as (select page_id as seq, url, html from pages union all select page_id + 1000000, url, html from pages where page_id % 5 = 0),
@@ -148,6 +149,10 @@ QUERIES["run_log"] = (
     lambda s, d: sinks.run_log(_staged(s, d), P.now, "pages", 9, 1400).drop("run_at"),
     f"with {RAW} select 'pages' as source_type, count(*) as fetched_count, count_if(stage = 'kept')::bigint as new_count, count_if(stage = 'repeated')::bigint as dup_count, count_if(stage in ('stored', 'ledger'))::bigint as skipped_seen_count, 9::bigint as http_request_count, 1400::bigint as duration_ms, null::varchar as error from g",
 )
+QUERIES["run_log_observed"] = (
+    lambda s, d: sinks.logged_write(_staged(s, d), fresh_path(s, "run-stages"), P.now, "pages", 9, 1400).drop("run_at"),
+    QUERIES["run_log"][1],
+)
 QUERIES["recent_cache"] = (
     lambda s, d: gate.recent(table(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("at")), "at", P.now).agg(F.count("*").alias("n")),
     "select count(*) as n from events where ts >= timestamp '2024-01-28 00:00:00'",

@@ -7,9 +7,10 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ..functions import bills
-from ..operators import rules, stats
-from ..sources import feeds, html
+from ..operators import dictionaries, rules, stats
+from ..sources import feeds, html, snapshots
 from ..sources.fixtures import table, view, with_views
+from ..storage import fresh_path, written
 
 QUERIES = {}
 
@@ -226,3 +227,50 @@ QUERIES["notice_pages"] = (
     lambda s, d: feeds.paged_notices(_notice_pages(s, d), r"/n/(\d+.*)", "h://", 2, 3, date(2024, 1, 10)).drop("page"),
     "select n_name as source, 'h://' || (10 * p + k + n_nationkey * 100) as url, 'T' as title, 'Org' as agency, date '2024-01-05' as notice_start, make_date(2024, 1, n_nationkey + 1) as notice_end, case when n_nationkey + 1 < 10 then 'closed' else 'open' end as status from nation, (select unnest([1, 2]) as p), (select unnest(range(10)) as k) where p = 1 or k < 9",
 )
+
+
+def _snapshots(s, d):
+    """The documents as snapshots of their sources, of which the first by name can't be read."""
+    docs = table(s, d, "documents")
+    first = docs.agg(F.min("source").alias("first"))
+    item = F.to_json(F.struct(F.substring(F.translate("text", "\n\r", "  "), 1, 40).alias("title"), F.col("doc_id").cast("string").alias("link")))
+    rows = docs.where("source is not null").crossJoin(F.broadcast(first)).select("source", F.when(F.col("source") == F.col("first"), "no item").otherwise(item).alias("value"))  # first is one row
+    path = fresh_path(s, "snapshots")
+    rows.write.partitionBy("source").text(path)
+    return snapshots.load(s, path)
+
+
+def feeds_by_source(s, d):
+    """Every item, and a row for each source that couldn't be read."""
+    rows = _snapshots(s, d)
+    failed = rows.where("error is not null").select("source").distinct()
+    return rows.where("error is null").select("source", "link", "title", F.lit(False).alias("failed")).unionByName(failed.withColumn("failed", F.lit(True)), allowMissingColumns=True)
+
+
+QUERIES["feeds_by_source"] = (
+    feeds_by_source,
+    """select source, doc_id::varchar as link, substr(translate(text, chr(10) || chr(13), '  '), 1, 40) as title, false as failed from documents where source > (select min(source) from documents)
+union all select min(source), null, null, true from documents""",
+)
+#: A dictionary from the tables: words of the benchmark, parts, customers and suppliers.
+DICTIONARY = "select distinct unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) as term from benchmark union select lower(p_name) from part union select lower(c_name) from customer union select lower(s_name) from supplier"
+
+
+def _dictionary(s, d):
+    words = table(s, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("term"))
+    for name, column in (("part", "p_name"), ("customer", "c_name"), ("supplier", "s_name")):
+        words = words.unionByName(table(s, d, name).select(F.lower(column).alias("term")))
+    return words.distinct().select(F.pmod(F.xxhash64("term"), F.lit(1 << 62)).alias("term_id"), "term")
+
+
+def _dictionary_hits(s, d):
+    terms = written(_dictionary(s, d), "dictionary")
+    found = dictionaries.with_terms(table(s, d, "documents").select("doc_id", F.lower("text").alias("text")), terms)
+    each = found.select("doc_id", F.explode_outer("term_ids").alias("term_id")).join(terms, "term_id", "left")
+    return each.groupBy("doc_id").agg(F.count("term").alias("n_terms"), F.md5(F.array_join(F.sort_array(F.collect_list("term")), "|")).alias("digest"))
+
+
+QUERIES["dictionary_hits"] = (
+    _dictionary_hits,
+    f"with t as ({DICTIONARY}), h as (select doc_id, term from documents left join t on contains(lower(text), term)) select doc_id, count(term) as n_terms, md5(coalesce(array_to_string(list_sort(list(term) filter (term is not null)), '|'), '')) as digest from h group by 1",
+)

@@ -93,7 +93,8 @@ def routed(raw: DataFrame, known: KnownUrls, kept_path: str, ledger_path: str, r
             staged = staged.join(now, "seq", "left").withColumn("stage", F.when(passed & F.col("now").isNull(), "deferred").otherwise(F.col("stage"))).drop("now")
         staged = put(staged, "staged")
         kept = staged.where(F.col("stage").isin("kept", "notify", "backfill", "deferred"))
-        batch.drop("stage").join(kept.select(F.col("seq").alias(seq), "stage"), seq).write.mode("overwrite").parquet(f"{kept_path}/batch={number}")
+        # bodies are shuffled only of rows that can be kept
+        batch.where(passes & (F.coalesce(url, F.lit("")) != "")).drop("stage").join(kept.select(F.col("seq").alias(seq), "stage"), seq).write.mode("overwrite").parquet(f"{kept_path}/batch={number}")
         gate.rejections(staged).write.mode("overwrite").parquet(f"{ledger_path}/batch={number}")
         article = F.coalesce("article", "leads")
         seen = F.col("seq").cast("long").alias("seen")

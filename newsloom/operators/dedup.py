@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,25 +22,80 @@ def same_text(rows: DataFrame, text: str = "body", id_col: str = "id") -> DataFr
     return rows.groupBy(F.sha2(text, 256).alias("digest")).agg(F.count("*").alias("n"), F.min(id_col).alias("first")).where("n > 1")
 
 
-def grams(x: Column, n: int = 3) -> Column:
-    return F.when(F.char_length(x) < n, F.array(x)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(x) - n + 1), lambda i: F.substr(x, i, F.lit(n)))))
+#: Grams of more keys than one in so many are frequent, and how many of these, the most frequent, are told apart.
+FREQUENT, TOLD = 1000, 200_000
+#: Characters whose grams are in memory at once.
+CHARACTERS = 1 << 20
+
+
+def grams(key: str, n: int = 3) -> np.ndarray:
+    """A text's distinct n-grams of code points as numbers, sorted: exact for n up to 3, hashes beyond. A shorter text is
+    one gram."""
+    c = np.frombuffer(key.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    c = np.pad(c, (0, max(0, n - len(c))))
+    out = np.zeros(len(c) - n + 1, dtype=np.uint64)
+    for k in range(n):
+        out = (out << np.uint64(21) | c[k : k + len(out)]) if n <= 3 else out * np.uint64(0x100000001B3) + c[k : k + len(out)]
+    return np.unique(out)
+
+
+def _parts(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    start, size = 0, 0
+    for i, length in enumerate(pc.utf8_length(batch.column(column)).to_pylist(), 1):
+        size += length or 0
+        if size >= CHARACTERS or i == batch.num_rows:
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+
+
+def frequent_grams(keys: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Grams that many keys have, sorted, and how many do. They tell little, so that whoever orders grams puts them last."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch, "key"):
+                gram, count = np.unique(np.concatenate([grams(x, n) for x in part.column("key").to_pylist()]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int64)), pa.array(count)], ["gram", "n"])
+
+    total = keys.select("key").mapInArrow(counted, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    found = total.where(F.col("n") > keys.count() / FREQUENT).orderBy(F.desc("n"), "gram").limit(TOLD).toArrow()
+    gram, count = found.column("gram").to_numpy().astype(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(gram)
+    return gram[order], count[order]
 
 
 def alike_keys(keyed: DataFrame, least: float, days: int, n: int = 3) -> DataFrame:
     """ka, kb, similarity of the distinct keys of keyed (key, day), ka < kb, whose n-gram sets have at least `least` in
     common and some of whose days are within `days`; and not only these: whoever uses them looks at days.
 
-    Prefix filtering keeps every such pair: ordered by how rare they are, the first |x| - ceil(least |x|) + 1 grams of both
-    share one. Postings are hashes alone: of a gram and a slot of days, with the key's hash, its number of grams and the
-    gram's place. Places and numbers that can't reach `least` go in the join; texts come back for what is left."""
+    Prefix filtering keeps every such pair: in any one order of grams, here with the frequent ones last, the first
+    |x| - ceil(least |x|) + 1 grams of both share one. Only these are rows, of a gram and a slot of days, with the key's
+    hash, its number of grams and the gram's place. Places and numbers that can't reach `least` go in the join; texts come
+    back for what is left, and are compared whole."""
     width = 8 * max(days, 1)
     slot = lambda shift: F.floor((F.datediff("day", F.lit("1970-01-01").cast("date")) + shift) / width)
-    keys = keyed.select("key").distinct().select("key", F.xxhash64("key").alias("k"), grams(F.col("key"), n).alias("g"))
-    every = keys.select("k", F.explode(F.transform("g", lambda x: F.xxhash64(x))).alias("gram"))
-    rare = every.groupBy("gram").agg(F.count("*").alias("df"))
-    ordered = every.join(rare, "gram").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
-    size = F.size("g")
-    prefix = ordered.select("k", size.alias("n"), F.posexplode(F.slice("g", 1, (size - F.ceil(F.lit(least) * size) + 1).cast("int"))).alias("at", "x")).select("k", "n", "at", F.col("x.gram").alias("gram"))
+    keys = keyed.select("key").distinct().select("key", F.xxhash64("key").alias("k"))
+    often = keys.sparkSession.sparkContext.broadcast(frequent_grams(keys, n))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, count = often.value
+        for batch in batches:
+            for part in _parts(batch, "key"):
+                firsts, sizes = [], []
+                for key in part.column("key").to_pylist():
+                    g = grams(key, n)
+                    at = np.minimum(np.searchsorted(known, g), max(len(known) - 1, 0))
+                    df = np.where(known[at] == g, count[at], 0) if len(known) else np.zeros(len(g))
+                    order = np.lexsort((g * np.uint64(0x9E3779B97F4A7C15), df))
+                    firsts.append(g[order[: len(g) - int(np.ceil(least * len(g) - 1e-9)) + 1]])
+                    sizes.append(len(g))
+                many = np.array([len(f) for f in firsts])
+                row = pa.array(np.repeat(np.arange(len(many)), many))
+                at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                cols = [part.column("k").take(row), pa.array(np.array(sizes)[row], pa.int32()), pa.array(at, pa.int32()), pa.array(np.concatenate(firsts).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(cols, ["k", "n", "at", "gram"])
+
+    prefix = written(keys.mapInArrow(prefixes, "k bigint, n int, at int, gram bigint"), "title-prefixes")
     placed = lambda name, slots: prefix.join(keyed.select(F.xxhash64("key").alias("k"), slots.alias("slot")).distinct(), "k").select("gram", "slot", F.col("k").alias(f"k{name}"), F.col("n").alias(f"n{name}"), F.col("at").alias(f"at{name}"))
     one, other = placed("a", slot(0)), placed("b", F.explode(F.array_distinct(F.array(slot(-days), slot(0), slot(days)))))
     enough = F.ceil(F.lit(least) / (1 + least) * (F.col("na") + F.col("nb")) - 1e-9)
@@ -46,16 +103,32 @@ def alike_keys(keyed: DataFrame, least: float, days: int, n: int = 3) -> DataFra
     near = (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - 1e-9) & (reach >= enough)
     # either side may be the one whose slots are spread, so pairs are put in order after the join
     pairs = one.join(other, ["gram", "slot"]).where((F.col("ka") != F.col("kb")) & near).select(F.least("ka", "kb").alias("x"), F.greatest("ka", "kb").alias("y")).distinct()
-    side = lambda name, of: keys.select(F.col("k").alias(of), F.col("key").alias(f"k{name}"), F.col("g").alias(f"g{name}"))
-    found = pairs.join(side("a", "x"), "x").join(side("b", "y"), "y")
-    both = F.size(F.array_intersect("ga", "gb"))
-    found = found.select("ka", "kb", (both / (F.size("ga") + F.size("gb") - both)).alias("similarity"))
-    return found.where(F.col("similarity") >= least)
+    side = lambda name, of: keys.select(F.col("k").alias(of), F.col("key").alias(f"k{name}"))
+    found = pairs.join(side("a", "x"), "x").join(side("b", "y"), "y").select("ka", "kb")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch, "ka"):
+                likes, last = [], ("", np.zeros(0))
+                for a, b in zip(part.column("ka").to_pylist(), part.column("kb").to_pylist()):
+                    last = last if last[0] == a else (a, grams(a, n))
+                    g = grams(b, n)
+                    both = len(np.intersect1d(last[1], g, assume_unique=True))
+                    likes.append(both / (len(last[1]) + len(g) - both))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(likes, pa.float64())], ["ka", "kb", "similarity"])
+
+    return found.mapInArrow(compared, "ka string, kb string, similarity double").where(F.col("similarity") >= least)
+
+
+def _keyed(rows: DataFrame, title: str, day: str, id_col: str) -> DataFrame:
+    """id, day and the title's key, made once."""
+    keyed = rows.select(F.col(id_col).alias("id"), F.col(day).alias("day"), title_key(F.col(title)).alias("key"))
+    return written(keyed.where("key is not null and day is not null and id is not null"), "title-keys")
 
 
 def near_titles(rows: DataFrame, least: float, days: int, title: str = "title", day: str = "day", id_col: str = "id", n: int = 3) -> DataFrame:
     """a, b, similarity of titles whose n-gram sets have at least `least` in common within `days`; null titles have none."""
-    keyed = rows.select(F.col(id_col).alias("id"), F.col(day).alias("day"), title_key(F.col(title)).alias("key")).where("key is not null and day is not null and id is not null")
+    keyed = _keyed(rows, title, day, id_col)
     alike = alike_keys(keyed, least, days, n)
     alike = alike.unionByName(keyed.select(F.col("key").alias("ka"), F.col("key").alias("kb"), F.lit(1.0).alias("similarity")).distinct())
     x = keyed.select(F.col("id").alias("i"), F.col("day").alias("di"), F.col("key").alias("ka"))
@@ -68,7 +141,7 @@ def title_links(rows: DataFrame, least: float, days: int, title: str = "title",
     """a, b: links whose components are those of near_titles(), without its pairs between copies. Rows of one title and
     day are one node, named by its least id, to which each links; a title's nodes link to the next day's within reach, and
     nodes of alike titles to each other."""
-    keyed = rows.select(F.col(id_col).alias("id"), F.col(day).alias("day"), title_key(F.col(title)).alias("key")).where("key is not null and day is not null and id is not null")
+    keyed = _keyed(rows, title, day, id_col)
     nodes = written(keyed.groupBy("key", "day").agg(F.min("id").alias("node")), "title-nodes")
     of_node = keyed.join(nodes, ["key", "day"]).where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
     before = Window.partitionBy("key").orderBy("day")

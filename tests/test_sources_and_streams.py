@@ -33,7 +33,7 @@ def test_titles_and_names(spark):
 def test_deadlines(spark):
     find = lambda t: value(spark, bills.deadline_in(F.lit(t).cast("string")))
     assert find("접수기간 2031.5.6 ~ 2031.6.7") == date(2031, 6, 7)
-    assert find("접수기간 2031.6.7 ~ 2031.5.6") == date(2031, 5, 6) and find("접수마감 2031.6.7" + " x" * 30 + " 2031.8.9 ~") == date(2031, 6, 7)
+    assert find("접수기간 2031.6.7 ~ 2031.5.6") == date(2031, 5, 6) and find("접수마감 2031.6.7" + " x" * 40 + " 2031.8.9 ~") == date(2031, 6, 7)
     assert find("신청 마감: 2031년 2월 3일") == date(2031, 2, 3)
     assert find("공고일 2031.1.1") is None and find("") is None and find(None) is None
 

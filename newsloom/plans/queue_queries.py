@@ -10,9 +10,10 @@ from pyspark.sql.window import Window
 
 from ..functions.dates import in_night, local_date, local_hour, parse_time
 from ..operators import articles as A
-from ..operators import gate, items, ops, queue, rules, stats
+from ..operators import gate, items, ops, queue, rollups, rules, stats
 from ..params import DEFAULT as P
 from ..sources.fixtures import table, view, with_views
+from ..storage import written
 
 QUERIES = {}
 NOW = datetime(2024, 1, 31)
@@ -189,3 +190,36 @@ QUERIES["times_parsed"] = (
     lambda s, d: _queue(s, d).select("event_id", parse_time(F.when(F.col("event_id") % 4 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(F.col("event_id") % 4 == 1, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(F.col("event_id") % 4 == 2, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+09:00"))).otherwise("soon")).alias("at")),
     _sql("select event_id, case event_id % 4 when 0 then date_trunc('second', ts) when 1 then date_trunc('second', ts) when 2 then date_trunc('second', ts) - interval 9 hour end as at from queue"),
 )
+
+
+def _latencies(s, d):
+    """How long each line took from its order to its shipping, as publishing and sending."""
+    lines, orders = table(s, d, "lineitem"), table(s, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("source"), F.col("o_orderdate").cast("date").alias("published"))
+    rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey).withColumn("sent", F.to_date("l_shipdate"))
+    return rows.select("source", "sent", F.datediff("sent", "published").alias("latency"), "o_custkey")
+
+
+def latency_windows(s, d, as_of=date(1998, 7, 1), days=(7, 30, 365)):
+    """P90 of publishing to sending and distinct receivers by source and window: the exact values, and whether those of the
+    merged daily sketches are within the sketches' errors."""
+    rows = written(_latencies(s, d), "latencies")
+    sketched = rollups.windowed(rollups.daily(rows, "sent", F.col("latency"), F.col("o_custkey"), "source"), "sent", as_of, days, {"p90": 0.9}, "source")
+    age = F.datediff(F.lit(as_of), F.col("sent"))
+    each = rows.where(age.between(0, max(days) - 1)).withColumn("days", F.explode(F.filter(F.array(*map(F.lit, days)), lambda k: k > age)))
+    exact = rollups.exact_quantiles(each, "latency", 0.9, "source", "days").withColumnRenamed("quantile", "exact")
+    ranks = each.join(F.broadcast(sketched.select("source", "days", "p90")), ["source", "days"]).groupBy("source", "days").agg(  # a row a source and window
+        F.avg((F.col("latency") < F.col("p90")).cast("int")).alias("below"), F.avg((F.col("latency") <= F.col("p90")).cast("int")).alias("upto"), F.count_distinct("o_custkey").alias("receivers")
+    )
+    e = rollups.RANK_ERROR
+    near = (F.col("below") <= 0.9 + e) & (F.col("upto") >= 0.9 - e)
+    close = F.abs(F.col("distinct") - F.col("receivers")) <= F.greatest(F.lit(1), rollups.DISTINCT_ERROR * F.col("receivers"))
+    done = sketched.join(exact, ["source", "days"]).join(ranks, ["source", "days"])
+    return done.select("source", F.col("days").cast("long").alias("days"), "n", F.col("exact").cast("long").alias("p90"), "receivers", near.alias("p90_near"), close.alias("receivers_near"))
+
+
+QUERIES["latency_windows"] = (
+    latency_windows,
+    """with l as (select o_orderpriority as source, l_shipdate::date as sent, date_diff('day', o_orderdate::date, l_shipdate::date) as latency, o_custkey from lineitem join orders on l_orderkey = o_orderkey),
+w as (select l.*, days from l, (select unnest([7, 30, 365]) as days) z where date_diff('day', sent, date '1998-07-01') between 0 and days - 1)
+select source, days::bigint as days, count(*) as n, quantile_disc(latency, 0.9)::bigint as p90, count(distinct o_custkey) as receivers, true as p90_near, true as receivers_near from w group by 1, 2""",
+)

@@ -10,7 +10,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.operators import dictionaries, sinks
+from newsloom.operators import dictionaries, scorer, sinks
 from newsloom.sources import snapshots
 
 TERMS = "term_id long, term string"
@@ -95,3 +95,17 @@ def test_logs_of_runs(spark, tmp_path):
         spark.streams.removeListener(log)
     rows = [r for r in sinks.run_rows(spark, log.rows).collect() if r.fetched_count]
     assert sorted(r.fetched_count for r in rows) == [3, 4] and sum(r.new_count for r in rows) == 4
+
+
+def test_a_budget_of_summaries(spark):
+    rows = spark.createDataFrame([(k, f"t{k}" if k != 4 else None, "body" if k % 2 else None, 10 - k) for k in range(8)], "id long, title string, body string, score int")
+
+    def ask(some: list[dict]) -> list[str]:
+        if any(r["id"] == 3 for r in some):
+            raise RuntimeError("no answer")
+        return [""] if some == [{"id": 5, "title": "t5", "text": "body"}] else [r["text"].upper() for r in some]
+
+    found = {r.id: (r.path, r.summary) for r in scorer.budgeted(rows, ask, 6, [F.desc("score"), F.col("id")], workers=1).collect()}
+    assert found == {0: ("snippet", "T0"), 1: ("model", "BODY"), 2: ("snippet", "T2"), 3: ("fallback", "t3"), 4: ("fallback", ""), 5: ("fallback", "t5"), 6: ("waiting", None), 7: ("waiting", None)}
+    assert {r.path for r in scorer.budgeted(rows, ask, 0, [F.col("id")]).collect()} == {"waiting"}
+    assert scorer.budgeted(rows.where("false"), ask, 5, [F.col("id")]).collect() == []

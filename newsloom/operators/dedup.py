@@ -64,76 +64,109 @@ def frequent_grams(keys: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return gram[order], count[order]
 
 
-def alike_keys(keyed: DataFrame, least: float, days: int, n: int = 3) -> DataFrame:
-    """ka, kb, similarity of the distinct keys of keyed (key, day), ka < kb, whose n-gram sets have at least `least` in
-    common and some of whose days are within `days`; and not only these: whoever uses them looks at days.
-
-    Prefix filtering keeps every such pair: in any one order of grams, here with the frequent ones last, the first
-    |x| - ceil(least |x|) + 1 grams of both share one. Only these are rows, of a gram and a slot of days, with the key's
-    hash, its number of grams and the gram's place. Places and numbers that can't reach `least` go in the join; texts come
-    back for what is left, and are compared whole."""
+def bands(least: float, most: int) -> np.ndarray:
+    """The largest size of each band: of two sets at least `least` alike, the larger one's size falls in the band of the
+    smaller one's, or in the next."""
+    ends = [1]
+    while ends[-1] < most:
+        ends.append(int(np.floor((ends[-1] + 1) / least + 1e-9)))
+    return np.array(ends)
+
+
+def signatures(g: np.ndarray, rank: np.ndarray, level: int, end: int, least: float) -> np.ndarray:
+    """A hash of each part of a set of grams, for sets of at most `end` grams. rank: what deals the grams to parts.
+
+    Two such sets differ in at most 2 end (1 - least) / (1 + least) grams, and there is a part more than that, so one part
+    at least is equal in both."""
+    parts = int(np.floor(2 * end * (1 - least) / (1 + least) + 1e-9)) + 1
+    out = (np.uint64(level) << np.uint64(40)) + np.arange(1, parts + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    np.add.at(out, (rank % np.uint64(parts)).astype(np.int64), _mixed(g))
+    return _mixed(out).astype(np.int64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def alike_keys(keys: DataFrame, rows: DataFrame, least: float, days: int, n: int = 3) -> DataFrame:
+    """ka, kb, similarity of the keys (key, k: its number), ka <> kb, each pair once, whose n-gram sets have at least
+    `least` in common and some of whose days (rows: k, day) are within `days`; and not only these: whoever uses them looks
+    at days.
+
+    Sets so much alike differ in few grams, so of as many parts and one more, one is equal in both: keys meet by hashes of
+    whole parts (some nine grams at 0.9, fewer at less) in a slot of days. The frequent grams are dealt in turn, so that
+    every part tells keys apart. A key has the parts of its own band of sizes and of the next; what shares one is compared
+    whole."""
     width = 8 * max(days, 1)
     slot = lambda shift: F.floor((F.datediff("day", F.lit("1970-01-01").cast("date")) + shift) / width)
-    keys = keyed.select("key").distinct().select("key", F.xxhash64("key").alias("k"))
     often = keys.sparkSession.sparkContext.broadcast(frequent_grams(keys, n))
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count = often.value
+        turn = np.empty(len(known), dtype=np.uint64)
+        turn[np.argsort(-count, kind="stable")] = np.arange(len(known), dtype=np.uint64)
+        ends = bands(least, 1)
         for batch in batches:
             for part in _parts(batch, "key"):
-                firsts, sizes = [], []
+                own, following = [], []
                 for key in part.column("key").to_pylist():
                     g = grams(key, n)
-                    at = np.minimum(np.searchsorted(known, g), max(len(known) - 1, 0))
-                    df = np.where(known[at] == g, count[at], 0) if len(known) else np.zeros(len(g))
-                    order = np.lexsort((g * np.uint64(0x9E3779B97F4A7C15), df))
-                    firsts.append(g[order[: len(g) - int(np.ceil(least * len(g) - 1e-9)) + 1]])
-                    sizes.append(len(g))
-                many = np.array([len(f) for f in firsts])
-                row = pa.array(np.repeat(np.arange(len(many)), many))
-                at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                cols = [part.column("k").take(row), pa.array(np.array(sizes)[row], pa.int32()), pa.array(at, pa.int32()), pa.array(np.concatenate(firsts).astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(cols, ["k", "n", "at", "gram"])
-
-    prefix = written(keys.mapInArrow(prefixes, "k bigint, n int, at int, gram bigint"), "title-prefixes")
-    placed = lambda name, slots: prefix.join(keyed.select(F.xxhash64("key").alias("k"), slots.alias("slot")).distinct(), "k").select("gram", "slot", F.col("k").alias(f"k{name}"), F.col("n").alias(f"n{name}"), F.col("at").alias(f"at{name}"))
-    one, other = placed("a", slot(0)), placed("b", F.explode(F.array_distinct(F.array(slot(-days), slot(0), slot(days)))))
-    enough = F.ceil(F.lit(least) / (1 + least) * (F.col("na") + F.col("nb")) - 1e-9)
-    reach = 1 + F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) - 1
-    near = (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - 1e-9) & (reach >= enough)
-    # either side may be the one whose slots are spread, so pairs are put in order after the join
-    pairs = one.join(other, ["gram", "slot"]).where((F.col("ka") != F.col("kb")) & near).select(F.least("ka", "kb").alias("x"), F.greatest("ka", "kb").alias("y")).distinct()
-    side = lambda name, of: keys.select(F.col("k").alias(of), F.col("key").alias(f"k{name}"))
-    found = pairs.join(side("a", "x"), "x").join(side("b", "y"), "y").select("ka", "kb")
+                    rank = _mixed(g + np.uint64(1)) >> np.uint64(1)
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, g), len(known) - 1)
+                        rank = np.where(known[at] == g, turn[at], rank)
+                    if ends[-1] < 2 * len(g):
+                        ends = bands(least, 4 * len(g))
+                    level = int(np.searchsorted(ends, len(g)))
+                    own.append(signatures(g, rank, level, int(ends[level]), least))
+                    following.append(signatures(g, rank, level + 1, int(bands(least, int(ends[level]) + 1)[level + 1]), least))
+                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x))) for x in (own, following)]
+                yield pa.RecordBatch.from_arrays([part.column("k"), *lists], ["k", "own", "following"])
+
+    made = written(keys.select("key", "k").mapInArrow(signed, "k bigint, own array<bigint>, following array<bigint>"), "title-parts")
+    placed = lambda name, slots, parts: made.join(rows.select("k", slots.alias("slot")).distinct(), "k").select("slot", F.col("k").alias(name), F.explode(parts).alias("part"))
+    one, other = placed("kb", F.explode(F.array_distinct(F.array(slot(-days), slot(0), slot(days)))), F.col("own")), placed("ka", slot(0), F.concat("own", "following"))
+    pairs = one.join(other, ["part", "slot"]).where("ka <> kb").select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")).distinct()
+    side = lambda name: keys.select(F.col("k").alias(f"k{name}"), F.col("key").alias(name))
+    found = pairs.join(side("a"), "ka").join(side("b"), "kb")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch, "ka"):
+            for part in _parts(batch, "a"):
                 likes, last = [], ("", np.zeros(0))
-                for a, b in zip(part.column("ka").to_pylist(), part.column("kb").to_pylist()):
-                    last = last if last[0] == a else (a, grams(a, n))
-                    g = grams(b, n)
+                for a, b in zip(part.column("a").to_pylist(), part.column("b").to_pylist()):
+                    last = last if last[0] == b else (b, grams(b, n))
+                    g = grams(a, n)
                     both = len(np.intersect1d(last[1], g, assume_unique=True))
                     likes.append(both / (len(last[1]) + len(g) - both))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(likes, pa.float64())], ["ka", "kb", "similarity"])
+                yield pa.RecordBatch.from_arrays([part.column("ka"), part.column("kb"), pa.array(likes, pa.float64())], ["ka", "kb", "similarity"])
 
-    return found.mapInArrow(compared, "ka string, kb string, similarity double").where(F.col("similarity") >= least)
+    return found.select("ka", "kb", "a", "b").mapInArrow(compared, "ka bigint, kb bigint, similarity double").where(F.col("similarity") >= least)
 
 
-def _keyed(rows: DataFrame, title: str, day: str, id_col: str) -> DataFrame:
-    """id, day and the title's key, made once."""
+def _keyed(rows: DataFrame, title: str, day: str, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """key, k of each distinct key of titles, k being its number; and id, day, k of each row that has one."""
     keyed = rows.select(F.col(id_col).alias("id"), F.col(day).alias("day"), title_key(F.col(title)).alias("key"))
-    return written(keyed.where("key is not null and day is not null and id is not null"), "title-keys")
+    keyed = written(keyed.where("key is not null and day is not null and id is not null"), "title-keys")
+    keys = written(keyed.select("key").distinct().withColumn("k", F.monotonically_increasing_id()), "title-numbers")
+    return keys, written(keyed.join(keys, "key").select("id", "day", "k"), "title-rows")
+
+
+def _near_days(rows: DataFrame, days: int) -> DataFrame:
+    """kb, db, and what else the rows (k, day) have, for each day that is within `days` of theirs."""
+    around = F.explode(F.sequence(F.date_sub("day", days), F.date_add("day", days)))
+    return rows.withColumn("da", around).withColumnRenamed("k", "kb").drop("day")
 
 
 def near_titles(rows: DataFrame, least: float, days: int, title: str = "title", day: str = "day", id_col: str = "id", n: int = 3) -> DataFrame:
     """a, b, similarity of titles whose n-gram sets have at least `least` in common within `days`; null titles have none."""
-    keyed = _keyed(rows, title, day, id_col)
-    alike = alike_keys(keyed, least, days, n)
-    alike = alike.unionByName(keyed.select(F.col("key").alias("ka"), F.col("key").alias("kb"), F.lit(1.0).alias("similarity")).distinct())
-    x = keyed.select(F.col("id").alias("i"), F.col("day").alias("di"), F.col("key").alias("ka"))
-    y = keyed.select(F.col("id").alias("j"), F.col("day").alias("dj"), F.col("key").alias("kb"))
-    pairs = alike.join(x, "ka").join(y, "kb").where((F.abs(F.datediff("di", "dj")) <= days) & (F.col("i") != F.col("j")) & ((F.col("ka") != F.col("kb")) | (F.col("i") < F.col("j"))))
+    keys, rows = _keyed(rows, title, day, id_col)
+    alike = alike_keys(keys, rows, least, days, n).unionByName(keys.select(F.col("k").alias("ka"), F.col("k").alias("kb"), F.lit(1.0).alias("similarity")))
+    x = rows.select(F.col("id").alias("i"), F.col("day").alias("da"), F.col("k").alias("ka"))
+    y = _near_days(rows.select(F.col("id").alias("j"), "day", "k"), days)
+    pairs = alike.join(x, "ka").join(y, ["kb", "da"]).where((F.col("i") != F.col("j")) & ((F.col("ka") != F.col("kb")) | (F.col("i") < F.col("j"))))
     return pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "similarity")
 
 
@@ -141,14 +174,14 @@ def title_links(rows: DataFrame, least: float, days: int, title: str = "title",
     """a, b: links whose components are those of near_titles(), without its pairs between copies. Rows of one title and
     day are one node, named by its least id, to which each links; a title's nodes link to the next day's within reach, and
     nodes of alike titles to each other."""
-    keyed = _keyed(rows, title, day, id_col)
-    nodes = written(keyed.groupBy("key", "day").agg(F.min("id").alias("node")), "title-nodes")
-    of_node = keyed.join(nodes, ["key", "day"]).where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    before = Window.partitionBy("key").orderBy("day")
+    keys, rows = _keyed(rows, title, day, id_col)
+    nodes = written(rows.groupBy("k", "day").agg(F.min("id").alias("node")), "title-nodes")
+    of_node = rows.join(nodes, ["k", "day"]).where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    before = Window.partitionBy("k").orderBy("day")
     next_days = nodes.withColumn("b", F.lag("node").over(before)).withColumn("gap", F.datediff("day", F.lag("day").over(before))).where(F.col("gap") <= days).select(F.col("node").alias("a"), "b")
-    x = nodes.select(F.col("node").alias("a"), F.col("day").alias("di"), F.col("key").alias("ka"))
-    y = nodes.select(F.col("node").alias("b"), F.col("day").alias("dj"), F.col("key").alias("kb"))
-    between = alike_keys(nodes, least, days, n).join(x, "ka").join(y, "kb").where(F.abs(F.datediff("di", "dj")) <= days).select("a", "b")
+    x = nodes.select(F.col("node").alias("a"), F.col("day").alias("da"), F.col("k").alias("ka"))
+    y = _near_days(nodes.select(F.col("node").alias("b"), "day", "k"), days)
+    between = alike_keys(keys, nodes, least, days, n).join(x, "ka").join(y, ["kb", "da"]).select("a", "b")
     return of_node.unionByName(next_days).unionByName(between)
 
 

@@ -55,3 +55,35 @@ def test_near_titles_of_all_languages_and_lengths(spark, small):
 def test_titles_longer_than_a_prefix(spark, small):
     got = {len(r.k) for r in catalogue.queries()["title_whole_form"](spark, small).collect()}
     assert max(got) > 80
+
+
+def test_titles_alike_share_a_part(spark):
+    """At the bound and around it, for sizes on both sides of bands."""
+    rng = np.random.default_rng(3)
+    ends = dedup.bands(0.9, 4000)
+    for size in (1, 2, 9, 10, 11, 40, 250, 999):
+        for _ in range(20):
+            g = rng.choice(1 << 40, 2 * size, replace=False).astype(np.uint64)
+            most = int(np.floor(size / 0.9 + 1e-9))
+            n = rng.integers(size, most + 1)
+            both = int(np.ceil(0.9 / 1.9 * (size + n) - 1e-9))
+            x, y = np.sort(g[:size]), np.sort(np.concatenate([g[size - both : size], g[size : size + n - both]]))
+            at = [int(np.searchsorted(ends, len(s))) for s in (x, y)]
+            assert at[1] in (at[0], at[0] + 1)
+            a, b = (dedup.signatures(s, s, at[1], int(ends[at[1]]), 0.9) for s in (x, y))
+            assert (a == b).any() and len(a) == len(b)
+
+
+def test_keys_of_common_grams_meet_rarely(spark, tmp_path, monkeypatch):
+    """Texts of one small vocabulary share their grams, yet few of their pairs are compared."""
+    rng = np.random.default_rng(4)
+    words = ["".join(w) for w in rng.choice(list("aeinorst"), (60, 4))]
+    keys = spark.createDataFrame([("".join(rng.choice(words, 60)), k) for k in range(400)], "key string, k long")
+    rows = keys.select("k", F.lit(date(2024, 1, 1)).alias("day"))
+    made = {}
+    real = dedup.written
+    monkeypatch.setattr(dedup, "written", lambda df, name: made.setdefault(name, real(df, name)))
+    assert dedup.alike_keys(keys, rows, 0.9, 1).count() == 0
+    parts = made["title-parts"].select("k", F.explode("own").alias("part"))
+    pairs = parts.join(parts.withColumnRenamed("k", "j"), "part").where("j < k").select("j", "k").distinct().count()
+    assert pairs < 400 * 399 / 2 / 100

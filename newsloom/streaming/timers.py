@@ -4,13 +4,19 @@ Rows may come out of order, within the watermark's delay, and in any number of b
 until the watermark has passed them, which a timer tells, and are then taken in order: results depend on the rows alone,
 not on how they were cut into batches, nor on restarts. Timers of rows that never come are handled alike: a key's clock
 stands where the watermark stands. What a key still waits for is all that its state holds; it goes when nothing is left.
+
+Keys are dealt by hash to BUCKETS, whose state is packed: what a batch costs goes by buckets and rows, not by keys. A bucket
+that a timer wakes is read whole.
 """
 
 from __future__ import annotations
 
+import heapq
+import pickle
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +25,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..params import DEFAULT, Params
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: A message's id, its time in milliseconds, and what its order or outcome needs.
-ROW = "id bigint, at bigint, score double, ok boolean"
+BUCKETS = 4096
+#: Rows of a result that are handed over at a time.
+ROWS = 100_000
+#: Of each row: its key, its time in milliseconds, its id, and what its order or outcome needs.
+COLUMNS = ("key", "at", "id", "score", "ok")
 
 
 @contextmanager
@@ -39,15 +48,14 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
 
 
 class InOrder(StatefulProcessor):
-    """Holds a key's rows until the watermark has passed them, then hands them over in order of time, and id."""
+    """Holds a bucket's rows until the watermark has passed them, then hands them over by key, in order of time, and id."""
 
     columns: tuple[str, ...] = ()
-    state: str = ""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", ROW)
-        self.kept = handle.getValueState("kept", self.state)
+        self.held = handle.getListState("held", "rows binary")
+        self.kept = handle.getValueState("kept", "keys binary")  # of each key: what is kept, and when to come again
 
     def wake(self, at: int | None, gone: int | None = None) -> None:
         """Sees to a timer at that time or before it; those up to `gone` have had their turn, though they are still listed."""
@@ -58,36 +66,66 @@ class InOrder(StatefulProcessor):
         first = None
         for batch in rows:
             batch = batch[batch["id"].notna()]  # rows without an id are the clock's
-            new = [(int(i), int(t), float(s), bool(ok)) for i, t, s, ok in zip(batch["id"], batch["at"], batch["score"], batch["ok"])]
-            if new:
-                self.held.appendList(new)
-                least = min(t for _, t, _, _ in new)
+            if len(batch):
+                new = [batch["key"].to_numpy(object), *(batch[c].to_numpy(kind) for c, kind in zip(COLUMNS[1:], ("int64", "int64", "float64", "bool")))]
+                self.held.appendValue((pickle.dumps(new),))
+                least = int(new[1].min())
                 first = least if first is None else min(first, least)
         self.wake(first)
         yield pd.DataFrame(columns=list(self.columns))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        held = sorted((tuple(r) for r in self.held.get()), key=lambda r: (r[1], r[0]))
-        due, later = [r for r in held if r[1] <= now], [r for r in held if r[1] > now]
-        kept = tuple(self.kept.get()) if self.kept.exists() else None
-        out, back, kept, wake = self.advance(due, kept, now)
-        for state, value in ((self.held, [*back, *later]), (self.kept, kept)):
-            if not value:
-                state.clear()
-            elif state is self.held:
-                state.put(value)
-            else:
-                state.update(value)
+        parts = [pickle.loads(r[0]) for r in self.held.get()]
+        keys, *rows = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, object), *(np.zeros(0) for _ in COLUMNS[1:])]
+        had = self.kept.exists()
+        kept = pickle.loads(self.kept.get()[0]) if had else {}
+        codes, names = pd.factorize(keys, use_na_sentinel=False)
+        names = [None if pd.isna(n) else n for n in names]
+        due = np.flatnonzero(rows[0] <= now)
+        due = due[np.lexsort((rows[1][due], rows[0][due], codes[due]))]
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(codes[due])) + 1, [len(due)])) if len(due) else np.zeros(1, int)
+        turns = {names[codes[due[a]]]: due[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())}
+        turns |= {k: due[:0] for k, (_, at) in kept.items() if at is not None and at <= now and k not in turns}
+        out, back = [], []
+        for k, at in turns.items():
+            mine = list(zip(*(rows[c][at].tolist() for c in (1, 0, 2, 3))))
+            found, left, keep, again = self.advance(mine, kept.pop(k, (None, None))[0], now)
+            out += [(k, *r) for r in found]
+            back += [(k, t, i, s, ok) for i, t, s, ok in left]
+            if keep is not None or again is not None:
+                kept[k] = keep, again
+            if len(out) >= ROWS:
+                yield from self.frames(out)
+                out = []
+        later = np.flatnonzero(rows[0] > now)
+        stay = [[keys[later], *(r[later] for r in rows)]] if len(later) else []
+        if back:
+            named = np.empty(len(back), object)
+            named[:] = [r[0] for r in back]
+            stay.append([named, *(np.array(c, kind) for c, kind in zip(list(zip(*back))[1:], ("int64", "int64", "float64", "bool")))])
+        if stay:
+            self.held.put([(pickle.dumps(part),) for part in stay])
+        elif parts:
+            self.held.clear()
+        if kept:
+            self.kept.update((pickle.dumps(kept),))
+        elif had:
+            self.kept.clear()
         for t in list(self.handle.listTimers()):
             if t <= now and t != expiredTimerInfo.getExpiryTimeInMs():
                 self.handle.deleteTimer(t)
-        self.wake(min([t for t in (later[0][1] if later else None, wake) if t is not None], default=None), now)
-        yield pd.DataFrame([(*key, *r) for r in out], columns=list(self.columns))
+        first = [int(rows[0][later].min())] if len(later) else []
+        self.wake(min(first + [at for _, at in kept.values() if at is not None], default=None), now)
+        yield from self.frames(out)
+
+    def frames(self, out: list[tuple]) -> Iterator[pd.DataFrame]:
+        for start in range(0, len(out) or 1, ROWS):
+            yield pd.DataFrame(out[start : start + ROWS], columns=list(self.columns))
 
     def advance(self, due: list[tuple], kept: tuple | None, now: int) -> tuple[list[tuple], list[tuple], tuple | None, int | None]:
-        """From the rows that are due, what was kept and the time: rows to give out, rows to hold on to, what to keep, and
-        when to come again if no row does."""
+        """Of one key, from the rows (id, at, score, ok) that are due, what was kept and the time: rows to give out, rows to
+        hold on to, what to keep, and when to come again if no row does."""
         raise NotImplementedError
 
     def close(self) -> None:
@@ -100,7 +138,6 @@ class Paced(InOrder):
     the spacing from the one before it, and a minute from that `per_minute` sends ago."""
 
     columns = ("channel", "id", "at", "round", "turn", "sent")
-    state = "next bigint, recent string"
 
     def __init__(self, round_ms: int, p: Params):
         self.round_ms, self.p = round_ms, p
@@ -108,20 +145,22 @@ class Paced(InOrder):
     def advance(self, due, kept, now):
         following, recent = (kept[0], [int(t) for t in kept[1].split(",") if t]) if kept else (0, [])
         # what has come by the last round waits; the state holds it in one list with what comes after
-        out, coming, waiting = [], due, []
+        out, waiting, n = [], [], 0
         spacing = int(1000 * self.p.spacing_seconds)
-        while coming or waiting:
-            start = following if waiting else max(following, -(-coming[0][1] // self.round_ms) * self.round_ms)
+        while n < len(due) or waiting:
+            start = following if waiting else max(following, -(-due[n][1] // self.round_ms) * self.round_ms)
             if start > now:
                 break
-            n = sum(r[1] <= start for r in coming)
-            waiting, coming = sorted(waiting + coming[:n], key=lambda r: (-r[2], r[1], r[0])), coming[n:]
-            for turn, (i, at, _, _) in enumerate(waiting[: self.p.per_round], 1):
+            while n < len(due) and due[n][1] <= start:
+                heapq.heappush(waiting, (-due[n][2], due[n][1], due[n][0]))
+                n += 1
+            for turn in range(1, min(self.p.per_round, len(waiting)) + 1):
+                _, at, i = heapq.heappop(waiting)
                 sent = max([start, *[t + spacing for t in recent[-1:]], *[t + 60_000 for t in recent[-self.p.per_minute :][:1] if len(recent) >= self.p.per_minute]])
                 recent = [*recent, sent][-self.p.per_minute :]
                 out.append((i, at, start, turn, sent))
-            waiting, following = waiting[self.p.per_round :], start + self.round_ms
-        back = waiting + coming
+            following = start + self.round_ms
+        back = [(i, at, -less, True) for less, at, i in waiting] + due[n:]
         first = min((r[1] for r in back), default=None)
         wake = None if first is None else max(following, -(-first // self.round_ms) * self.round_ms)
         if not back and following + 60_000 < now:  # nothing that could hold a later send back
@@ -134,7 +173,6 @@ class Tried(InOrder):
     in time. What comes after that is ignored, as long as the outcome is remembered."""
 
     columns = ("message", "at", "tries", "state")
-    state = "tries int, last bigint, over boolean"
 
     def __init__(self, patience_ms: int, remember_ms: int, p: Params):
         self.patience, self.remember, self.p = patience_ms, remember_ms, p
@@ -161,7 +199,6 @@ class Quiet(InOrder):
     """When a source falls silent: a row when its last one is older than the limit, and one when it is back."""
 
     columns = ("source", "at", "stale")
-    state = "last bigint"
 
     def __init__(self, limit_ms: int):
         self.limit = limit_ms
@@ -183,8 +220,10 @@ class Quiet(InOrder):
 
 def _keyed(rows: DataFrame, key: Column, id_col: str, ts: str, score: Column, ok: Column, late: str):
     at = F.unix_millis(F.col(ts).cast("timestamp"))
-    rows = rows.select(key.alias("key"), F.col(id_col).cast("long").alias("id"), F.col(ts).cast("timestamp").alias("ts"), at.alias("at"), score.cast("double").alias("score"), ok.alias("ok"))
-    return rows.withWatermark("ts", late).groupBy("key")
+    # null ids (the clock's) and null keys come alone: beside them pandas would make floats of numbers
+    bucket = F.when(F.col(id_col).isNull(), -1).when(key.isNull(), -2).otherwise(F.pmod(F.xxhash64(key), F.lit(BUCKETS))).alias("bucket")
+    rows = rows.select(bucket, key.alias("key"), F.col(id_col).cast("long").alias("id"), F.col(ts).cast("timestamp").alias("ts"), at.alias("at"), score.cast("double").alias("score"), ok.alias("ok"))
+    return rows.withWatermark("ts", late).groupBy("bucket")
 
 
 def sends(rows: DataFrame, channel: str, ts: str, score: str, id_col: str = "id", round_seconds: float = 60, late: str = "1 minute", p: Params = DEFAULT) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import defaultdict
 from datetime import datetime, timedelta
 
@@ -192,3 +193,21 @@ def test_sessions_leave_no_state(spark, tmp_path):
     for topic, _, k in found:
         n[topic] += k
     assert {t: k for t, k in n.items() if t} == {t: sum(e[1] == t for e in events) for t in "xy"} and left <= 1  # the clock's own
+
+
+def test_a_backlog_of_sends_takes_no_square_of_its_length():
+    """Of a channel whose messages all wait, each round takes its share without going over the rest."""
+    rows = [(i, 1000, float(i % 7), True) for i in range(200_000)]
+    start = time.perf_counter()
+    out, back, kept, wake = timers.Paced(20_000, Params(per_round=12)).advance(rows, None, 1 << 60)
+    assert time.perf_counter() - start < 30
+    assert len(out) == 200_000 and not back and kept is None and wake is None
+    assert [r[0] for r in out[:12]] == list(range(6, 84, 7))[:12] and out[12][2] == out[0][2] + 20_000
+
+
+def test_timers_of_keys_share_a_bucket(spark, tmp_path, monkeypatch):
+    """Many messages, of numbers too large for floats, in one bucket, over several batches."""
+    monkeypatch.setattr(timers, "BUCKETS", 1)
+    events = [(i, str(2**53 + 1 + i // 3), START + timedelta(seconds=i), 0.0, i % 3 == 2) for i in range(90)]
+    found, left = end_of(spark, tmp_path, lambda rows: timers.tries(rows.withColumn("topic", F.col("topic").cast("long")), "topic", "ts", "ok", "event_id", 4, 30, "10 minutes"), events, 3)
+    assert sorted(found) == sorted((2**53 + 1 + i // 3, ms(START + timedelta(seconds=i)), i % 3 + 1, "sent" if i % 3 == 2 else "retry") for i in range(90)) and left == 0

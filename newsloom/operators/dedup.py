@@ -148,8 +148,9 @@ def alike_keys(keys: DataFrame, rows: DataFrame, least: float, days: int, n: int
 
 def _keyed(rows: DataFrame, title: str, day: str, id_col: str) -> tuple[DataFrame, DataFrame]:
     """key, k of each distinct key of titles, k being its number; and id, day, k of each row that has one."""
-    keyed = rows.select(F.col(id_col).alias("id"), F.col(day).alias("day"), title_key(F.col(title)).alias("key"))
-    keyed = written(keyed.where("key is not null and day is not null and id is not null"), "title-keys")
+    some = F.col(title).isNotNull() & F.col(day).isNotNull() & F.col(id_col).isNotNull()  # of the key it would be made twice
+    keyed = rows.where(some).select(F.col(id_col).alias("id"), F.col(day).alias("day"), title_key(F.col(title)).alias("key"))
+    keyed = written(keyed, "title-keys")
     keys = written(keyed.select("key").distinct().withColumn("k", F.monotonically_increasing_id()), "title-numbers")
     return keys, written(keyed.join(keys, "key").select("id", "day", "k"), "title-rows")
 
@@ -213,47 +214,112 @@ def residual(rows: DataFrame, linked: DataFrame, similar: DataFrame, most: int,
     return rows.join(settled, id_col, "left_anti").join(close, id_col, "left_semi").orderBy(*order).limit(most)
 
 
-def near_vectors_within(rows: DataFrame, least: float, days: int, day: str = "day", vector: str = "embedding", id_col: str = "id", size: int = 1024, span: bool = False) -> DataFrame:
-    """a, b, similarity of all vectors at least `least` alike and at most `days` apart; null and zero vectors are like none.
-    span: only so many of them, from each task, as join what all of them join.
-
-    Exact: a day's vectors are dealt by hash to blocks of about `size`, and each two blocks of days near enough meet in a
-    task of their own as one product of matrices. Only pairs that reach `least` leave it."""
-    kind = rows.schema[id_col].dataType.simpleString()
-    rows = rows.select(F.col(id_col).alias("id"), F.datediff(day, F.lit("1970-01-01").cast("date")).alias("d"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and d is not null and v is not null")
-    blocks = rows.groupBy("d").agg(F.ceil(F.count("*") / size).cast("int").alias("n"))
-    dealt = rows.join(blocks, "d").withColumn("k", F.pmod(F.xxhash64("id"), "n").cast("int")).drop("n")
-    blocks = blocks.select("d", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
-    other = blocks.select(F.col("d").alias("d2"), F.col("k").alias("k2"))
-    ahead = blocks.select("d", "k", F.explode(F.sequence("d", F.col("d") + days)).alias("d2")).join(other, "d2").where("d2 > d or k2 >= k")
+def _dated(rows: DataFrame, day: str, vector: str, id_col: str) -> DataFrame:
+    rows = rows.select(F.col(id_col).alias("id"), F.datediff(day, F.lit("1970-01-01").cast("date")).alias("d"), F.col(vector).cast("array<double>").alias("v"))
+    return rows.where("id is not null and d is not null and v is not null")
+
+
+def _dealt(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of dated vectors with k, the block of about `size` that they are dealt to by hash, and d, n, k of the blocks."""
+    days = rows.groupBy("d").agg(F.ceil(F.count("*") / size).cast("int").alias("n"))
+    dealt = rows.join(days, "d").withColumn("k", F.pmod(F.xxhash64("id"), "n").cast("int")).drop("n")
+    return dealt, days.select("d", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+
+
+def starred(ids: pa.Array, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The place of the least id that the links i, j between places join with each place."""
+    rank = np.empty(len(ids), dtype=np.int64)
+    order = pc.sort_indices(ids).to_numpy()
+    rank[order] = np.arange(len(ids))
+    top = list(range(len(ids)))
+    for a, b in zip(rank[i].tolist(), rank[j].tolist()):
+        while top[a] != a:
+            top[a] = a = top[top[a]]
+        while top[b] != b:
+            top[b] = b = top[top[b]]
+        top[max(a, b)] = min(a, b)
+    for a in range(len(top)):  # a top is never above its node
+        top[a] = top[top[a]]
+    return order[np.array(top, dtype=np.int64)[rank]] if len(ids) else order
+
+
+def _near_of_blocks(left: DataFrame, right: DataFrame, pairs: DataFrame, least: float, span: bool, same: bool = True, stars: bool = False) -> DataFrame:
+    """a, b, similarity of the vectors at least `least` alike of each two blocks of pairs (d, k, d2, k2), a task for each as
+    one product of matrices. d, k are a block of left, d2, k2 one of right, and with same of left too. span: only so many of
+    them, from each task, as join what all of them join. stars: of these, each vector's link to the least id that they reach
+    in the task, whose similarity is null."""
+    kind = left.schema["id"].dataType.simpleString()
     pair = F.struct("d", "k", "d2", "k2")
-    sides = ahead.select("d", "k", pair.alias("pair"), F.lit(0).alias("side")).union(ahead.where("d2 > d or k2 > k").select("d2", "k2", pair, F.lit(1)))
+    alone = (F.col("d2") != F.col("d")) | (F.col("k2") != F.col("k")) if same else F.lit(True)
+    sides = lambda rows, d, k, side, some: rows.join(some.select(F.col(d).alias("d"), F.col(k).alias("k"), pair.alias("pair")), ["d", "k"]).select("pair.*", F.lit(side).alias("side"), "id", "v")
+    both = sides(left, "d", "k", 0, pairs).unionByName(sides(right, "d2", "k2", 1, pairs.where(alone)))
 
     def alike(key: tuple, table: pa.Table) -> pa.Table:
         d, k, d2, k2 = (x.as_py() for x in key)
         ids, side = table.column("id").combine_chunks(), table.column("side").to_numpy()
-        v = np.array(table.column("v").to_pylist(), dtype=np.float64)
+        v = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1).copy()
         norm = np.sqrt((v * v).sum(1))
         v /= np.where(norm > 0, norm, 1)[:, None]
         left, right = (np.flatnonzero((side == k) & (norm > 0)) for k in (0, 1))
-        same = (d, k) == (d2, k2)
-        right = left if same else right
+        itself = same and (d, k) == (d2, k2)
+        right = left if itself else right
         x, y = np.nonzero(v[left] @ v[right].T >= least - 1e-9)
         i, j = left[x], right[y]
-        if same:
+        if itself:
             i, j = i[x < y], j[x < y]
         if span:
             sure = np.concatenate([np.zeros(0, bool), *((v[i[n : n + 65536]] * v[j[n : n + 65536]]).sum(1) >= least for n in range(0, len(i), 65536))])
             i, j = i[sure], j[sure]
             first = spanning(len(v), i, j)
             i, j = i[first], j[first]
+        if stars:
+            of = starred(ids, i, j)
+            return pa.table({"a": ids, "b": ids.take(pa.array(of)), "similarity": pa.nulls(len(ids), pa.float64())}).filter(pa.array(of != np.arange(len(of))))
         near = np.concatenate([np.zeros(0), *((v[i[n : n + 65536]] * v[j[n : n + 65536]]).sum(1) for n in range(0, len(i), 65536))])
         p, q = ids.take(pa.array(i)), ids.take(pa.array(j))
         less = pc.less(p, q)
         found = pa.table({"a": pc.if_else(less, p, q), "b": pc.if_else(less, q, p), "similarity": pa.array(near)})
         return found.filter(pc.and_(pc.not_equal(p, q), pa.array(near >= least)))
 
-    return dealt.join(sides, ["d", "k"]).select("pair.*", "side", "id", "v").groupBy("d", "k", "d2", "k2").applyInArrow(lambda key, t: alike(key, t), f"a {kind}, b {kind}, similarity double")
+    return both.groupBy("d", "k", "d2", "k2").applyInArrow(lambda key, t: alike(key, t), f"a {kind}, b {kind}, similarity double")
+
+
+def near_vectors_within(rows: DataFrame, least: float, days: int, day: str = "day", vector: str = "embedding", id_col: str = "id", size: int = 1024, span: bool = False) -> DataFrame:
+    """a, b, similarity of all vectors at least `least` alike and at most `days` apart; null and zero vectors are like none.
+    span: only so many of them, from each task, as join what all of them join.
+
+    Exact: a day's vectors are dealt by hash to blocks of about `size`, and each two blocks of days near enough meet in a
+    task of their own. Only pairs that reach `least` leave it."""
+    dealt, blocks = _dealt(_dated(rows, day, vector, id_col), size)
+    other = blocks.select(F.col("d").alias("d2"), F.col("k").alias("k2"))
+    ahead = blocks.select("d", "k", F.explode(F.sequence("d", F.col("d") + days)).alias("d2")).join(other, "d2").where("d2 > d or k2 >= k")
+    return _near_of_blocks(dealt, dealt, ahead, least, span)
+
+
+def vector_links(rows: DataFrame, least: float, days: int, day: str = "day", vector: str = "embedding", id_col: str = "id", size: int = 1024) -> DataFrame:
+    """a, b: links whose components are those of near_vectors_within(), found without comparing each two vectors.
+
+    First each block meets itself, the next one of its day and one of the next day, which grows with the rows. What these
+    links make the largest component is joined already; only the vectors outside it meet all blocks of days near enough.
+    So the more vectors are near, the fewer are left for that; where none are, each two are compared."""
+    dealt, blocks = _dealt(_dated(rows, day, vector, id_col), size)
+    dealt, blocks = written(dealt, "vector-blocks"), written(blocks, "vector-pairs")
+    near = blocks.select("d", "k", F.col("d").alias("d2"), F.col("k").alias("k2")).union(blocks.where("n > 1").select("d", "k", "d", F.expr("(k + 1) % n")))
+    if days:
+        before = blocks.where("k = 0").select(F.explode(F.sequence(F.col("d") - days, F.col("d") - 1)).alias("e"), F.struct("d", "n").alias("x"))
+        following = before.groupBy(F.col("e").alias("d")).agg(F.min("x").alias("x")).select("d", F.col("x.d").alias("d2"), F.col("x.n").alias("n2"))
+        near = near.union(blocks.join(following, "d").select("d", "k", "d2", F.expr("k % n2")))
+    first = written(_near_of_blocks(dealt, dealt, near, least, span=True, stars=True).select("a", "b"), "vector-links")
+    groups = written(components(first), "vector-groups")
+    top = groups.groupBy("component").count().orderBy(F.desc("count"), "component").first()
+    rest = dealt.select("id", "d", "v")
+    if top:
+        rest = rest.join(groups.where(F.col("component") == top.component).select(F.col("node").alias("id")), "id", "left_anti")
+    rest, parts = _dealt(written(rest, "vector-rest"), size)
+    other = blocks.select(F.col("d").alias("d2"), F.col("k").alias("k2"))
+    all_near = parts.select("d", "k", F.explode(F.sequence(F.col("d") - days, F.col("d") + days)).alias("d2")).join(other, "d2")
+    joined = groups.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return joined.unionByName(_near_of_blocks(rest, dealt, all_near.select("d", "k", "d2", "k2"), least, span=True, same=False, stars=True).select("a", "b"))
 
 
 def representatives(rows: DataFrame, outlets: DataFrame, group: Column) -> DataFrame:

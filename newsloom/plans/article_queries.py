@@ -108,14 +108,15 @@ QUERIES["dup_vector"] = QUERIES["dup_vector_days"] = (
 def _cluster_links(s, d):
     rows = view(s, d, "articles_full")
     titles = dedup.title_links(rows.select("id", "title", F.col("published_on").alias("day")), P.title_ratio, P.title_days)
-    vectors = dedup.near_vectors_within(table(s, d, "embeddings").select("vec_id", "embedding", F.expr(VECTOR_DAY).alias("day")), LEAST, 1, id_col="vec_id", span=True)
-    return rows, dedup.same_links(rows, X.normal_url(F.col("url"))).unionByName(dedup.same_links(rows, F.sha2("body", 256))).unionByName(titles).unionByName(vectors.select("a", "b"))
+    vectors = dedup.vector_links(table(s, d, "embeddings").select("vec_id", "embedding", F.expr(VECTOR_DAY).alias("day")), LEAST, 1, id_col="vec_id")
+    return rows, dedup.same_links(rows, X.normal_url(F.col("url"))).unionByName(dedup.same_links(rows, F.sha2("body", 256))).unionByName(titles).unionByName(vectors)
 
 
 def dup_clusters(s, d):
     """Groups by url, text, title and vector links together, a representative each, and its aliases."""
     rows, links = _cluster_links(s, d)
-    done = dedup.clusters(rows.select("id", "press", "published_on", "body", "url"), links, view(s, d, "outlets"))
+    some = F.substring("body", 1, 1).alias("body")  # whether there is one decides; whole bodies would go through each join
+    done = dedup.clusters(rows.select("id", "press", "published_on", some, "url"), links, view(s, d, "outlets"))
     return done.select("id", "grp", "is_representative", F.array_join("aliases", " ").alias("aliases"))
 
 

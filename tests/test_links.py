@@ -104,3 +104,24 @@ def test_five_runs_are_one(spark):
         one = min(group, key=lambda i: (tier[rows[i][1]], not rows[i][2], rows[i][3], i))
         assert r.grp == min(group) and r.is_representative == (r.id == one)
         assert r.aliases == (sorted(f"u{i}" for i in group if i != one) if r.id == one else [])
+
+
+def test_vector_links_have_the_components_of_all_pairs(spark, monkeypatch):
+    """Also where a day has several blocks, days lack neighbours, most vectors are in one group, and some ids repeat; and
+    what all of a large group leaves to compare is what it doesn't hold."""
+    rng = np.random.default_rng(3)
+    heart = rng.normal(size=8)
+    rows = [(i, date(2024, 1, 1 + [0, 1, 2, 3, 9][i % 5]), [float(x) for x in (heart + 0.4 * rng.normal(size=8) if i % 9 else rng.normal(size=8))]) for i in range(700)]
+    rows += [(5, date(2024, 1, 2), rows[8][2]), (900, date(2024, 1, 1), [0.0] * 8), (901, date(2024, 1, 1), None), (902, None, [1.0] * 8)]
+    frame = spark.createDataFrame(rows, "id long, day date, embedding array<double>")
+    met = []
+    whole = dedup._near_of_blocks
+    monkeypatch.setattr(dedup, "_near_of_blocks", lambda left, *rest, **how: met.append(left.count()) or whole(left, *rest, **how))
+    for least, days in ((0.75, 1), (0.97, 1)):
+        every = dedup.near_vectors_within(frame, least, days, size=64)
+        met.clear()
+        some = dedup.vector_links(frame, least, days, size=64)
+        of = lambda links: groups_of(range(903), [(r.a, r.b) for r in links.collect()])
+        assert of(every) == of(some)
+        if least == 0.75:
+            assert met[1] < met[0] / 2

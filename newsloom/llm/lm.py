@@ -1,19 +1,23 @@
 """LM scoring: a causal self-attention model over subword ids, trained in numpy.
 
-The text is modelled as its tokens (A-Z lower-cased words and one end). A word is the subword ids of a blank and the
-word, and its probability has two factors. Attention over the words before it, each known by its first and last id,
-gives the class of its first id (or the end). The class's share that falls to the word is its share of the training
-counts, where a part as large as the class has distinct words (Witten and Bell) is kept for spelling: the product of its
-ids, each given the id before it, and of the stop after the last. Classes, shares and spellings are distributions each,
-so the probabilities of all tokens sum to at most one, unseen words included.
+The text is modelled as its tokens (A-Z lower-cased words and one end), each word as the subword ids of a blank and the
+word. Causal attention runs over the ids of the whole text, each with a vector of its own (the sum of its class's and of
+its place's in the class), and gives at each id the class of the next one: of the ids that go on with the word, or of
+those that start the next, or the end. So it scores the spelling of each word and what each word starts with, in context.
 
-Positions are cut into chunks of CHUNK; each chunk is scored once, with the chunk before it as context, in batches of
-masked attention.
+A word's probability is that of its first id's class (given that the word before is over) and its share of the class: of
+the training counts, where a part as large as the class has distinct words (Witten and Bell) is kept for spelling. That
+part falls to attention (the product of its ids' classes and shares in these, and of no id going on after the last) and to
+the steps between ids in distinct training words. Classes, shares and spellings are distributions each, so the
+probabilities of all tokens sum to at most one, unseen words included.
+
+Ids are cut into chunks of CHUNK; windows of two chunks overlap by one, each scores its second, in batches of masked
+attention.
 
 Corpus work is Spark's: documents are dealt by hash to blocks of bounded size; each block reports its distinct words and
 their training counts, a window over each word sums them, each distinct word is encoded once, and sums and ids go back
-to the blocks, so that no table of all words is ever in one place. There texts become codes of two bytes a word, which
-is all that training and scoring read. Training takes every token of every training document: shards, which depend on
+to the blocks, so that no table of all words is ever in one place. There texts become codes of two bytes an id, which
+is all that training reads, and four bytes a word of what the counts give to it. Training takes every token of every training document: shards, which depend on
 the hash alone, train copies that are averaged, once for each half of the documents, so that scores don't depend on how
 Spark partitions the input.
 """
@@ -36,96 +40,142 @@ from .common import fold, slices, written
 FOLDS, HELD_OUT = 7, 2
 #: Bytes of text in a block, and blocks in a shard of training.
 BLOCK_BYTES, SHARD = 16 << 20, 3
-CHUNK, DIM, CLASSES, BINS = 16, 16, 128, 16
+CHUNK, DIM, CLASSES, BINS = 16, 16, 192, 16
 END, START, PAD, NO_TARGET = CLASSES - 1, CLASSES, CLASSES + 1, 255
+#: Classes below FIRST are of ids that start a word, those from there to END of ids that go on with one.
+FIRST, FIRST_BINS = 168, 4
+#: An id's place in its class is its second code; START and PAD are places of their own. PLACES are the others.
+CODES = 256
+PLACES = np.delete(np.arange(CODES), [START, PAD])
 #: Classes of ids within words, the last ones bins of rare ids; STOP ends a word.
 INNER, INNER_BINS = 1024, 64
 STOP = INNER
+#: Of what a class keeps for spelling, the part of attention; steps between inner classes have the rest.
+SPELT = 0.05
 #: Chunks at a time: what numpy holds of so many stays in a core's cache.
-ROUNDS, BATCH, RATE = 2, 128, 0.02
+ROUNDS, BATCH, RATE = 2, 64, 0.02
 FAR = np.float32(-1e9)
+#: Where malloc gives what is freed back to the system, each batch pays for its pages again, which takes longer than its
+#: arithmetic. A freed block of this size makes it keep as much.
+KEPT = 30 << 20
+
+
+def keep_freed() -> None:
+    np.empty(KEPT, dtype=np.uint8)
 
 
 # --- words and ids -------------------------------------------------------------------------------------------------
 
 
 def classes_of(counts: np.ndarray, single: int, bins: int) -> np.ndarray:
-    """The class of each id: the most counted have their own, the rest share bins of equal count."""
+    """The class of each id: the most counted have their own, the rest share bins, evenly by count and by counted ids."""
     order = np.lexsort((np.arange(len(counts)), -counts))
     rest = order[single:]
-    mass = np.cumsum(counts[rest], dtype=np.float64)
-    of = np.zeros(len(counts), dtype=np.int64)
+    n, of = counts[rest], np.zeros(len(counts), dtype=np.int64)
+    mass = np.cumsum(n / max(n.sum(), 1) + (n > 0) / max(np.count_nonzero(n), 1), dtype=np.float64)
     of[order[:single]] = np.arange(min(single, len(counts)))
-    of[rest] = single + np.minimum(mass * bins / max(mass[-1] if len(mass) else 0, 1), bins - 1).astype(np.int64)
+    of[rest] = single + np.minimum(mass * bins / 2, bins - 1).astype(np.int64)
     return of
 
 
+def places_of(counts: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The place of each id in its class, the most counted first; ids beyond the PLACES share them."""
+    order = np.lexsort((np.arange(len(counts)), -counts, of))
+    begins = np.searchsorted(of[order], np.arange(CLASSES))
+    place = np.zeros(len(counts), dtype=np.int64)
+    place[order] = PLACES[(np.arange(len(order)) - begins[of[order]]) % len(PLACES)]
+    return place
+
+
 @dataclass
 class Words:
-    """What the training counts say of words: classes of first and last ids, and the shares of classes that words have."""
+    """What the training counts say of words: codes of ids, and the shares of classes that words and ids have."""
 
     first: np.ndarray  # class of each id at a word's start
-    last: np.ndarray  # and at its end
+    going: np.ndarray  # and after it
+    places: tuple[np.ndarray, np.ndarray]  # the ids' places in both
     inner: np.ndarray  # class of each id within words
     start: np.ndarray  # log10 share of a first id in its class, of distinct words
     share: np.ndarray  # log10 share of an id in its inner class, of distinct words
     step: np.ndarray  # log10 of the next inner class, or STOP, after an inner class
-    tokens: np.ndarray  # of each class: the training tokens
+    tokens: np.ndarray  # of each class of first ids: the training tokens
     kinds: np.ndarray  # and the distinct words, one at least
-    prior: np.ndarray  # log of the classes' shares of all tokens
+    prior: np.ndarray  # log of the classes' shares of all ids and ends
+    of_places: np.ndarray  # log10 share in its class of an id at a place, of distinct words
+    spelt: np.ndarray  # log10 of the part of a class that is kept for spelling by attention
 
     @staticmethod
-    def layout(first: np.ndarray, last: np.ndarray, every: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Classes of first, last and inner ids from the ids' counts."""
-        single = CLASSES - 1 - BINS
-        return classes_of(first, single, BINS), classes_of(last, single, BINS), classes_of(every, INNER - INNER_BINS, INNER_BINS)
+    def layout(first: np.ndarray, going: np.ndarray, every: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Classes of first ids, of those after them and of ids within words from the ids' counts."""
+        after = END - FIRST - BINS
+        return classes_of(first, FIRST - FIRST_BINS, FIRST_BINS), FIRST + classes_of(going, after, BINS), classes_of(every, INNER - INNER_BINS, INNER_BINS)
 
     @staticmethod
-    def of_counts(first: np.ndarray, last: np.ndarray, every: np.ndarray, heads: np.ndarray, steps: np.ndarray, ends: int) -> Words:
-        """first, last: counts of ids at the ends of training tokens; every, heads: of all ids and of first ids in
-        distinct training words; steps: of inner classes after each other there; ends: training documents."""
-        a, b, inner = Words.layout(first, last, every)
+    def of_counts(first: np.ndarray, going: np.ndarray, every: np.ndarray, heads: np.ndarray, steps: np.ndarray, ends: int) -> Words:
+        """first, going: counts of first ids and of those after them in training tokens; every, heads: of all ids and of
+        first ids in distinct training words; steps: of inner classes after each other there; ends: training documents."""
+        a, b, inner = Words.layout(first, going, every)
         log_share = lambda n, of, k: np.log10(n / np.bincount(of, n, k)[of])
         tokens = np.bincount(a, first, CLASSES)
         kinds = np.maximum(np.bincount(a, heads, CLASSES), 1)
         after = steps.sum(0) + 1
-        spare = 0.5 * (steps > 0).sum(1, keepdims=True) + 0.1
-        step = (steps + spare * (after / after.sum())) / (steps.sum(1, keepdims=True) + spare)
-        tokens[END] = ends
-        prior = np.log((tokens + 1) / (tokens + 1).sum()).astype(np.float32)
-        return Words(a, b, inner, log_share(heads + 0.1, a, CLASSES), log_share(every + 0.2, inner, INNER), np.log10(step).astype(np.float32), tokens, kinds, prior)
+        unstepped = 0.5 * (steps > 0).sum(1, keepdims=True) + 0.1
+        step = (steps + unstepped * (after / after.sum())) / (steps.sum(1, keepdims=True) + unstepped)
+        of_class = tokens + np.bincount(b, going, CLASSES)
+        of_class[END] = ends
+        prior = np.log((of_class + 1) / (of_class + 1).sum()).astype(np.float32)
+        places = places_of(first, a), places_of(going, b)
+        mass, ids = np.zeros((2, CLASSES * CODES))
+        for of, place, n in ((a, places[0], heads + 0.1), (b, places[1], np.maximum(every - heads, 0) + 0.1)):
+            mass += np.bincount(of * CODES + place, n, len(mass))
+            ids += np.bincount(of * CODES + place, minlength=len(ids))
+        mass = mass.reshape(CLASSES, CODES)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            of_places = np.log10(mass / mass.sum(1, keepdims=True) / ids.reshape(mass.shape))
+        spelt = np.log10(SPELT * kinds / (tokens + kinds))
+        return Words(a, b, places, inner, log_share(heads + 0.1, a, CLASSES), log_share(every + 0.2, inner, INNER), np.log10(step).astype(np.float32), tokens, kinds, prior, of_places, spelt)
 
     def coded(self, ids: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Classes of the first and last id of each word, and the log10 of its share of its class. ids: of all words, one
-        after another; sizes: how many each has; counts: its training tokens."""
+        """The class of each word's first id, class and place of each id, and the log10 of what counts and steps give to
+        the word in that class. ids: of all words, one after another; sizes: how many each has; counts: its training tokens."""
         if not len(sizes):
-            return np.zeros(0, np.uint8), np.zeros(0, np.uint8), np.zeros(0)
+            return np.zeros(0, np.uint8), np.zeros((0, 2), np.uint8), np.zeros(0)
         stops = np.cumsum(sizes)
-        head, tail = ids[stops - sizes], ids[stops - 1]
+        starts = stops - sizes
+        head = ids[starts]
+        codes = np.stack([self.going[ids], self.places[1][ids]], axis=1).astype(np.uint8)
+        codes[starts, 0], codes[starts, 1] = self.first[head], self.places[0][head]
         following = np.append(self.inner[ids[1:]], STOP)
         following[stops - 1] = STOP
         of_next = np.append(self.share[ids[1:]], 0.0)
         of_next[stops - 1] = 0.0
-        spelling = self.start[head] + np.add.reduceat(self.step[self.inner[ids], following] + of_next, stops - sizes)
+        spelling = self.start[head] + np.add.reduceat(self.step[self.inner[ids], following] + of_next, starts)
         a = self.first[head]
-        n, spare = self.tokens[a], self.kinds[a]
+        n, spare = self.tokens[a], self.kinds[a] * (1 - SPELT)
         seen = counts > 0
         share = np.log10(spare) + spelling
         share[seen] = np.log10(counts[seen] + spare[seen] * 10.0 ** spelling[seen])
-        return a.astype(np.uint8), self.last[tail].astype(np.uint8), share - np.log10(n + spare)
+        return a.astype(np.uint8), codes, share - np.log10(n + self.kinds[a])
 
 
 # --- the model -----------------------------------------------------------------------------------------------------
 
-#: Of each word: a query, a key, a value and what goes to the output directly, as sums over its two classes.
+#: Of each id: a query, a key, a value and what goes to the output directly, as sums over its class and its place there.
 WIDE = 4 * DIM
-SHAPES = {"a": (CLASSES + 2, WIDE), "b": (CLASSES + 2, WIDE), "u": (DIM, CLASSES), "c": (CLASSES,), "d": (2 * CHUNK,)}
+SHAPES = {"a": (CLASSES + 2, WIDE), "b": (CODES, WIDE), "u": (DIM, CLASSES), "c": (CLASSES,), "d": (2 * CHUNK,)}
 Q, K, V, O = (slice(i * DIM, (i + 1) * DIM) for i in range(4))
 SCALE = np.float32(DIM**-0.5)
 MASK = np.where(np.arange(2 * CHUNK) <= CHUNK + np.arange(CHUNK)[:, None], np.float32(0), FAR)
+SEEN = (MASK == 0).astype(np.float32)
+CELLS = np.arange(CODES * WIDE).reshape(CODES, WIDE)
 DISTANCE = np.clip(CHUNK + np.arange(CHUNK)[:, None] - np.arange(2 * CHUNK), 0, None)
 
 
+#: Sums as products: of rows of up to so many numbers, and of all classes and those that end a word.
+ONES = np.ones(1 << 12, dtype=np.float32)
+GROUPS = np.stack([np.ones(CLASSES), (np.arange(CLASSES) < FIRST) | (np.arange(CLASSES) == END)], axis=1).astype(np.float32)
+
+
 def fresh(prior: np.ndarray) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(7)
     p = {n: rng.normal(0, 0.1, s).astype(np.float32) for n, s in SHAPES.items()}
@@ -139,12 +189,12 @@ def flat(p: dict[str, np.ndarray]) -> np.ndarray:
 
 def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
     ends = np.cumsum([int(np.prod(s)) for s in SHAPES.values()])
-    return {n: part.reshape(s).astype(np.float32) for (n, s), part in zip(SHAPES.items(), np.split(x, ends[:-1]))}
+    return {n: part.reshape(s).astype(np.float32, copy=False) for (n, s), part in zip(SHAPES.items(), np.split(x, ends[:-1]))}
 
 
 def chunked(texts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Chunks of several texts: both classes of the inputs, the target classes, which chunks open a text, and each text's
-    number of chunks. A text's inputs are the start and its words, its targets the words and the end."""
+    """Chunks of several texts: both codes of the inputs, the target classes, which chunks open a text, and each text's
+    number of chunks. A text's inputs are the start and its ids, its targets the ids and the end."""
     sizes = np.array([len(a) // CHUNK + 1 for a, _ in texts])
     opens = np.cumsum(sizes) - sizes
     n = int(sizes.sum()) * CHUNK
@@ -161,95 +211,152 @@ def chunked(texts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 def forward(p: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, starts: np.ndarray) -> tuple:
     """Class logits after each input of consecutive chunks, each with the chunk before it as context; a chunk that opens
-    a text has none, nor has the first."""
+    a text has none, nor has the first. Also what the gradients take: queries, keys and values, weights, their sums, outputs."""
     n = len(one)
     x = np.take(p["a"], one.ravel(), axis=0)
     x += np.take(p["b"], two.ravel(), axis=0)
     x = x.reshape(n, CHUNK, WIDE)
     q = x[:, :, Q] * SCALE
-    kv = np.zeros((n, 2 * CHUNK, 2 * DIM), dtype=np.float32)
+    kv = np.empty((n, 2 * CHUNK, 2 * DIM), dtype=np.float32)
     kv[:, CHUNK:] = x[:, :, DIM : 3 * DIM]
-    kv[1:, :CHUNK] = x[:-1, :, DIM : 3 * DIM]
+    kv[0, :CHUNK] = 0
+    kv[1:, :CHUNK] = kv[:-1, CHUNK:]
     s = q @ kv[:, :, :DIM].transpose(0, 2, 1)
-    s += MASK + p["d"][DISTANCE]
-    s[starts, :, :CHUNK] = FAR
-    s[0, :, :CHUNK] = FAR
-    s -= s.max(2, keepdims=True)
+    s += p["d"][DISTANCE]
+    if not (s.max() < 50 and s.min() > -50):  # else single precision holds their exponentials as they are
+        s += MASK
+        s -= s.max(2, keepdims=True)
     np.exp(s, out=s)
-    s /= s.sum(2, keepdims=True)
+    s *= SEEN
+    s[starts, :, :CHUNK] = 0
+    s[0, :, :CHUNK] = 0
+    sums = (s.reshape(-1, 2 * CHUNK) @ ONES[: 2 * CHUNK]).reshape(n, CHUNK, 1)
     h = s @ kv[:, :, DIM:]
+    h /= sums
     h += x[:, :, O]
     logits = h.reshape(-1, DIM) @ p["u"]
     logits += p["c"]
-    return logits, (q, kv, s, h)
+    return logits, (q, kv, s, sums, h)
 
 
-def log_classes(p: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, target: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The log probability of each chunk's targets."""
-    logits, _ = forward(p, one, two, starts)
-    if logits.max() > 60 or logits.min() < -60:  # else single precision holds their exponentials as they are
+def exponentials(logits: np.ndarray) -> np.ndarray:
+    """In place, up to a factor of each row where they are large."""
+    if not (logits.max() < 60 and logits.min() > -60):
         logits -= logits.max(1, keepdims=True)
+    return np.exp(logits, out=logits)
+
+
+def log_positions(p: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, target: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At each position: the log probability of its target's class, and of that no id goes on with the word. Without a
+    target the first is 0."""
+    logits, _ = forward(p, one, two, starts)
     goal = target.ravel()
     real = goal != NO_TARGET
-    hit = logits[np.arange(len(logits)), np.where(real, goal, 0)]
+    if not (logits.max() < 60 and logits.min() > -60):
+        logits -= logits.max(1, keepdims=True)
+    hit = logits[np.arange(len(goal)), np.where(real, goal, 0)]
     np.exp(logits, out=logits)
-    return ((hit - np.log(logits.sum(1))) * real).reshape(target.shape).sum(1, dtype=np.float64)
+    every, stop = np.log(logits @ GROUPS).T
+    return ((hit - every) * real).reshape(target.shape), (stop - every).reshape(target.shape)
+
+
+def log_classes(p: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, target: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The log probability of each chunk's targets."""
+    return log_positions(p, one, two, target, starts)[0].sum(1, dtype=np.float64)
 
 
-def by_class(of: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of rows by class."""
-    order = np.argsort(of, kind="stable")
-    found = of[order]
-    at = np.concatenate(([0], np.flatnonzero(np.diff(found)) + 1))
-    out = np.zeros((CLASSES + 2, rows.shape[1]), dtype=np.float32)
-    out[found[at]] = np.add.reduceat(rows[order], at, axis=0)
-    return out
+def by_code(of: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by code."""
+    return np.bincount(np.take(CELLS, of, axis=0).ravel(), rows.ravel(), n * WIDE).astype(np.float32).reshape(n, WIDE)
 
 
 def gradients(p: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, target: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean negative log likelihood of the targets."""
-    logits, (q, kv, s, h) = forward(p, one, two, starts)
-    if logits.max() > 60 or logits.min() < -60:
-        logits -= logits.max(1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(1, keepdims=True)
+    logits, (q, kv, s, sums, h) = forward(p, one, two, starts)
+    s /= sums
+    exponentials(logits)
     goal = target.ravel()
     real = goal != NO_TARGET
-    logits[np.arange(len(logits)), np.where(real, goal, 0)] -= 1
-    logits *= (real / np.float32(max(real.sum(), 1))).astype(np.float32)[:, None]
+    weight = real / np.float32(max(real.sum(), 1))
+    logits *= (weight / (logits @ ONES[:CLASSES]))[:, None]
+    logits[np.arange(len(logits)), np.where(real, goal, 0)] -= weight
     dh = (logits @ p["u"].T).reshape(h.shape)
     ds = dh @ kv[:, :, DIM:].transpose(0, 2, 1)
-    ds -= (s * ds).sum(2, keepdims=True)
     ds *= s
+    ds -= s * (ds.reshape(-1, 2 * CHUNK) @ ONES[: 2 * CHUNK]).reshape(h.shape[0], CHUNK, 1)
     dk, dv = ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ dh
     dk[:-1, CHUNK:] += dk[1:, :CHUNK]
     dv[:-1, CHUNK:] += dv[1:, :CHUNK]
-    dx = np.concatenate([ds @ kv[:, :, :DIM] * SCALE, dk[:, CHUNK:], dv[:, CHUNK:], dh], axis=2).reshape(-1, WIDE)
+    dx = np.empty((len(one), CHUNK, WIDE), dtype=np.float32)
+    np.matmul(ds, kv[:, :, :DIM], out=dx[:, :, Q])
+    dx[:, :, Q] *= SCALE
+    dx[:, :, K], dx[:, :, V], dx[:, :, O] = dk[:, CHUNK:], dv[:, CHUNK:], dh
+    dx = dx.reshape(-1, WIDE)
     return {
-        "a": by_class(one.ravel(), dx), "b": by_class(two.ravel(), dx), "u": h.reshape(-1, DIM).T @ logits, "c": logits.sum(0),
+        "a": by_code(one.ravel(), dx, CLASSES + 2), "b": by_code(two.ravel(), dx, CODES),
+        "u": h.reshape(-1, DIM).T @ logits, "c": ONES[: len(logits)] @ logits if len(logits) <= len(ONES) else logits.sum(0),
         "d": np.bincount(DISTANCE.ravel(), ds.sum(0).ravel(), 2 * CHUNK).astype(np.float32),
     }
 
 
 def trained_copy(p: dict[str, np.ndarray], texts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[int, dict[str, np.ndarray]]:
     """Parameters after Adam over all chunks of the texts, once and in order, and the number of tokens."""
-    p = {n: x.copy() for n, x in p.items()}
-    mean, square = ({n: np.zeros_like(x) for n, x in p.items()} for _ in range(2))
+    keep_freed()
+    x = flat(p).astype(np.float32)
+    p = unflat(x)  # views of x
+    mean, square = np.zeros_like(x), np.zeros_like(x)
     one, two, target, starts, _ = chunked(texts)
     for t, at in enumerate(range(0, len(one), BATCH), 1):
         rate = RATE / (1 + t / 300) ** 0.5 / (1 - 0.9**t)
-        for n, g in gradients(p, *(x[at : at + BATCH] for x in (one, two, target, starts))).items():
-            mean[n] += 0.1 * (g - mean[n])
-            square[n] += 0.01 * (g * g - square[n])
-            p[n] -= np.float32(rate) * mean[n] / (np.sqrt(square[n] / (1 - 0.99**t)) + 1e-8)
+        g = flat(gradients(p, *(y[at : at + BATCH] for y in (one, two, target, starts))))
+        mean += np.float32(0.1) * (g - mean)
+        g *= g
+        square += np.float32(0.01) * (g - square)
+        np.sqrt(square, out=g)
+        g *= np.float32((1 - 0.99**t) ** -0.5)
+        g += np.float32(1e-8)
+        np.divide(mean, g, out=g)
+        g *= np.float32(rate)
+        x -= g
     return int((target != NO_TARGET).sum()), p
 
 
+def log_targets(p: dict[str, np.ndarray], texts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all targets of the texts, one after another: both codes, the log probabilities of log_positions; and where each text's begin."""
+    keep_freed()
+    one, two, target, starts, _ = chunked(texts)
+    parts = [[x[min(at, 1) :] for x in log_positions(p, *(x[max(at - 1, 0) : at + BATCH] for x in (one, two, target, starts)))] for at in range(0, len(one), BATCH)]
+    real = target != NO_TARGET
+    goal, going, stop = target[real], *(np.concatenate(x)[real].astype(np.float64) for x in zip(*parts))
+    sizes = np.array([len(a) + 1 for a, _ in texts])
+    begins = np.cumsum(sizes) - sizes
+    place = np.zeros(len(goal), dtype=np.uint8)
+    place[np.delete(np.arange(len(goal)), begins + sizes - 1)] = np.concatenate([b for _, b in texts])
+    return goal, place, going, stop, begins
+
+
 def attention_scores(p: dict[str, np.ndarray], texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """log10 of the probability of each text's classes."""
-    one, two, target, starts, sizes = chunked(texts)
-    parts = [log_classes(p, *(x[max(at - 1, 0) : at + BATCH] for x in (one, two, target, starts)))[min(at, 1) :] for at in range(0, len(one), BATCH)]
-    return np.add.reduceat(np.concatenate(parts), np.cumsum(sizes) - sizes) / np.log(10)
+    _, _, going, _, begins = log_targets(p, texts)
+    return np.add.reduceat(going, begins) / np.log(10)
+
+
+def word_scores(p: dict[str, np.ndarray], texts: list[tuple[np.ndarray, np.ndarray]], counted: np.ndarray, of_places: np.ndarray, spelt: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each text. counted: of all words of the texts, log10 of what the counts give to the
+    word in its class; of_places: log10 of each place's share of a class; spelt: log10 of the part of a class that is
+    kept for spelling by attention. A word ends where no id goes on with it, which its spelling counts and the class of
+    the next first id, given that, doesn't."""
+    goal, place, going, stop, begins = log_targets(p, texts)
+    going, stop = going / np.log(10), stop / np.log(10)
+    edge = (goal < FIRST) | (goal == END)
+    at = np.flatnonzero(edge)  # the first ids of words, and ends
+    spelling = np.where(edge, 0.0, going) + np.where(goal == END, 0.0, of_places[goal, place])
+    words = goal[at] != END
+    of_word = np.add.reduceat(spelling, at)[words] + stop[at[np.flatnonzero(words) + 1]] + spelt[goal[at[words]]]
+    high, low = np.maximum(counted, of_word), np.minimum(counted, of_word)
+    total = np.where(edge, going - stop, 0.0)
+    total[at[words]] += high + np.log1p(10.0 ** (low - high)) / np.log(10)
+    return np.add.reduceat(total, begins)
 
 
 # --- the corpus ----------------------------------------------------------------------------------------------------
@@ -293,6 +400,7 @@ def encoded(words: DataFrame, path: str, pattern: str) -> DataFrame:
     """words (block, word, c, first), sorted by word within partitions, with ids: each distinct word is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         v = vocabulary(path, pattern)
         for batch in batches:
             names = batch.column("word").to_pylist()
@@ -313,16 +421,18 @@ def ids_and_sizes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nd
 
 
 def id_counts(words: DataFrame, size: int) -> list[np.ndarray]:
-    """Counts of ids: first and last of training tokens; all and first of distinct training words. words: c, ids of these."""
+    """Counts of ids: first ones and those after them, of training tokens; all and first, of distinct training words.
+    words: c, ids of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((4, size), dtype=np.int64)
         for batch in batches:
             if batch.num_rows:
                 ids, sizes = ids_and_sizes(batch.column("ids"))
-                stops, c = np.cumsum(sizes), batch.column("c").to_numpy()
-                for row, of, n in ((0, ids[stops - sizes], c), (1, ids[stops - 1], c), (2, ids, None), (3, ids[stops - sizes], None)):
+                starts, c = np.cumsum(sizes) - sizes, batch.column("c").to_numpy()
+                for row, of, n in ((0, ids[starts], c), (1, ids, np.repeat(c, sizes)), (2, ids, None), (3, ids[starts], None)):
                     total[row] += np.bincount(of, n, size).astype(np.int64)
+        total[1] -= total[0]
         kind, at = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(at, pa.int32()), pa.array(total[kind, at])], ["kind", "id", "n"])
 
@@ -355,7 +465,7 @@ def step_counts(words: DataFrame, inner: np.ndarray) -> np.ndarray:
 
 
 def texts_of(table: pa.Table | pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Both classes of each text's words."""
+    """Both codes of each text's ids."""
     return [tuple(np.frombuffer(x, dtype=np.uint8).reshape(-1, 2).T) for x in table.column("codes").to_pylist()]
 
 
@@ -408,47 +518,53 @@ def score(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
     partial = block_words(dealt.repartition(n_blocks, "block").sortWithinPartitions("block"))
     by_word = Window.partitionBy("word")
     partial = partial.withColumn("c", F.sum("n").over(by_word)).withColumn("first", F.col("block") == F.min("block").over(by_word))
-    words = written(encoded(partial, path, pattern), "lm-words")
+    words = written(encoded(partial, path, pattern), "lm-words", compression="zstd")
     known = words.where("first and c > 0")
     totals = known.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n_all, v_all = (totals.n or 0) + n_train, totals.v + (n_train > 0)
 
-    first, last, every, heads = id_counts(known, max(vocabulary(path, pattern).tokens) + 1)
-    steps = step_counts(known, Words.layout(first, last, every)[2])
-    shares = spark.sparkContext.broadcast(Words.of_counts(first, last, every, heads, steps, n_train))
+    first, going, every, heads = id_counts(known, max(vocabulary(path, pattern).tokens) + 1)
+    steps = step_counts(known, Words.layout(first, going, every)[2])
+    shares = spark.sparkContext.broadcast(Words.of_counts(first, going, every, heads, steps, n_train))
 
     def code(texts: pa.Table, words: pa.Table) -> pa.Table:
         texts = texts.sort_by("rid")
         n_words = words.column("c").to_numpy()
-        a, b, share = shares.value.coded(*ids_and_sizes(words.column("ids")), n_words)
-        each = np.stack([share, np.log10(n_words + 1.0), n_words > 0], axis=1)  # of each word: what texts sum
-        both = a.astype(np.uint16) | b.astype(np.uint16) << np.uint16(8)
+        ids, sizes = ids_and_sizes(words.column("ids"))
+        _, codes_of_ids, share = shares.value.coded(ids, sizes, n_words)
+        flat_codes, ends = codes_of_ids.tobytes(), (2 * np.cumsum(sizes)).tolist()
+        of_word = [flat_codes[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+        each = np.stack([np.log10(n_words + 1.0), n_words > 0], axis=1)  # of each word: what texts sum
+        share = share.astype("<f4")
         place = {w: i for i, w in enumerate(words.column("word").to_pylist())}
         base, of_end = -np.log10(n_all + v_all + 1.0), np.log10(n_train + 1.0)
-        n_tokens, n_known, base_score, rest, codes = [], [], [], [], []
+        n_tokens, n_known, base_score, codes, counted = [], [], [], [], []
         for text in texts.column("text"):
-            w = words_of(text.as_py())
-            at = np.fromiter(map(place.__getitem__, w), dtype=np.int64, count=len(w))
+            w = [place[x] for x in words_of(text.as_py())]
+            at = np.array(w, dtype=np.int64)
             n_tokens.append(len(w) + 1)
             sums = each[at].sum(0)
-            n_known.append(int(sums[2]) + (n_train > 0))
-            base_score.append(float(sums[1] + of_end + (len(w) + 1) * base))
-            rest.append(float(sums[0]))
-            codes.append(both[at].tobytes())
-        made = [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base_score, pa.float64()), pa.array(rest, pa.float64()), pa.array(codes, pa.binary())]
-        return pa.table([*(texts.column(c) for c in ("block", "rid", "id", "held_out")), *made], ["block", "rid", "id", "held_out", "n_tokens", "n_known", "base_score", "rest", "codes"])
+            n_known.append(int(sums[1]) + (n_train > 0))
+            base_score.append(float(sums[0] + of_end + (len(w) + 1) * base))
+            codes.append(b"".join([of_word[i] for i in w]))
+            counted.append(share[at].tobytes())
+        made = [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base_score, pa.float64()), pa.array(codes, pa.binary()), pa.array(counted, pa.binary())]
+        return pa.table([*(texts.column(c) for c in ("block", "rid", "id", "held_out")), *made], ["block", "rid", "id", "held_out", "n_tokens", "n_known", "base_score", "codes", "counted"])
 
     sides = dealt.groupBy("block").cogroup(words.select("block", "word", "c", "ids").groupBy("block"))
-    fields = f"block int, rid bigint, id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, rest double, codes binary"
-    coded = written(sides.applyInArrow(code, fields), "lm-codes")
+    fields = f"block int, rid bigint, id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, codes binary, counted binary"
+    coded = written(sides.applyInArrow(code, fields), "lm-codes", compression="zstd")
     shard = F.floor(F.col("block") / SHARD).cast("int").alias("shard")
     model = spark.sparkContext.broadcast(trained(coded.where(~F.col("held_out")).select(shard, "rid", "codes"), shares.value.prior))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "codes"):
-                found = attention_scores(model.value, texts_of(part)) if part.num_rows else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "held_out", "n_tokens", "n_known", "base_score")), pa.array(found + part.column("rest").to_numpy())], ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+                found = np.zeros(0)
+                if part.num_rows:
+                    counted = np.frombuffer(b"".join(part.column("counted").to_pylist()), dtype="<f4").astype(np.float64)
+                    found = word_scores(model.value, texts_of(part), counted, shares.value.of_places, shares.value.spelt)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "held_out", "n_tokens", "n_known", "base_score")), pa.array(found)], ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     done = coded.drop("block", "rid").mapInArrow(run, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return done.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")

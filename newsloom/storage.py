@@ -28,8 +28,8 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lineage is cut and lost executors cost nothing but a reread."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df as a table in the shared folder: lineage is cut and lost executors cost nothing but a reread. options: the writer's."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -174,6 +174,66 @@ def test_a_text_scored_in_plain_python():
         assert math.isclose(got, total / math.log(10), rel_tol=1e-4)
 
 
+def test_attention_tells_ids_apart():
+    """Words that differ in one id in the middle have other codes there, and the classes after it differ."""
+    ids, counts, words = some_words(np.random.default_rng(9), 200)
+    every, sizes = np.concatenate([np.array(w) for w in ids]), np.array([len(w) for w in ids])
+    _, codes, _ = words.coded(every, sizes, counts)
+    starts = np.zeros(len(every), dtype=bool)
+    starts[np.cumsum(sizes) - sizes] = True
+    seen = set(every[np.repeat(counts > 0, sizes)].tolist())
+    of = {(bool(s), int(i)): tuple(c) for s, i, c in zip(starts, every, codes.tolist()) if i in seen}
+    assert len(set(of.values())) == len(of)
+    middle = [c for (s, _), c in of.items() if not s]
+    p = {n: np.random.default_rng(1).normal(0, 0.3, x).astype(np.float32) for n, x in lm.SHAPES.items()}
+    texts = [tuple(np.array([codes[0], m, codes[-1]], dtype=np.uint8).T) for m in middle[:2]]
+    one, two, _, opens, _ = lm.chunked(texts)
+    x, y = lm.forward(p, one, two, opens)[0].reshape(2, lm.CHUNK, -1)
+    assert np.allclose(x[:2], y[:2]) and not np.allclose(x[2], y[2]) and not np.allclose(x[3], y[3])
+
+
+def test_words_scored_in_plain_python():
+    rng = np.random.default_rng(10)
+    ids, counts, words = some_words(rng, 200)
+    p = {n: rng.normal(0, 0.3, s).astype(np.float32) for n, s in lm.SHAPES.items()}
+    texts = [[], [3], [5, 7, 5], rng.integers(0, len(ids), 40).tolist()]
+    coded = [words.coded(np.array(w), np.array([len(w)]), np.array([c])) for w, c in zip(ids, counts)]
+    pairs = [np.concatenate([coded[k][1] for k in t] or [np.zeros((0, 2), np.uint8)]) for t in texts]
+    got = lm.word_scores(p, [tuple(x.T) for x in pairs], np.array([coded[k][2][0] for t in texts for k in t]), words.of_places, words.spelt)
+    for t, x, score in zip(texts, pairs, got):
+        one, two, _, opens, _ = lm.chunked([tuple(x.T)])
+        logits = lm.forward(p, one, two, opens)[0].astype(float)
+        each = np.exp(logits - logits.max(1, keepdims=True))
+        each /= each.sum(1, keepdims=True)
+        over = each[:, : lm.FIRST].sum(1) + each[:, lm.END]
+        total, at = 0.0, 0
+        for k in t:
+            (a, b), *rest_of_word = coded[k][1].tolist()
+            spelling = 10.0 ** words.of_places[a, b]
+            start = each[at, a] / over[at]
+            for a2, b2 in rest_of_word:
+                at += 1
+                spelling *= each[at, a2] * 10.0 ** words.of_places[a2, b2]
+            at += 1
+            total += math.log10(start * (10.0 ** coded[k][2][0] + 10.0 ** words.spelt[a] * spelling * over[at]))
+        assert math.isclose(score, total + math.log10(each[at, lm.END] / over[at]), rel_tol=1e-4, abs_tol=1e-4)
+
+
+def test_texts_of_a_word_are_a_distribution():
+    """The empty text and all texts of one word of up to two ids have at most all of the probability."""
+    rng = np.random.default_rng(11)
+    ids, counts, words = some_words(rng, 200)
+    p = {n: rng.normal(0, 0.3, s).astype(np.float32) for n, s in lm.SHAPES.items()}
+    p["c"][lm.END] = 6  # else most of it is in longer texts
+    known = {w: c for w, c in zip(ids, counts)}
+    every = [(i,) for i in range(300)] + [(i, j) for i in range(300) for j in range(300)] + [w for w in ids if len(w) == 3]
+    sizes = np.array([len(w) for w in every])
+    _, codes, share = words.coded(np.concatenate([np.array(w) for w in every]), sizes, np.array([known.get(w, 0) for w in every]))
+    texts = [tuple(x.T) for x in np.split(codes, np.cumsum(sizes)[:-1])]
+    total = (10.0 ** lm.word_scores(p, [(codes[:0, 0], codes[:0, 1])] + texts, share, words.of_places, words.spelt)).sum()
+    assert 0.5 < total < 1 + 1e-4
+
+
 def test_every_training_token_is_trained_on(spark):
     rng = np.random.default_rng(8)
     text = rng.integers(0, lm.END, (399, 2)).astype(np.uint8)

@@ -24,12 +24,12 @@ Spark partitions the input.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -58,6 +58,10 @@ FAR = np.float32(-1e9)
 #: Where malloc gives what is freed back to the system, each batch pays for its pages again, which takes longer than its
 #: arithmetic. A freed block of this size makes it keep as much.
 KEPT = 30 << 20
+#: Words of a block whose ids numpy takes at a time.
+PART = 20_000
+#: Bytes of a block's texts that are looked up in its words at a time; each time the words are hashed again.
+SLICE = 3 << 20
 
 
 def keep_freed() -> None:
@@ -362,51 +366,63 @@ def word_scores(p: dict[str, np.ndarray], texts: list[tuple[np.ndarray, np.ndarr
 # --- the corpus ----------------------------------------------------------------------------------------------------
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one after another, and how many each text has."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null(b"").view(pa.string())))  # cuts as bytes.split() does, but for empty words
+    words, of = found.flatten(), pc.list_parent_indices(found)
+    full = pc.greater(pc.binary_length(words), 0)
+    return words.filter(full).view(pa.binary()), np.bincount(of.filter(full).to_numpy(), minlength=len(texts))
 
 
 def block_words(dealt: DataFrame) -> DataFrame:
     """block, word, n of each distinct word of each block; n: its count in the block's training documents. dealt is
     sorted by block within partitions."""
 
+    def summed(tables: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, counts = None, Counter()
+        at, counts = None, []
 
         def rows() -> Iterator[pa.RecordBatch]:
-            names, values = list(counts), list(counts.values())
-            for a in range(0, len(names), 50_000):
-                w = names[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([at] * len(w), pa.int32()), pa.array(w, pa.binary()), pa.array(values[a : a + 50_000], pa.int64())], ["block", "word", "n"])
+            if counts:
+                for part in summed(counts).to_batches(max_chunksize=50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, at, dtype=np.int32)), *part.columns], ["block", "word", "n"])
 
         for batch in batches:
             for part in slices(batch, "text"):
-                for block, text, held_out in zip(*(part.column(c).to_pylist() for c in ("block", "text", "held_out"))):
-                    if block != at:
+                blocks = part.column("block").to_numpy()
+                edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+                for a, b in zip(edges, edges[1:]):
+                    if a < b and blocks[a] != at:
                         yield from rows()
-                        at, counts = block, Counter()
-                    if held_out:
-                        for w in words_of(text):
-                            if w not in counts:
-                                counts[w] = 0
-                    else:
-                        counts.update(words_of(text))
+                        at, counts = int(blocks[a]), []
+                    words, sizes = split_words(part.column("text").slice(a, b - a))
+                    train = np.repeat(~part.column("held_out").slice(a, b - a).to_numpy(zero_copy_only=False), sizes)
+                    counts.append(summed([pa.table({"word": words, "n": pa.array(train.astype(np.int64))})]))
         yield from rows()
 
     return dealt.select("block", "text", "held_out").mapInArrow(run, "block int, word binary, n bigint")
 
 
+def ids_of(words: list[bytes], path: str, pattern: str) -> list[bytes]:
+    """The ids of a blank and each word. No word comes again, and workers outlive their tasks: none is remembered."""
+    v = vocabulary(path, pattern)
+    ids = v.encode_texts([" " + w.decode() for w in words])
+    v.words.clear()
+    v.heads.clear()
+    return ids
+
+
 def encoded(words: DataFrame, path: str, pattern: str) -> DataFrame:
     """words (block, word, c, first), sorted by word within partitions, with ids: each distinct word is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_freed()
-        v = vocabulary(path, pattern)
         for batch in batches:
             names = batch.column("word").to_pylist()
             new = list(dict.fromkeys(names))
-            ids = dict(zip(new, v.encode_texts([" " + w.decode() for w in new])))
-            v.words.clear()  # no word comes again
+            ids = dict(zip(new, ids_of(new, path, pattern)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([ids[w] for w in names], pa.binary())], [*batch.schema.names, "ids"])
 
     return words.select("block", "word", "c", "first").mapInArrow(run, "block int, word binary, c bigint, first boolean, ids binary")
@@ -464,6 +480,48 @@ def step_counts(words: DataFrame, inner: np.ndarray) -> np.ndarray:
     return out.reshape(INNER, INNER + 1)
 
 
+def coded_texts(texts: pa.Table, words: pa.Table, shares: Words, n_all: int, v_all: int, n_train: int) -> pa.Table:
+    """The texts of a block with what counts give to them, their ids' codes and what counts give to each word. words: the
+    block's distinct words. What numpy makes of all ids is made for PART words at a time, and texts take codes by their
+    places, so that a task holds little more than its block."""
+    parts = []
+    for at in range(0, len(words), PART):
+        some = words.slice(at, PART)
+        ids, sizes = ids_and_sizes(some.column("ids"))
+        _, codes_of_ids, share = shares.coded(ids, sizes, some.column("c").to_numpy())
+        parts.append((codes_of_ids.view("<u2").ravel(), sizes, share.astype("<f4")))
+    codes_of_ids, sizes, share = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, t) for t in ("<u2", np.int64, "<f4"))
+    del parts
+    sizes = sizes.astype(np.int32)
+    begins = np.cumsum(sizes, dtype=np.int32) - sizes
+    n_words, names = words.column("c").to_numpy(), words.column("word").combine_chunks()
+    log_count, known = np.log10(n_words + 1.0), (n_words > 0).astype(np.float64)
+    base, of_end = -np.log10(n_all + v_all + 1.0), np.log10(n_train + 1.0)
+
+    def rows(part: pa.RecordBatch) -> pa.RecordBatch:
+        found, n = split_words(part.column("text"))
+        at = pc.index_in(found, value_set=names).to_numpy()
+        of_text = np.repeat(np.arange(len(n)), n)
+        n_ids = sizes[at]
+        of_ids = np.repeat(begins[at] - np.cumsum(n_ids, dtype=np.int32) + n_ids, n_ids)
+        of_ids += np.arange(len(of_ids), dtype=np.int32)
+        made = {
+            "n_tokens": pa.array(n + 1), "n_known": pa.array(np.bincount(of_text, known[at], len(n)).astype(np.int64) + (n_train > 0)),
+            "base_score": pa.array(np.bincount(of_text, log_count[at], len(n)) + of_end + (n + 1) * base),
+            "codes": rows_of(codes_of_ids[of_ids], np.bincount(of_text, n_ids, len(n))), "counted": rows_of(share[at], n),
+        }
+        kept = ["block", "rid", "id", "held_out"]
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *made.values()], [*kept, *made])
+
+    return pa.Table.from_batches([rows(part) for batch in texts.to_batches() for part in slices(batch, "text", SLICE)])
+
+
+def rows_of(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Rows of so many values each, as binaries."""
+    ends = np.append(0, np.cumsum(sizes * values.itemsize)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(values)])
+
+
 def texts_of(table: pa.Table | pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
     """Both codes of each text's ids."""
     return [tuple(np.frombuffer(x, dtype=np.uint8).reshape(-1, 2).T) for x in table.column("codes").to_pylist()]
@@ -475,23 +533,15 @@ def trained(coded: DataFrame, prior: np.ndarray, rounds: int = ROUNDS) -> dict[s
     spark = coded.sparkSession
     p = fresh(prior)
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total = 0.0, 0.0
-        for batch in batches:
-            for n, x in zip(batch.column("seen").to_pylist(), batch.column("p").to_pylist()):
-                seen, total = seen + n, total + np.frombuffer(x, dtype=np.float64)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([total], pa.list_(pa.float64()))], ["seen", "p"])
-
     for k in range(rounds):
         now = spark.sparkContext.broadcast(p)
 
         def run(table: pa.Table) -> pa.Table:
             seen, done = trained_copy(now.value, texts_of(table.sort_by("rid")))
-            return pa.table({"seen": pa.array([float(seen)]), "p": pa.array([(flat(done).astype(np.float64) * seen).tobytes()], pa.binary())})
+            return pa.table({"seen": pa.array([float(seen)]), "p": pa.array([flat(done).astype(np.float64) * seen], pa.list_(pa.float64()))})
 
-        copies = coded.where(F.pmod(F.shiftright("rid", 40), F.lit(rounds)) == k).groupBy("shard").applyInArrow(run, "seen double, p binary")
-        sums = copies.mapInArrow(summed, "seen double, p array<double>").select("seen", F.posexplode("p").alias("i", "x"))
+        copies = coded.where(F.pmod(F.shiftright("rid", 40), F.lit(rounds)) == k).groupBy("shard").applyInArrow(run, "seen double, p array<double>")
+        sums = copies.select("seen", F.posexplode("p").alias("i", "x"))  # no second Python step: a task would hold two workers
         mean = sums.groupBy("i").agg((F.sum("x") / F.sum("seen")).alias("x")).toArrow()
         if mean.num_rows:
             x = np.zeros(mean.num_rows)
@@ -528,28 +578,7 @@ def score(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
     shares = spark.sparkContext.broadcast(Words.of_counts(first, going, every, heads, steps, n_train))
 
     def code(texts: pa.Table, words: pa.Table) -> pa.Table:
-        texts = texts.sort_by("rid")
-        n_words = words.column("c").to_numpy()
-        ids, sizes = ids_and_sizes(words.column("ids"))
-        _, codes_of_ids, share = shares.value.coded(ids, sizes, n_words)
-        flat_codes, ends = codes_of_ids.tobytes(), (2 * np.cumsum(sizes)).tolist()
-        of_word = [flat_codes[a:b] for a, b in zip([0, *ends[:-1]], ends)]
-        each = np.stack([np.log10(n_words + 1.0), n_words > 0], axis=1)  # of each word: what texts sum
-        share = share.astype("<f4")
-        place = {w: i for i, w in enumerate(words.column("word").to_pylist())}
-        base, of_end = -np.log10(n_all + v_all + 1.0), np.log10(n_train + 1.0)
-        n_tokens, n_known, base_score, codes, counted = [], [], [], [], []
-        for text in texts.column("text"):
-            w = [place[x] for x in words_of(text.as_py())]
-            at = np.array(w, dtype=np.int64)
-            n_tokens.append(len(w) + 1)
-            sums = each[at].sum(0)
-            n_known.append(int(sums[1]) + (n_train > 0))
-            base_score.append(float(sums[0] + of_end + (len(w) + 1) * base))
-            codes.append(b"".join([of_word[i] for i in w]))
-            counted.append(share[at].tobytes())
-        made = [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base_score, pa.float64()), pa.array(codes, pa.binary()), pa.array(counted, pa.binary())]
-        return pa.table([*(texts.column(c) for c in ("block", "rid", "id", "held_out")), *made], ["block", "rid", "id", "held_out", "n_tokens", "n_known", "base_score", "codes", "counted"])
+        return coded_texts(texts.sort_by("rid"), words, shares.value, n_all, v_all, n_train)
 
     sides = dealt.groupBy("block").cogroup(words.select("block", "word", "c", "ids").groupBy("block"))
     fields = f"block int, rid bigint, id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, codes binary, counted binary"

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from newsloom.llm import lm, quality, toxicity
@@ -289,3 +290,58 @@ def test_a_token_is_a_target_once():
     real = target != lm.NO_TARGET
     assert target[real].tolist() == [x for a, _ in texts for x in [*a.tolist(), lm.END]]
     assert (one[starts][:, 0] == lm.START).all() and (one == lm.START).sum() == len(texts)
+
+
+class Captured:
+    """In place of a DataFrame: gives what a worker would run on its batches."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def test_workers_remember_no_encoded_words():
+    """Workers outlive their tasks; what they keep of each word adds up over a corpus."""
+    v = lm.vocabulary(PATH, PATTERN)
+    v.words.clear(), v.heads.clear()
+    words = [f"{('word', 'größe')[k % 2]}{k},".encode() for k in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 3000, pa.int32()), pa.array(words, pa.binary()), pa.array([1] * 3000, pa.int64()), pa.array([True] * 3000)], ["block", "word", "c", "first"])
+    (out,) = lm.encoded(Captured(), PATH, PATTERN)(iter([batch]))
+    assert [v.decode(i) for i in out.column("ids").to_pylist()] == [b" " + w for w in words]
+    assert not v.words and not v.heads
+
+
+def test_words_are_split_as_bytes_are():
+    rng = np.random.default_rng(3)
+    marks = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x1f", "\x85", "\xa0", "\x00", "a", "B", "É", "z,"]
+    texts = [None, b"", b" ", *("".join(rng.choice(marks, rng.integers(0, 30))).encode() for _ in range(3000))]
+    words, sizes = lm.split_words(pa.array(texts, pa.binary()).slice(1))
+    truth = [(t or b"").lower().split() for t in texts[1:]]
+    assert sizes.tolist() == [len(w) for w in truth] and words.to_pylist() == [x for w in truth for x in w]
+    words, sizes = lm.split_words(pa.array(texts[:1], pa.binary()))
+    assert sizes.tolist() == [0] and not len(words)
+
+
+@pytest.mark.parametrize("part, piece", [(1 << 20, 1 << 20), (7, 100)])
+def test_texts_of_a_block_in_plain_python(monkeypatch, part, piece):
+    """Whatever numpy takes at a time, texts have the codes and shares of their words one by one."""
+    monkeypatch.setattr(lm, "PART", part)
+    monkeypatch.setattr(lm, "SLICE", piece)
+    rng = np.random.default_rng(11)
+    ids, counts, shares = some_words(rng, 200)
+    names = [f"w{k}".encode() for k in range(len(ids))]
+    picks = [[], *(rng.integers(0, len(ids), n).tolist() for n in rng.integers(0, 60, 40)), []]
+    texts = [None, *(b" " + b" ".join(names[i].upper() for i in p) for p in picks[1:-1]), b" \n"]
+    n = len(texts)
+    words = pa.table({"block": pa.array([0] * len(names), pa.int32()), "word": pa.array(names, pa.binary()), "c": pa.array(counts), "ids": pa.array([np.array(i, "<u4").tobytes() for i in ids], pa.binary())})
+    rows = pa.table({"block": pa.array([0] * n, pa.int32()), "rid": pa.array(range(n), pa.int64()), "id": pa.array(range(n), pa.int64()), "held_out": pa.array([False] * n), "text": pa.array(texts, pa.binary())})
+    got = lm.coded_texts(rows, words, shares, 900, 190, 30).to_pylist()
+    each = [shares.coded(np.array(w), np.array([len(w)]), np.array([c])) for w, c in zip(ids, counts)]
+    assert [r["id"] for r in got] == list(range(n))
+    for r, p in zip(got, picks):
+        assert r["codes"] == b"".join(each[i][1].tobytes() for i in p)
+        assert np.allclose(np.frombuffer(r["counted"], "<f4"), [each[i][2][0] for i in p], rtol=1e-6)
+        assert (r["n_tokens"], r["n_known"]) == (len(p) + 1, sum(int(counts[i] > 0) for i in p) + 1)
+        assert math.isclose(r["base_score"], sum(math.log10((c + 1) / 1091) for c in [*(counts[i] for i in p), 30]), rel_tol=1e-9)

@@ -26,6 +26,8 @@ def same_text(rows: DataFrame, text: str = "body", id_col: str = "id") -> DataFr
 FREQUENT, TOLD = 1000, 200_000
 #: Characters whose grams are in memory at once.
 CHARACTERS = 1 << 20
+#: Rows of one title and day that are a block, and pairs of rows that a task makes, about.
+BLOCK, PAIRS = 512, 1_000_000
 
 
 def grams(key: str, n: int = 3) -> np.ndarray:
@@ -126,11 +128,11 @@ def alike_keys(keys: DataFrame, rows: DataFrame, least: float, days: int, n: int
                 yield pa.RecordBatch.from_arrays([part.column("k"), *lists], ["k", "own", "following"])
 
     made = written(keys.select("key", "k").mapInArrow(signed, "k bigint, own array<bigint>, following array<bigint>"), "title-parts")
-    placed = lambda name, slots, parts: made.join(rows.select("k", slots.alias("slot")).distinct(), "k").select("slot", F.col("k").alias(name), F.explode(parts).alias("part"))
+    placed = lambda name, slots, parts: _sorted(["k"], made, rows.select("k", slots.alias("slot")).distinct()).select("slot", F.col("k").alias(name), F.explode(parts).alias("part"))
     one, other = placed("kb", F.explode(F.array_distinct(F.array(slot(-days), slot(0), slot(days)))), F.col("own")), placed("ka", slot(0), F.concat("own", "following"))
-    pairs = one.join(other, ["part", "slot"]).where("ka <> kb").select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")).distinct()
+    pairs = _sorted(["part", "slot"], one, other).where("ka <> kb").select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")).distinct()
     side = lambda name: keys.select(F.col("k").alias(f"k{name}"), F.col("key").alias(name))
-    found = pairs.join(side("a"), "ka").join(side("b"), "kb")
+    found = _sorted(["kb"], _sorted(["ka"], pairs, side("a")), side("b"))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,6 +148,12 @@ def alike_keys(keys: DataFrame, rows: DataFrame, least: float, days: int, n: int
     return found.select("ka", "kb", "a", "b").mapInArrow(compared, "ka bigint, kb bigint, similarity double").where(F.col("similarity") >= least)
 
 
+def _sorted(on: list[str], left: DataFrame, right: DataFrame) -> DataFrame:
+    """left joined with right by sorting both. A table's size on disk says little of what it is in memory, or of what is made
+    of it, so none is sent whole to every executor."""
+    return left.hint("merge").join(right.hint("merge"), on)
+
+
 def _keyed(rows: DataFrame, title: str, day: str, id_col: str) -> tuple[DataFrame, DataFrame]:
     """key, k of each distinct key of titles, k being its number; and id, day, k of each row that has one."""
     some = F.col(title).isNotNull() & F.col(day).isNotNull() & F.col(id_col).isNotNull()  # of the key it would be made twice
@@ -161,13 +169,35 @@ def _near_days(rows: DataFrame, days: int) -> DataFrame:
     return rows.withColumn("da", around).withColumnRenamed("k", "kb").drop("day")
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """k, day, part, ids: the rows of a title and day, dealt by hash to blocks of some BLOCK."""
+    parts = rows.groupBy("k", "day").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    dealt = _sorted(["k", "day"], rows, parts).withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
+    return dealt.groupBy("k", "day", "part").agg(F.collect_list("id").alias("ids"))
+
+
 def near_titles(rows: DataFrame, least: float, days: int, title: str = "title", day: str = "day", id_col: str = "id", n: int = 3) -> DataFrame:
-    """a, b, similarity of titles whose n-gram sets have at least `least` in common within `days`; null titles have none."""
+    """a, b, similarity of titles whose n-gram sets have at least `least` in common within `days`; null titles have none.
+
+    The pairs of copies grow with the square of their number, so they are made last, in place: blocks of rows meet, and the
+    pairs of blocks are dealt to as many tasks as their pairs of rows ask for. Nothing is sorted or sent by pairs of rows."""
     keys, rows = _keyed(rows, title, day, id_col)
-    alike = alike_keys(keys, rows, least, days, n).unionByName(keys.select(F.col("k").alias("ka"), F.col("k").alias("kb"), F.lit(1.0).alias("similarity")))
-    x = rows.select(F.col("id").alias("i"), F.col("day").alias("da"), F.col("k").alias("ka"))
-    y = _near_days(rows.select(F.col("id").alias("j"), "day", "k"), days)
-    pairs = alike.join(x, "ka").join(y, ["kb", "da"]).where((F.col("i") != F.col("j")) & ((F.col("ka") != F.col("kb")) | (F.col("i") < F.col("j"))))
+    itself = keys.select(F.col("k").alias("ka"), F.col("k").alias("kb"), F.lit(1.0).alias("similarity"))
+    alike = written(alike_keys(keys, rows, least, days, n).unionByName(itself), "title-alike")
+    blocks = written(_blocks(rows), "title-blocks")
+    counts = rows.groupBy("k", "day").agg(F.count("*").alias("n"))
+    x, y = counts.select(F.col("k").alias("ka"), F.col("day").alias("da"), F.col("n").alias("x")), _near_days(counts.withColumnRenamed("n", "y"), days)
+    total = _sorted(["kb", "da"], _sorted(["ka"], alike, x), y).agg(F.sum(F.col("x").cast("double") * F.col("y"))).first()[0] or 0
+    x = blocks.select(F.col("k").alias("ka"), F.col("day").alias("da"), F.col("part").alias("pa"), F.col("ids").alias("xs"))
+    y = _near_days(blocks.select("k", "day", F.col("day").alias("db"), F.col("part").alias("pb"), F.col("ids").alias("ys")), days)
+    both = _sorted(["kb", "da"], _sorted(["ka"], alike, x), y)
+    same = (F.col("ka") == F.col("kb")) & (F.col("da") == F.col("db")) & (F.col("pa") == F.col("pb"))
+    # blocks of one title meet once, and a row without copies in its block meets nothing there
+    both = both.where((F.col("ka") != F.col("kb")) | (F.struct("da", "pa") <= F.struct("db", "pb"))).where(~same | (F.size("xs") > 1))
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, int(total / PAIRS) + 1)
+    dealt = both.withColumn("same", same).repartition(tasks, "ka", "da", "pa", "kb", "db", "pb")
+    pairs = dealt.select("similarity", "same", "ys", F.explode("xs").alias("i")).select("similarity", "same", "i", F.explode("ys").alias("j"))
+    pairs = pairs.where((F.col("i") != F.col("j")) & (~F.col("same") | (F.col("i") < F.col("j"))))
     return pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "similarity")
 
 

@@ -87,3 +87,22 @@ def test_keys_of_common_grams_meet_rarely(spark, tmp_path, monkeypatch):
     parts = made["title-parts"].select("k", F.explode("own").alias("part"))
     pairs = parts.join(parts.withColumnRenamed("k", "j"), "part").where("j < k").select("j", "k").distinct().count()
     assert pairs < 400 * 399 / 2 / 100
+
+
+def test_copies_are_paired_in_blocks(spark, monkeypatch):
+    """Many copies over days and some near titles: each pair once, made by tasks of like size, and no table sent whole."""
+    monkeypatch.setattr(dedup, "BLOCK", 7, raising=False)
+    monkeypatch.setattr(dedup, "PAIRS", 500, raising=False)
+    first = date(2024, 1, 1)
+    words = "the annual report of the council on water and roads in the northern province".split()
+    titles = [" ".join(words)] * 150 + [" ".join(words) + "s"] * 20 + [" ".join(reversed(words))] * 3 + ["a title of its own", None]
+    raw = [(k, t, first + timedelta(k % 4)) for k, t in enumerate(titles)] + [(0, titles[0], first), (None, titles[0], first)]
+    rows = spark.createDataFrame(raw, "id long, title string, day date")
+    found = dedup.near_titles(rows, 0.9, 1)
+    got = sorted((r.a, r.b) for r in found.select("a", "b").collect())
+    kind = {t: max(i, 1) for i, t in enumerate(dict.fromkeys(titles))}  # the first two are near
+    some = [r for r in raw if r[0] is not None and r[1] is not None]
+    assert got == sorted((x[0], y[0]) for x in some for y in some if x[0] < y[0] and kind[x[1]] == kind[y[1]] and abs((x[2] - y[2]).days) <= 1)
+    tasks = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) > 4 and max(tasks) < len(got) / 3
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

@@ -5,8 +5,8 @@ until the watermark has passed them, which a timer tells, and are then taken in
 not on how they were cut into batches, nor on restarts. Timers of rows that never come are handled alike: a key's clock
 stands where the watermark stands. What a key still waits for is all that its state holds; it goes when nothing is left.
 
-Keys are dealt by hash to BUCKETS, whose state is packed: what a batch costs goes by buckets and rows, not by keys. A bucket
-that a timer wakes is read whole.
+Keys are dealt by hash to BUCKETS, and rows are packed before they reach the state: what a batch costs goes by buckets and
+packs, not by keys or calls a row. A bucket that a timer wakes is read whole.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -26,10 +28,10 @@ from ..params import DEFAULT, Params
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BUCKETS = 4096
-#: Rows of a result that are handed over at a time.
-ROWS = 100_000
-#: Of each row: its key, its time in milliseconds, its id, and what its order or outcome needs.
-COLUMNS = ("key", "at", "id", "score", "ok")
+#: Rows of a result that are handed over at a time, of one value of the state, and that are packed at a time.
+ROWS, HELD, GATHERED = 100_000, 50_000, 1 << 18
+#: Of each row, beside its key: its time in milliseconds, its id, and what its order or outcome needs.
+COLUMNS = {"at": "int64", "id": "int64", "score": "float64", "ok": "bool"}
 
 
 @contextmanager
@@ -63,51 +65,64 @@ class InOrder(StatefulProcessor):
             self.handle.registerTimer(int(at))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        first, now = None, timerValues.getCurrentWatermarkInMs()
         for batch in rows:
-            batch = batch[batch["id"].notna()]  # rows without an id are the clock's
-            if len(batch):
-                new = [batch["key"].to_numpy(object), *(batch[c].to_numpy(kind) for c, kind in zip(COLUMNS[1:], ("int64", "int64", "float64", "bool")))]
-                self.held.appendValue((pickle.dumps(new),))
-                least = int(new[1].min())
+            for least, part in zip(batch["first"].tolist(), batch["rows"].tolist()):
+                if least < now:  # what comes later than the watermark's delay doesn't count
+                    names, codes, *columns = pickle.loads(part)
+                    some = columns[0] >= now
+                    self.hold(names, codes[some], *(c[some] for c in columns))
+                    if not some.any():
+                        continue
+                    least = int(columns[0][some].min())
+                else:
+                    self.held.appendValue((part,))
                 first = least if first is None else min(first, least)
         self.wake(first)
         yield pd.DataFrame(columns=list(self.columns))
 
+    def hold(self, names: list, codes: np.ndarray, *columns: np.ndarray) -> None:
+        """Adds rows to the state: their keys' names, which of these is each row's, and COLUMNS."""
+        for start in range(0, len(codes), HELD):
+            some = slice(start, start + HELD)
+            self.held.appendValue((pickle.dumps([names, codes[some].astype(np.int32), *(c[some] for c in columns)]),))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         parts = [pickle.loads(r[0]) for r in self.held.get()]
-        keys, *rows = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, object), *(np.zeros(0) for _ in COLUMNS[1:])]
-        had = self.kept.exists()
+        had, number = self.kept.exists(), {}
         kept = pickle.loads(self.kept.get()[0]) if had else {}
-        codes, names = pd.factorize(keys, use_na_sentinel=False)
-        names = [None if pd.isna(n) else n for n in names]
+        for part in parts:
+            part[0] = np.array([number.setdefault(n, len(number)) for n in part.pop(0)], np.int32)[part[0]]
+        names, some = list(number), bool(parts)
+        codes, *rows = [np.concatenate([part.pop(0) for part in parts]) if some else np.zeros(0, kind) for kind in ("int32", *COLUMNS.values())]
         due = np.flatnonzero(rows[0] <= now)
         due = due[np.lexsort((rows[1][due], rows[0][due], codes[due]))]
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(codes[due])) + 1, [len(due)])) if len(due) else np.zeros(1, int)
         turns = {names[codes[due[a]]]: due[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())}
         turns |= {k: due[:0] for k, (_, at) in kept.items() if at is not None and at <= now and k not in turns}
-        out, back = [], []
+        later = np.flatnonzero(rows[0] > now)
+        first = [int(rows[0][later].min())] if len(later) else []
+        if some:
+            self.held.clear()
+            self.hold(names, codes[later], *(r[later] for r in rows))
+        out = []
         for k, at in turns.items():
-            mine = list(zip(*(rows[c][at].tolist() for c in (1, 0, 2, 3))))
-            found, left, keep, again = self.advance(mine, kept.pop(k, (None, None))[0], now)
-            out += [(k, *r) for r in found]
-            back += [(k, t, i, s, ok) for i, t, s, ok in left]
+            found, left, keep, again = self.turn([rows[c][at] for c in (1, 0, 2, 3)], kept.pop(k, (None, None))[0], now)
+            if isinstance(found, list):
+                out += [(k, *r) for r in found]
+            else:  # a tuple of columns
+                for start in range(0, len(found[0]), ROWS):
+                    part = [c[start : start + ROWS] for c in found]
+                    yield pd.DataFrame(dict(zip(self.columns, [np.full(len(part[0]), k, object), *part])))
+            if len(left) and len(left[0]):
+                i, t, score, ok = left
+                self.hold([k], np.zeros(len(i), np.int32), t, i, score, ok)
             if keep is not None or again is not None:
                 kept[k] = keep, again
             if len(out) >= ROWS:
                 yield from self.frames(out)
                 out = []
-        later = np.flatnonzero(rows[0] > now)
-        stay = [[keys[later], *(r[later] for r in rows)]] if len(later) else []
-        if back:
-            named = np.empty(len(back), object)
-            named[:] = [r[0] for r in back]
-            stay.append([named, *(np.array(c, kind) for c, kind in zip(list(zip(*back))[1:], ("int64", "int64", "float64", "bool")))])
-        if stay:
-            self.held.put([(pickle.dumps(part),) for part in stay])
-        elif parts:
-            self.held.clear()
         if kept:
             self.kept.update((pickle.dumps(kept),))
         elif had:
@@ -115,7 +130,6 @@ class InOrder(StatefulProcessor):
         for t in list(self.handle.listTimers()):
             if t <= now and t != expiredTimerInfo.getExpiryTimeInMs():
                 self.handle.deleteTimer(t)
-        first = [int(rows[0][later].min())] if len(later) else []
         self.wake(min(first + [at for _, at in kept.values() if at is not None], default=None), now)
         yield from self.frames(out)
 
@@ -123,9 +137,13 @@ class InOrder(StatefulProcessor):
         for start in range(0, len(out) or 1, ROWS):
             yield pd.DataFrame(out[start : start + ROWS], columns=list(self.columns))
 
+    def turn(self, due: list[np.ndarray], kept: tuple | None, now: int) -> tuple:
+        """advance() of columns; who has many rows of a key gives out columns and holds on to columns."""
+        return self.advance(list(zip(*(c.tolist() for c in due))), kept, now)
+
     def advance(self, due: list[tuple], kept: tuple | None, now: int) -> tuple[list[tuple], list[tuple], tuple | None, int | None]:
         """Of one key, from the rows (id, at, score, ok) that are due, what was kept and the time: rows to give out, rows to
-        hold on to, what to keep, and when to come again if no row does."""
+        hold on to (columns), what to keep, and when to come again if no row does."""
         raise NotImplementedError
 
     def close(self) -> None:
@@ -143,29 +161,79 @@ class Paced(InOrder):
         self.round_ms, self.p = round_ms, p
 
     def advance(self, due, kept, now):
+        out, back, keep, wake = self.turn([np.array([r[c] for r in due], kind) for c, kind in enumerate(("int64", "int64", "float64", "bool"))], kept, now)
+        return list(zip(*(c.tolist() for c in out))), list(zip(*(c.tolist() for c in back))), keep, wake
+
+    def turn(self, due, kept, now):
         following, recent = (kept[0], [int(t) for t in kept[1].split(",") if t]) if kept else (0, [])
-        # what has come by the last round waits; the state holds it in one list with what comes after
-        out, waiting, n = [], [], 0
-        spacing = int(1000 * self.p.spacing_seconds)
-        while n < len(due) or waiting:
-            start = following if waiting else max(following, -(-due[n][1] // self.round_ms) * self.round_ms)
+        step, most = self.round_ms, self.p.per_round
+        i, at, score, _ = due
+        order = np.lexsort((i, at, -score))  # a row's rank is its place here: the lower goes first
+        first = np.maximum(-(-at[order] // step) * step, following)  # the round that each rank can go in at first
+        by = np.argsort(first, kind="stable")  # the ranks that come with a round are a run
+        rounds, counts = np.unique(first, return_counts=True)
+        ends = np.cumsum(counts).tolist()
+        rounds, runs, heap, waiting, taken, starts = rounds.tolist(), [], [], 0, [], []
+        for n, start in enumerate(rounds):
             if start > now:
                 break
-            while n < len(due) and due[n][1] <= start:
-                heapq.heappush(waiting, (-due[n][2], due[n][1], due[n][0]))
-                n += 1
-            for turn in range(1, min(self.p.per_round, len(waiting)) + 1):
-                _, at, i = heapq.heappop(waiting)
-                sent = max([start, *[t + spacing for t in recent[-1:]], *[t + 60_000 for t in recent[-self.p.per_minute :][:1] if len(recent) >= self.p.per_minute]])
-                recent = [*recent, sent][-self.p.per_minute :]
-                out.append((i, at, start, turn, sent))
-            following = start + self.round_ms
-        back = [(i, at, -less, True) for less, at, i in waiting] + due[n:]
-        first = min((r[1] for r in back), default=None)
-        wake = None if first is None else max(following, -(-first // self.round_ms) * self.round_ms)
-        if not back and following + 60_000 < now:  # nothing that could hold a later send back
+            run = by[ends[n] - int(counts[n]) : ends[n]]
+            runs.append(run)
+            heapq.heappush(heap, (int(run[0]), len(runs) - 1, 0))
+            waiting += len(run)
+            last = min(now, rounds[n + 1] - 1) if n + 1 < len(rounds) else now
+            go = min(waiting, ((last - start) // step + 1) * most)  # in the rounds until more come
+            if 8 * go >= waiting:
+                rest = np.sort(np.concatenate([runs[r][p:] for _, r, p in heap]))
+                taken.append(rest[:go])
+                runs = [rest[go:]]
+                heap = [(int(rest[go]), 0, 0)] if go < waiting else []
+            else:
+                some = []
+                for _ in range(go):
+                    rank, r, p = heap[0]
+                    some.append(rank)
+                    if p + 1 < len(runs[r]):
+                        heapq.heapreplace(heap, (int(runs[r][p + 1]), r, p + 1))
+                    else:
+                        heapq.heappop(heap)
+                taken.append(np.array(some, np.int64))
+            waiting -= go
+            starts.append(start + np.arange(go) // most * step)
+            following = start + -(-go // most) * step
+        none = [np.zeros(0, np.int64)]
+        turns = np.concatenate([np.arange(len(x)) % most + 1 for x in taken] or none).astype(np.int32)
+        taken, starts = np.concatenate(taken or none), np.concatenate(starts or none)
+        sent = self.spaced(starts, recent)
+        recent = [*recent, *sent[-self.p.per_minute :].tolist()][-self.p.per_minute :]
+        gone, left = order[taken], np.ones(len(order), bool)
+        out = i[gone], at[gone], starts, turns, sent
+        left[gone] = False
+        back = [c[left] for c in due]
+        some = len(back[0])
+        wake = max(following, -(-int(back[1].min()) // step) * step) if some else following + 60_001
+        if not some and following + 60_000 < now:  # nothing that could hold a later send back
             return out, back, None, None
-        return out, back, (following, ",".join(map(str, recent))), wake if back else following + 60_001
+        return out, back, (following, ",".join(map(str, recent))), wake
+
+    def spaced(self, starts: np.ndarray, recent: list[int]) -> np.ndarray:
+        """When sends of rounds that start then are made, after those of before."""
+        spacing, most, out = int(1000 * self.p.spacing_seconds), self.p.per_minute, []
+        for n in range(0, len(starts), ROWS):
+            part = starts[n : n + ROWS]
+            steps = np.arange(len(part)) * spacing
+            sent = np.maximum.accumulate(part - steps)
+            sent = (np.maximum(sent, recent[-1] + spacing) if recent else sent) + steps
+            every = np.concatenate([np.array(recent, np.int64), sent])
+            if (every[most:] - every[:-most] < 60_000).any():  # the minute's limit holds some back
+                times = list(recent)
+                for start in part.tolist():
+                    times.append(max([start, *(t + spacing for t in times[-1:]), *([times[-most] + 60_000] if len(times) >= most else [])]))
+                every = np.array(times, np.int64)
+                sent = every[len(recent) :]
+            recent = every[-most:].tolist()
+            out.append(sent)
+        return np.concatenate(out or [np.zeros(0, np.int64)])
 
 
 class Tried(InOrder):
@@ -218,12 +286,44 @@ class Quiet(InOrder):
         return out, [], None if last is None else (last,), None if last is None else last + self.limit + 1
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """bucket, first (the least time) and rows, as the state holds them, of some rows at a time. A clock's rows end here."""
+    gathered, n = [], 0
+
+    def packs() -> pa.RecordBatch:
+        table = pa.Table.from_batches(gathered).combine_chunks()
+        bucket = table.column("bucket").to_numpy()
+        order = np.argsort(bucket, kind="stable")
+        bucket, key = bucket[order], pc.dictionary_encode(table.column("key").chunk(0), null_encoding="encode")
+        codes, names = key.indices.to_numpy(zero_copy_only=False)[order], key.dictionary.to_pylist()
+        if table.column("at").null_count:
+            raise ValueError("a row has no time")
+        columns = [table.column(c).to_numpy().astype(kind)[order] for c, kind in COLUMNS.items()]
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)])).tolist()
+        out = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            mine, local = np.unique(codes[a:b], return_inverse=True)
+            out.append(pickle.dumps([[names[k] for k in mine.tolist()], local.astype(np.int32), *(c[a:b] for c in columns)]))
+        first = np.minimum.reduceat(columns[0], cuts[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]], pa.int64()), pa.array(first), pa.array(out, pa.binary())], ["bucket", "first", "rows"])
+
+    for batch in batches:
+        batch = batch.filter(batch.column("id").is_valid())
+        if batch.num_rows:
+            gathered.append(batch)
+            n += batch.num_rows
+        if n >= GATHERED:
+            yield packs()
+            gathered, n = [], 0
+    if gathered:
+        yield packs()
+
+
 def _keyed(rows: DataFrame, key: Column, id_col: str, ts: str, score: Column, ok: Column, late: str):
-    at = F.unix_millis(F.col(ts).cast("timestamp"))
-    # null ids (the clock's) and null keys come alone: beside them pandas would make floats of numbers
-    bucket = F.when(F.col(id_col).isNull(), -1).when(key.isNull(), -2).otherwise(F.pmod(F.xxhash64(key), F.lit(BUCKETS))).alias("bucket")
-    rows = rows.select(bucket, key.alias("key"), F.col(id_col).cast("long").alias("id"), F.col(ts).cast("timestamp").alias("ts"), at.alias("at"), score.cast("double").alias("score"), ok.alias("ok"))
-    return rows.withWatermark("ts", late).groupBy("bucket")
+    at = F.unix_millis("ts").alias("at")
+    rows = rows.select(key.alias("key"), F.col(id_col).cast("long").alias("id"), F.col(ts).cast("timestamp").alias("ts"), score.cast("double").alias("score"), ok.alias("ok")).withWatermark("ts", late)
+    bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).alias("bucket")
+    return rows.select(bucket, "key", "id", at, "score", "ok").mapInArrow(_packed, "bucket bigint, first bigint, rows binary").groupBy("bucket")
 
 
 def sends(rows: DataFrame, channel: str, ts: str, score: str, id_col: str = "id", round_seconds: float = 60, late: str = "1 minute", p: Params = DEFAULT) -> DataFrame:

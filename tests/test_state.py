@@ -211,3 +211,26 @@ def test_timers_of_keys_share_a_bucket(spark, tmp_path, monkeypatch):
     events = [(i, str(2**53 + 1 + i // 3), START + timedelta(seconds=i), 0.0, i % 3 == 2) for i in range(90)]
     found, left = end_of(spark, tmp_path, lambda rows: timers.tries(rows.withColumn("topic", F.col("topic").cast("long")), "topic", "ts", "ok", "event_id", 4, 30, "10 minutes"), events, 3)
     assert sorted(found) == sorted((2**53 + 1 + i // 3, ms(START + timedelta(seconds=i)), i % 3 + 1, "sent" if i % 3 == 2 else "retry") for i in range(90)) and left == 0
+
+
+def test_sends_that_wait_for_centuries_come_out(spark, small):
+    """Rounds of ten years: the last messages of the events go long after 2100."""
+    from newsloom.plans import stream_queries
+
+    found = stream_queries._to_the_end(spark, small, lambda rows: timers.sends(rows, "topic", "ts", "score", "event_id", 3650 * 86400), "slow").collect()
+    events = spark.read.parquet(f"{small}/events.parquet").count()
+    assert len({r.id for r in found}) == len(found) == events and max(r["round"] for r in found) > ms(datetime(2150, 1, 1))
+
+
+def test_rows_are_packed_by_bucket():
+    import pickle
+
+    import pyarrow as pa
+
+    rows = [(b, k, i, 1000 - i, 0.0, True) for i, (b, k) in enumerate([(1, 2**53 + 1), (2, None), (1, 5), (1, 2**53 + 1), (2, None)])] + [(1, None, None, 9, 0.0, True)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()))], ["bucket", "key", "id", "at", "score", "ok"])
+    (packs,) = timers._packed(iter([batch.slice(0, 2), batch.slice(2)]))
+    held = {r["bucket"]: (r["first"], *pickle.loads(r["rows"])) for r in packs.to_pylist()}
+    assert {b: (first, [names[c] for c in codes], ids.tolist()) for b, (first, names, codes, at, ids, score, ok) in held.items()} == {
+        1: (997, [2**53 + 1, 5, 2**53 + 1], [0, 2, 3]), 2: (996, [None, None], [1, 4]),
+    }

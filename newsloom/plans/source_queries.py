@@ -265,8 +265,8 @@ def _dictionary(s, d):
 
 def _dictionary_hits(s, d):
     terms = written(_dictionary(s, d), "dictionary")
-    found = dictionaries.with_terms(table(s, d, "documents").select("doc_id", F.lower("text").alias("text")), terms)
-    each = found.select("doc_id", F.explode_outer("term_ids").alias("term_id")).join(terms, "term_id", "left")
+    found = dictionaries.with_terms(table(s, d, "documents").select("doc_id", F.lower("text").alias("text")), terms, keep_text=False)
+    each = found.select("doc_id", F.explode_outer("term_ids").alias("term_id")).hint("merge").join(terms.hint("merge"), "term_id", "left")
     return each.groupBy("doc_id").agg(F.count("term").alias("n_terms"), F.md5(F.array_join(F.sort_array(F.collect_list("term")), "|")).alias("digest"))
 
 

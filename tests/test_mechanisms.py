@@ -120,3 +120,23 @@ def test_a_card_splits_its_summary_once(spark):
     found = rows.select(bills.card_lines(*[rows[n] for n in names], "none yet").alias("lines"))
     assert [r.lines for r in found.collect()][0] == ["A.", "B.", "C. D."]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_a_large_dictionary_stays_in_its_table(spark, monkeypatch):
+    """Its terms are not collected, and a filter that lets nearly all pass makes no difference; terms of all lengths."""
+    monkeypatch.setattr(dictionaries, "MOST_BITS", 1 << 10, raising=False)
+    monkeypatch.setattr(dictionaries, "BYTES", 200, raising=False)
+    rng = random.Random(7)
+    word = lambda most: "".join(rng.choices("ab한é", k=rng.randint(1, most)))
+    terms = list({word(40) for _ in range(800)} | {word(5) for _ in range(200)})
+    texts = [" ".join([word(30), *rng.sample(terms, rng.randint(0, 6))]) for _ in range(60)] + ["", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    table = spark.createDataFrame(list(enumerate(terms)), TERMS)
+    sent = []
+    real = spark.sparkContext.broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or real(value))
+    found = dictionaries.with_terms(rows, table, literals=0, most_bytes=1000)
+    got = {r.id: (r.text, r.term_ids) for r in found.collect()}
+    assert got == {i: (t, [k for k, term in enumerate(terms) if t and term in t]) for i, t in enumerate(texts)}
+    assert all(not isinstance(x, list) for x in sent)
+    assert dictionaries.with_terms(rows, table, literals=0, most_bytes=1000, keep_text=False).columns == ["id", "term_ids"]

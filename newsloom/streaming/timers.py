@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import pickle
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -56,7 +57,7 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "rows binary")
+        self.held = handle.getMapState("held", "n bigint", "rows binary")  # a list is read whole by each append to it
         self.kept = handle.getValueState("kept", "keys binary")  # of each key: what is kept, and when to come again
 
     def wake(self, at: int | None, gone: int | None = None) -> None:
@@ -76,7 +77,7 @@ class InOrder(StatefulProcessor):
                         continue
                     least = int(columns[0][some].min())
                 else:
-                    self.held.appendValue((part,))
+                    self.held.updateValue((uuid.uuid4().int >> 66,), (part,))
                 first = least if first is None else min(first, least)
         self.wake(first)
         yield pd.DataFrame(columns=list(self.columns))
@@ -85,11 +86,11 @@ class InOrder(StatefulProcessor):
         """Adds rows to the state: their keys' names, which of these is each row's, and COLUMNS."""
         for start in range(0, len(codes), HELD):
             some = slice(start, start + HELD)
-            self.held.appendValue((pickle.dumps([names, codes[some].astype(np.int32), *(c[some] for c in columns)]),))
+            self.held.updateValue((uuid.uuid4().int >> 66,), (pickle.dumps([names, codes[some].astype(np.int32), *(c[some] for c in columns)]),))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        parts = [pickle.loads(r[0]) for r in self.held.get()]
+        parts = [pickle.loads(r[0]) for r in self.held.values()]
         had, number = self.kept.exists(), {}
         kept = pickle.loads(self.kept.get()[0]) if had else {}
         for part in parts:
